@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import pieces, secrets
+from . import language, lines, pieces, quality, secrets, urls
+from .shared import held_out
 
 #: The folder of the vocabularies is a parameter of the operators; the queries use the installed one.
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -22,17 +24,43 @@ def piece_model() -> str:
     return public_tokenizers.path(PIECE_MODEL)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.learn(docs, ~held_out(F.col("doc_id")))
+    return language.predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    trusted = table(spark, sf_dir, "labels").where(F.col("quality") == 1)
+    model = quality.learn(docs, trusted, ~held_out(F.col("doc_id")))
+    return quality.score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = secrets.scan_all(spark, table(spark, sf_dir, "documents"))
     return secrets.digest(found)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lines.apply(docs, lines.learn(docs))
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(table(spark, sf_dir, "documents"), piece_model())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_quality_classifier": op2_quality_classifier,
     "op4_secret_scans": op4_secret_scans,
+    "op5_quality_rules": op5_quality_rules,
+    "op7_url_filters": op7_url_filters,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
