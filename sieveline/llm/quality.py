@@ -7,11 +7,12 @@ texts are made of, by the non-negative unbiased risk
 
 with the logistic loss, so the sigmoid of the output estimates the probability
 of the positive class.  Where the bracket is negative its gradient is turned
-round, as in the method's published form.  The class prior is estimated, not
-given: for every set A of texts, P_unl(A) >= prior * P_pos(A), so the least
-ratio over upper level sets of a first positive-against-unlabelled score,
-among those with a fair share of the positives, estimates it from above.
-Negative labels are never used.
+round, as in the method's published form.  No negative example is trained on.
+The class prior is estimated: from the share of positives among rows that were
+labelled either way (``labelled_prior``), or where there are none of those,
+from the samples alone.  For every set A of texts, P_unl(A) >= prior *
+P_pos(A), so the least ratio over upper level sets of a first
+positive-against-unlabelled score estimates it from above.
 
 Both samples are bounded: ``POSITIVES`` and ``UNLABELLED`` rows, chosen by the
 hash of the key; of each only ``FEATURES`` numbers reach the driver.  Scoring
@@ -139,6 +140,15 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
     return float(np.clip((of_unl / np.maximum(of_pos, 1e-9)).min(), 0.02, 0.98))
 
 
+def labelled_prior(labels: DataFrame, positive: Column) -> float | None:
+    """The share of positives among labelled rows, less its standard error; None if only one class is there."""
+    n, k = labels.agg(F.count(positive), F.count_if(positive)).first()
+    if not 0 < k < n:
+        return None
+    share = k / n
+    return max(0.02, share - (share * (1 - share) / n) ** 0.5)
+
+
 def train(pos: np.ndarray, unl: np.ndarray, prior: float | None = None, seed: int = 11) -> Model:
     both = np.concatenate([pos, unl])
     model = Model(both.mean(axis=0), both.std(axis=0) + 1e-6, {}, prior or 0.5)
@@ -151,7 +161,7 @@ def train(pos: np.ndarray, unl: np.ndarray, prior: float | None = None, seed: in
     return model
 
 
-def learn(docs: DataFrame, positives: DataFrame, may_learn: Column, key: str = "doc_id", text: str = "text") -> Model | None:
+def learn(docs: DataFrame, positives: DataFrame, may_learn: Column, prior: float | None = None, key: str = "doc_id", text: str = "text") -> Model | None:
     """A model from rows that ``may_learn`` holds for; ``positives`` has the keys of trusted ones."""
     rows = docs.select(key, text).where(may_learn)
     keys = rows.select(key)
@@ -172,7 +182,7 @@ def learn(docs: DataFrame, positives: DataFrame, may_learn: Column, key: str = "
     got.sort(key=lambda r: (str(r["id"]), r["x"]))
     one, other = (np.array([r["x"] for r in got if r["trusted"] == which]).reshape(-1, FEATURES) for which in (True, False))
     rng = np.random.default_rng(5)
-    return train(rng.permutation(one), rng.permutation(other)) if len(one) and len(other) else None
+    return train(rng.permutation(one), rng.permutation(other), prior) if len(one) and len(other) else None
 
 
 def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, lines, pieces, quality, secrets, urls
+from . import jaccard, language, lines, pieces, quality, secrets, urls
 from .shared import held_out
 
 #: The folder of the vocabularies is a parameter of the operators; the queries use the installed one.
@@ -24,6 +24,14 @@ def piece_model() -> str:
     return public_tokenizers.path(PIECE_MODEL)
 
 
+def quality_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> quality.Model | None:
+    """Learned from the rows of docs and labels outside the held-out fold."""
+    learns = ~held_out(F.col("doc_id"))
+    labels = table(spark, sf_dir, "labels").where(learns)
+    good = F.col("quality") == 1
+    return quality.learn(docs, labels.where(good), learns, quality.labelled_prior(labels, good))
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.learn(docs, ~held_out(F.col("doc_id")))
@@ -32,11 +40,14 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    trusted = table(spark, sf_dir, "labels").where(F.col("quality") == 1)
-    model = quality.learn(docs, trusted, ~held_out(F.col("doc_id")))
+    model = quality_model(spark, sf_dir, docs)
     return quality.score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(spark, table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = secrets.scan_all(spark, table(spark, sf_dir, "documents"))
     return secrets.digest(found)
@@ -58,6 +69,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_secret_scans": op4_secret_scans,
     "op5_quality_rules": op5_quality_rules,
     "op7_url_filters": op7_url_filters,
