@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, language, lines, pieces, quality, secrets, urls
+from . import chroma, jaccard, language, lines, mixing, packing, pieces, quality, secrets, urls
 from .shared import held_out
 
 #: The folder of the vocabularies is a parameter of the operators; the queries use the installed one.
 PIECE_MODEL = "piece_bpe_32k.model"
+RANKS, RANKS_END = "byte_bpe_50k.tiktoken", 50256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,10 +59,26 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.apply(docs, lines.learn(docs))
 
 
+def op6_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), RANKS_END).withColumnRenamed("keys", "doc_ids")
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op8_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return chroma.search(spark, vectors, "vec_id", "embedding", F.col("vec_id") % 100 == 0, chroma.melody)
+
+
+def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    draws, _ = mixing.mix(spark, table(spark, sf_dir, "documents"), entropy_share=0.97, most_repeats=4.0)
+    return draws
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(table(spark, sf_dir, "documents"), piece_model())
 
@@ -72,7 +89,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_jaccard_join": op3_jaccard_join,
     "op4_secret_scans": op4_secret_scans,
     "op5_quality_rules": op5_quality_rules,
+    "op6_token_packing": op6_token_packing,
     "op7_url_filters": op7_url_filters,
+    "op8_chroma_fingerprints": op8_chroma_fingerprints,
+    "op9_temperature_mixing": op9_temperature_mixing,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
