@@ -375,3 +375,9 @@ def numbered(rows: DataFrame, roots: DataFrame | None, key: str) -> DataFrame:
     else:
         least = least.withColumnRenamed("low", "component_id")
     return rows.join(least, "sid", "left").select(key, F.col("n").alias("n_shingles"), F.coalesce("component_id", F.col(key)).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, linked: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row of docs for each component: that with the least key.  Rows with a null key stay."""
+    first = linked.where(F.col(key) == F.col("component_id")).select(key)
+    return docs.join(first.distinct(), key, "left_semi").dropDuplicates([key]).unionByName(docs.where(F.col(key).isNull())).select(docs.columns)

@@ -26,6 +26,7 @@ extra columns are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,60 +44,68 @@ def count_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def measures(shares: DataFrame, exponents: list[float], budget_share: float) -> list[tuple[float, float]]:
-    """(entropy, most repeats) of the weights for each exponent; ``budget_share``: the budget as a share of all tokens."""
+def measures(shares: DataFrame, exponents: list[float], budget_share: float | None) -> list[tuple[float, float]]:
+    """(entropy, most repeats) of the weights for each exponent.
+
+    ``budget_share``: the budget as a share of all tokens; None for the least
+    budget that covers every source once.
+    """
     s = F.col("share")
     aggs = []
     for i, a in enumerate(exponents):
-        p = F.pow(s, F.lit(a))
-        aggs += [F.sum(p).alias(f"z{i}"), F.sum(p * F.log(s)).alias(f"e{i}"), F.max(F.pow(s, F.lit(a - 1))).alias(f"m{i}")]
+        p, rate = F.pow(s, F.lit(a)), F.pow(s, F.lit(a - 1))
+        aggs += [F.sum(p).alias(f"z{i}"), F.sum(p * F.log(s)).alias(f"e{i}"), F.max(rate).alias(f"most{i}"), F.min(rate).alias(f"least{i}")]
     r = shares.agg(*aggs).first()
-    return [(math.log(r[f"z{i}"]) - a * r[f"e{i}"] / r[f"z{i}"], r[f"m{i}"] / r[f"z{i}"] * budget_share) for i, a in enumerate(exponents)]
+    repeats = lambda i: r[f"most{i}"] / r[f"least{i}"] if budget_share is None else r[f"most{i}"] / r[f"z{i}"] * budget_share
+    return [(math.log(r[f"z{i}"]) - a * r[f"e{i}"] / r[f"z{i}"], repeats(i)) for i, a in enumerate(exponents)]
 
 
-def bisect(shares: DataFrame, holds, budget_share: float, upward: bool) -> float:
+def bisect(shares: DataFrame, holds: Callable[[float, float], bool], budget_share: float | None, upward: bool) -> float:
     """The end of the range of exponents for which ``holds(entropy, repeats)``: the largest if it holds from 0 up, else the least."""
     low, high = 0.0, 1.0
-    at = dict(zip((low, high), measures(shares, [low, high], budget_share)))
-    if upward:
-        if holds(*at[high]):
-            return high
-        if not holds(*at[low]):
-            return low
-    else:
-        if holds(*at[low]):
-            return low
-        if not holds(*at[high]):
-            return high
+    at_low, at_high = measures(shares, [low, high], budget_share)
+    if upward and (holds(*at_high) or not holds(*at_low)):
+        return high if holds(*at_high) else low
+    if not upward and (holds(*at_low) or not holds(*at_high)):
+        return low if holds(*at_low) else high
     for _ in range(HALVINGS // LEVELS):
         n = 1 << LEVELS
-        grid = [low + (high - low) * k / n for k in range(1, n)]
-        known = dict(zip(grid, measures(shares, grid, budget_share)))
-        for _ in range(LEVELS):
-            middle = min(known, key=lambda x: abs(x - (low + high) / 2))
+        grid = [low + (high - low) * k / n for k in range(n + 1)]
+        known = [None, *measures(shares, grid[1:-1], budget_share)]
+        a, b = 0, n
+        while b - a > 1:
+            middle = (a + b) // 2
             if holds(*known[middle]) == upward:
-                low = middle
+                a = middle
             else:
-                high = middle
+                b = middle
+        low, high = grid[a], grid[b]
     return low if upward else high
 
 
-def weigh(sources: DataFrame, total: int, budget: int, entropy_share: float | None = None, most_repeats: float | None = None) -> tuple[DataFrame, float]:
-    """sources (source, tokens, rows) with share, weight and budget; and the exponent.
+def weigh(sources: DataFrame, total: int, budget_share: float | None = 1.0, entropy_share: float | None = None, most_repeats: float | None = None) -> tuple[DataFrame, float]:
+    """sources (source, tokens, rows) with share, weight and quota; and the exponent.
 
-    ``entropy_share`` is the target entropy as a share of that of equal weights.
+    ``entropy_share`` is the target entropy as a share of that of equal
+    weights.  Without ``budget_share`` the budget is the least that covers
+    every source once, and no row is left out.
     """
     shares = sources.where("tokens > 0").withColumn("share", F.col("tokens") / F.lit(float(total)))
     count = shares.count()
-    exponent, part = 1.0, budget / total
+    exponent = 1.0
     if entropy_share is not None:
         target = entropy_share * math.log(max(1, count)) - 1e-9
-        exponent = bisect(shares, lambda h, r: h >= target, part, True)
+        exponent = bisect(shares, lambda h, r: h >= target, budget_share, True)
     if most_repeats is not None:
-        exponent = max(exponent, bisect(shares, lambda h, r: r <= most_repeats + 1e-9, part, False))
-    z = shares.agg(F.sum(F.pow("share", F.lit(exponent)))).first()[0]
+        exponent = max(exponent, bisect(shares, lambda h, r: r <= most_repeats + 1e-9, budget_share, False))
+    rate = F.pow("share", F.lit(exponent - 1))
+    z, least = shares.agg(F.sum(F.pow("share", F.lit(exponent))), F.min(rate)).first()
     weighed = shares.withColumn("weight", F.pow("share", F.lit(exponent)) / F.lit(z))
-    return weighed.withColumn("quota", F.floor(F.round(F.col("weight") * budget, 3)).cast("long")), exponent
+    if budget_share is None:
+        quota = F.greatest(F.round(F.col("tokens") * rate / F.lit(least)), F.col("tokens"))
+    else:
+        quota = F.floor(F.round(F.col("weight") * math.floor(total * budget_share), 3))
+    return weighed.withColumn("quota", quota.cast("long")), exponent
 
 
 def draw(docs: DataFrame, weighed: DataFrame, key: str = "doc_id", blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
@@ -121,8 +130,8 @@ def draw(docs: DataFrame, weighed: DataFrame, key: str = "doc_id", blocks: int =
     return rows.select(key, "source", "tokens", "pass", block.alias("block"), F.xxhash64(F.lit(seed + 1), F.col("pass"), F.col(key), F.col("source")).alias("place"))
 
 
-def mix(spark: SparkSession, docs: DataFrame, budget_share: float = 1.0, entropy_share: float | None = None, most_repeats: float | None = None, key: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:
-    """(draws, weights by source), for a budget of that share of all tokens."""
+def mix(spark: SparkSession, docs: DataFrame, budget_share: float | None = 1.0, entropy_share: float | None = None, most_repeats: float | None = None, key: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:
+    """(draws, weights by source); the parameters are those of ``weigh``."""
     work = Workspace(spark, "mixing")
     counted = work.keep(docs.select(F.col(key), F.col(source).alias("source"), count_words(F.col(text)).alias("tokens")), "counted")
     sources = work.keep(counted.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows")), "sources")
@@ -130,6 +139,12 @@ def mix(spark: SparkSession, docs: DataFrame, budget_share: float = 1.0, entropy
     if not total:
         weighed = sources.withColumn("share", F.lit(0.0)).withColumn("weight", F.lit(0.0)).withColumn("quota", F.lit(0).cast("long")).withColumn("exponent", F.lit(1.0))
     else:
-        found, exponent = weigh(sources, total, math.floor(total * budget_share), entropy_share, most_repeats)
+        found, exponent = weigh(sources, total, budget_share, entropy_share, most_repeats)
         weighed = work.keep(found.withColumn("exponent", F.lit(exponent)), "weights")
     return draw(counted, weighed, key), weighed
+
+
+def drawn_rows(docs: DataFrame, draws: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs, each row as often as its key was drawn in different passes."""
+    times = draws.select(F.col(key).alias("_key"), "pass").distinct().select("_key")
+    return docs.join(times, F.col(key).eqNullSafe(F.col("_key"))).select(docs.columns)

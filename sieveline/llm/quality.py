@@ -196,3 +196,18 @@ def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str =
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64())], [key, "score"])
 
     return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, score double")
+
+
+def keep(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The rows of docs with at least that score, with their columns; all of them without a model."""
+    if model is None:
+        return docs
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces_of(batch, at):
+                yield part.filter(pa.array(sent.value.score(features(part.column(at))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -124,17 +124,22 @@ def scan_increment(docs: DataFrame, ledger: DataFrame | None = None, rules: tupl
     return scan(unseen(versions.dropDuplicates(["blob"]).select("blob", "text"), ledger, rules), rules)
 
 
-def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per path: ``key``, blob, and ``spans``, array<struct<start,rank,kind,stop>> by start, then kind as listed."""
+def blob_spans(ledger: DataFrame, rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
+    """(blob, spans) of blobs with findings of the rules' present versions; spans by start, then kind as listed."""
     rank = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
     now = F.lit(False)
     for r in rules:
         now = now | ((F.col("kind") == r.kind) & (F.col("version") == r.version))
-    found = (
-        ledger.where(now & (F.size("spans") > 0))
-        .groupBy("blob")
-        .agg(F.array_sort(F.flatten(F.collect_list(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), rank[F.col("kind")].alias("rank"), F.col("kind").alias("kind"), s["stop"].alias("stop")))))).alias("spans"))
-    )
+
+    def entry(s):
+        return F.struct(s["start"].alias("start"), rank[F.col("kind")].alias("rank"), F.col("kind").alias("kind"), s["stop"].alias("stop"))
+
+    return ledger.where(now & (F.size("spans") > 0)).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(F.transform("spans", entry)))).alias("spans"))
+
+
+def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per path: ``key``, blob, and ``spans``, array<struct<start,rank,kind,stop>>."""
+    found = blob_spans(ledger, rules)
     return docs.select(key, address(F.col(text)).alias("blob")).join(found, "blob", "left").select(key, "blob", F.coalesce("spans", F.array().cast(found.schema["spans"].dataType)).alias("spans"))
 
 
@@ -160,15 +165,18 @@ def digest(found: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, key: str = "d
     )
 
 
-def redact(docs: DataFrame, found: DataFrame, key: str = "doc_id", mask: str = "[secret]") -> DataFrame:
-    """docs with every span of secrets replaced by ``mask``; overlapping spans count as one.  ``key`` must be unique."""
-    hit = found.where(F.size("spans") > 0).select(F.col(key).alias("_key"), F.col("spans").alias("_spans"))
+def redact(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, mask: str = "[secret]", text: str = "text") -> DataFrame:
+    """docs with every span of secrets in ``text`` replaced by ``mask``; overlapping spans become one."""
+    hit = blob_spans(ledger, rules).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
     state = "struct<out:array<string>,upto:bigint>"
+    value = F.col("_value")
 
     def step(s, x):
-        gap = F.when(x["start"] >= s["upto"], F.array(F.substring("_text", (s["upto"] + 1).cast("int"), (x["start"] - s["upto"]).cast("int")), F.lit(mask))).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.concat(s["out"], gap).alias("out"), F.greatest(s["upto"], x["stop"]).alias("upto"))
-
-    folded = F.aggregate("_spans", F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).cast("bigint").alias("upto")).cast(state), step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring("_text", (s["upto"] + 1).cast("int"), F.length("_text"))))
-    columns = docs.columns
-    return docs.withColumn("_text", F.col("text")).join(hit, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(folded)).select(columns)
+        before = F.substring(value, (s["upto"] + 1).cast("int"), (x["start"] - s["upto"]).cast("int"))
+        grown = F.when(x["start"] >= s["upto"], F.array(before, F.lit(mask))).otherwise(F.array().cast("array<string>"))
+        return F.struct(F.concat(s["out"], grown).alias("out"), F.greatest(s["upto"], x["stop"]).alias("upto"))
+
+    empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).cast("bigint").alias("upto")).cast(state)
+    folded = F.aggregate("_spans", empty, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(value, (s["upto"] + 1).cast("int"), F.length(value))))
+    joined = docs.withColumn("_value", F.col(text)).withColumn("_key", address(F.col(text))).join(hit, F.col("_key") == F.col("_blob"), "left")
+    return joined.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(folded)).select(docs.columns)
