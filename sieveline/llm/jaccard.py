@@ -51,7 +51,7 @@ from .words import mix, shingles, word_hashes
 
 PERCENT = 75
 #: Bytes of text whose shingles one task handles at once, and that one part of the hash range answers for.
-TOGETHER = 6 << 20
+TOGETHER = 10 << 20
 PART_BYTES = 4 << 20
 #: Rounds of offers against heads before the pairs that remain are verified.
 MOST_ROUNDS = 6
@@ -71,6 +71,25 @@ def _bytes(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Integers byte by byte, the least first: bytes that are mostly zero stand together and compress."""
+    return np.ascontiguousarray(x.astype(x.dtype.newbyteorder("<")).view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _of_planes(b: bytes | None, dtype: str) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(b or b"", dtype=np.uint8).reshape(size, -1).T).view("<" + dtype).reshape(-1)
+
+
+def _gaps(tokens: np.ndarray) -> bytes:
+    """Ascending shingles by their differences."""
+    return _planes(np.diff(tokens, prepend=_U(0)))
+
+
+def _of_gaps(b: bytes | None) -> np.ndarray:
+    return np.cumsum(_of_planes(b, "u8"), dtype=np.uint64)
+
+
 def _digest(tokens: np.ndarray) -> tuple[int, int]:
     with np.errstate(over="ignore"):
         return int(mix(tokens).sum(dtype=np.uint64)), int(mix(tokens ^ _U(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
@@ -117,10 +136,10 @@ def ask(docs: DataFrame, bits: int, key: str, text: str) -> DataFrame:
                 for p in range(1 << bits):
                     a, b = edges[p], edges[p + 1]
                     if a < b:
-                        rows.append((p, number, ASK, None, _bytes(distinct[a:b]), _bytes(counts[a:b]), _bytes(who[a:b])))
+                        rows.append((p, number, ASK, None, _gaps(distinct[a:b]), _planes(counts[a:b]), _planes(who[a:b])))
                 home = number % (1 << bits)
                 many = np.repeat(counts > 1, counts)
-                rows.append((home, number, SHARED, None, _bytes(distinct[counts > 1]), _bytes(counts[counts > 1]), _bytes(owner[many])))
+                rows.append((home, number, SHARED, None, _gaps(distinct[counts > 1]), _planes(counts[counts > 1]), _planes(owner[many])))
                 names = np.array([[x for x in name] for name in names], dtype=np.uint64).reshape(-1, 3)
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, pa.schema([("key", keys.type)])) as w:
@@ -134,10 +153,6 @@ def ask(docs: DataFrame, bits: int, key: str, text: str) -> DataFrame:
     return docs.select(key, text).mapInArrow(run, MESSAGE)
 
 
-def _column(table: pa.Table, name: str, kind: str) -> list[np.ndarray]:
-    return [np.frombuffer(x or b"", dtype=kind) for x in table.column(name).to_pylist()]
-
-
 def answer(messages: DataFrame) -> DataFrame:
     """In each part: ASK becomes the shingles found in several sets with their frequency; other messages pass."""
 
@@ -145,7 +160,8 @@ def answer(messages: DataFrame) -> DataFrame:
         asked = pa.compute.equal(table.column("kind"), ASK)
         rest = table.filter(pa.compute.invert(asked))
         table = table.filter(asked)
-        tokens, counts, who = (_column(table, c, k) for c, k in (("a", "u8"), ("b", "u4"), ("c", "u4")))
+        tokens = [_of_gaps(b) for b in table.column("a").to_pylist()]
+        counts, who = ([_of_planes(b, "u4") for b in table.column(c).to_pylist()] for c in ("b", "c"))
         if not tokens:
             return rest
         every, inverse = np.unique(np.concatenate(tokens), return_inverse=True)
@@ -155,9 +171,9 @@ def answer(messages: DataFrame) -> DataFrame:
             f = total[inverse[at : at + len(t)]]
             at += len(t)
             keep = f > 1
-            out_a.append(_bytes(t[keep]))
-            out_b.append(_bytes(np.minimum(f[keep], REPEATED).astype(np.uint32)))
-            out_c.append(_bytes(w[keep]))
+            out_a.append(_gaps(t[keep]))
+            out_b.append(_planes(np.minimum(f[keep], REPEATED).astype(np.uint32)))
+            out_c.append(_planes(w[keep]))
         table = table.set_column(4, "a", pa.array(out_a, pa.binary())).set_column(5, "b", pa.array(out_b, pa.binary())).set_column(6, "c", pa.array(out_c, pa.binary()))
         return pa.concat_tables([table, rest.cast(table.schema)])
 
@@ -168,14 +184,16 @@ def assemble(answers: DataFrame, key: str, kind: str) -> DataFrame:
     """Per row: ``key``, n, sid (16 bytes; null for the empty set), and for one row of each set that may link, its shared shingles in order and how many are posted."""
 
     def run(table: pa.Table) -> pa.Table:
-        kinds = np.array(table.column("kind").to_pylist())
-        get = lambda which, column, dtype: [x for x, k in zip(_column(table, column, dtype), kinds) if k == which]
-        names = get(SETS, "n", "u8")[0].reshape(-1, 3)
-        with pa.ipc.open_stream(next(x for x, k in zip(table.column("a").to_pylist(), kinds) if k == SETS)) as stream:
+        messages = list(zip(*[table.column(c).to_pylist() for c in ("kind", "n", "a", "b", "c")]))
+        _, names, keys, of_row, _ = next(m for m in messages if m[0] == SETS)
+        names, of_row = np.frombuffer(names, dtype=np.uint64).reshape(-1, 3), np.frombuffer(of_row, dtype=np.uint32)
+        with pa.ipc.open_stream(keys) as stream:
             keys = stream.read_all().column(0)
-        of_row = get(SETS, "b", "u4")[0]
-        tokens, freq, who = (np.concatenate(get(ASK, c, d) or [np.empty(0, dtype=d)]) for c, d in (("a", "u8"), ("b", "u4"), ("c", "u4")))
-        shared, counts, members = (get(SHARED, c, d)[0] for c, d in (("a", "u8"), ("b", "u4"), ("c", "u4")))
+        asked = [m for m in messages if m[0] == ASK]
+        tokens = np.concatenate([_of_gaps(m[2]) for m in asked] or [np.empty(0, dtype=np.uint64)])
+        freq, who = (np.concatenate([_of_planes(m[k], "u4") for m in asked] or [np.empty(0, dtype=np.uint32)]) for k in (3, 4))
+        repeated = next(m for m in messages if m[0] == SHARED)
+        shared, counts, members = _of_gaps(repeated[2]), _of_planes(repeated[3], "u4"), _of_planes(repeated[4], "u4")
         alone = who != REPEATED
         order = np.argsort(tokens[~alone])
         many_tokens, many_freq = tokens[~alone][order], freq[~alone][order]  # the same shingles as ``shared``, which is sorted

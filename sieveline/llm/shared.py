@@ -40,9 +40,12 @@ class Workspace:
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more."""
     import gc
+    import time
 
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the first round frees what Python held, the second what that held
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def held_out(doc_id: Column) -> Column:
