@@ -324,7 +324,8 @@ def could_link(na, nb, rest_a, rest_b):
 def offers(postings: DataFrame, turn: int) -> DataFrame:
     """Pairs of one member of each component in a list against the list's head.  The head changes with ``turn``."""
     lists = open_lists(postings)
-    near = F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), "sid", "root", "n")
+    # At first the same sets are heads everywhere, which makes few pairs; then every list has its own.
+    near = F.struct((F.xxhash64("sid", "token", F.lit(turn)) if turn else F.xxhash64("sid")).alias("h"), "sid", "root", "n")
     member = lists.groupBy("token", "root").agg(F.min(near).alias("m"))
     head = member.groupBy("token").agg(F.min("m").alias("h"))
     pair = member.join(head, "token").where("m.root != h.root").where(F.least("m.n", "h.n") * 100 >= F.greatest("m.n", "h.n") * PERCENT)
@@ -374,7 +375,7 @@ def link(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str =
             roots = components(tests.where("linked"), work, f"roots-{turn}")
         turn += 1
         release_shuffles(spark)
-        if not found or turn > 1 and found * 20 < tests.where("linked").count():
+        if not found or turn > 1 and found * 100 < tests.where("linked").count():
             break
     last = work.keep(verify(remaining(rooted(postings, roots), tests), sets), "last")
     if last.where("linked").limit(1).count():
