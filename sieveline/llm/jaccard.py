@@ -15,8 +15,8 @@ found until every component is whole, not all written out.
    first.  Linked sets share a shingle within their first n - ceil(0.75 n) + 1,
    so only those are posted, with their position, in lists that are cut into
    blocks by set size: sizes of linked sets lie in the same block or in
-   neighbours, so all other blocks of a list are skipped, and within a block
-   the position bounds the overlap that is still possible.
+   neighbours, so all other blocks of a list are skipped, and the position
+   bounds the overlap that is still possible, and with it the blocks further.
 4. Answers.  In each round every list offers its members against one of them,
    the head; pairs of one component are never offered again.  When rounds link
    nothing new, the pairs across components that remain are verified, except
@@ -42,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .language import pieces_of
@@ -50,8 +50,10 @@ from .shared import Workspace, release_shuffles, total_bytes
 from .words import mix, shingles, word_hashes
 
 PERCENT = 75
+#: Sizes of sets in a block of a list differ by this factor at most.
+BLOCK = 1.08
 #: Bytes of text whose shingles one task handles at once, and that one part of the hash range answers for.
-TOGETHER = 10 << 20
+TOGETHER = 6 << 20
 PART_BYTES = 4 << 20
 #: Rounds of offers against heads before the pairs that remain are verified.
 MOST_ROUNDS = 6
@@ -229,7 +231,7 @@ def assemble(answers: DataFrame, key: str, kind: str) -> DataFrame:
 
 
 def post(sets: DataFrame) -> DataFrame:
-    """(token, block, sid, n, rest): rest is how many shingles of the set stand at or after this position."""
+    """(token, sid, n, rest, block): rest is how many shingles of the set stand at or after this position."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,8 +250,12 @@ def post(sets: DataFrame) -> DataFrame:
                 ["token", "sid", "n", "rest"],
             )
 
-    block = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / PERCENT))
-    return sets.select("sid", "n", "tokens", "posted").mapInArrow(run, "token bigint, sid binary, n bigint, rest bigint").withColumn("block", block.cast("int"))
+    return sets.select("sid", "n", "tokens", "posted").mapInArrow(run, "token bigint, sid binary, n bigint, rest bigint").withColumn("block", block_of(F.col("n")))
+
+
+def block_of(size: Column) -> Column:
+    """The block of a list in which a set of this size stands."""
+    return F.floor(F.log(size.cast("double")) / math.log(BLOCK)).cast("int")
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -335,10 +341,16 @@ def offers(postings: DataFrame, turn: int) -> DataFrame:
 def remaining(postings: DataFrame, tests: DataFrame) -> DataFrame:
     """Pairs across components that could still link, without those already verified or settled by a similar set's answers."""
     lists = open_lists(postings)
-    left = lists.select("token", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"), F.col("sid").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"), F.col("root").alias("ca"))
+    # A set looks for sets that aren't larger.  From this position on its partner's size is bounded, so are the blocks to visit.
+    most = F.least(F.col("n"), F.floor(F.col("rest") * (100 + PERCENT) / F.lit(PERCENT)) - F.col("n"))
+    least = F.greatest(F.floor(F.col("n") * PERCENT / F.lit(100)), F.lit(1))
+    blocks = F.sequence(block_of(least), block_of(most))
+    left = lists.where(most >= least).select("token", F.explode(blocks).alias("block"), F.col("sid").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"), F.col("root").alias("ca"))
     right = lists.select("token", "block", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"), F.col("root").alias("cb"))
-    pairs = left.join(right, ["token", "block"]).where("a < b and ca != cb").groupBy("a", "b", "na", "nb").agg(F.max(F.least("ra", "rb")).alias("r"))
-    pairs = pairs.where(could_link(F.col("na"), F.col("nb"), F.col("r"), F.col("r"))).drop("r")
+    # At the first shingle that a pair shares, what stands from there on must be enough; so lists where it isn't need not offer the pair.
+    pairs = left.join(right, ["token", "block"]).where("(na > nb OR na = nb AND a > b) AND ca != cb").where(could_link(F.col("na"), F.col("nb"), F.col("ra"), F.col("rb")))
+    ordered = lambda x, y: F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y))
+    pairs = pairs.select(ordered("a", "b").alias("a"), ordered("b", "a").alias("b"), ordered("na", "nb").alias("na"), ordered("nb", "na").alias("nb")).distinct()
     pairs = pairs.join(tests.select("a", "b"), ["a", "b"], "left_anti")
     need = F.ceil((F.col("na") + F.col("nb")) * PERCENT / F.lit(100 + PERCENT))
     either = tests.select(F.col("a").alias("h"), F.col("b").alias("x"), "overlap", "linked").unionByName(tests.select(F.col("b").alias("h"), F.col("a").alias("x"), "overlap", "linked"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-CACHE = 500_000
+CACHE = 300_000
 TOGETHER = 64
 
 _PROCESSORS: dict[str, "PieceCodec"] = {}
