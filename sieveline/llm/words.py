@@ -86,7 +86,8 @@ def word_hashes(column: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.nda
             if cut <= a:
                 step = b
                 while True:
-                    more = np.flatnonzero(_SEPARATOR[raw[step : step + CHUNK]] | first[step : step + CHUNK])
+                    upto = min(step + CHUNK, len(raw))
+                    more = np.flatnonzero(_SEPARATOR[raw[step:upto]] | first[step:upto])
                     if len(more):
                         cut = step + int(more[0])
                         break
