@@ -19,7 +19,7 @@ found until every component is whole, not all written out.
    bounds the overlap that is still possible, and with it the blocks further.
 4. Answers.  In each round every list offers its members against one of them,
    the head; pairs of one component are never offered again.  When rounds link
-   nothing new, the pairs across components that remain are verified, except
+   little more, the pairs across components that remain are verified, except
    those that a similar set's answers settle: if a is linked to a head h with
    known overlap, then |a & b| <= |h & b| + |a - h|, and the pair is skipped if
    that is too little.
@@ -56,7 +56,9 @@ BLOCK = 1.08
 TOGETHER = 6 << 20
 PART_BYTES = 4 << 20
 #: Rounds of offers against heads before the pairs that remain are verified.
-MOST_ROUNDS = 6
+MOST_ROUNDS = 3
+#: Rounds end when one adds less than this part of all links.
+ENOUGH = 50
 REPEATED = 0xFFFFFFFF
 ASK, SETS, SHARED = 0, 1, 2
 _U = np.uint64
@@ -278,34 +280,40 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(run, "a binary, b binary, overlap bigint, linked boolean")
 
 
-def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
-    """(node, root): the least node reachable, for every node of edges (a, b).
+def star(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """A large-star and a small-star step over edges (u, v) with u > v: the same components, nearer to stars round their least nodes."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # Larger neighbours of a node move to its least neighbour.
+    large = work.keep(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v"), f"{name}-large")
+    # A node's smaller neighbours, and itself, move to the least of them.
+    low = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+    out = work.keep(small, name)
+    work.drop(f"{name}-large")
+    return out
 
-    Large-star and small-star steps in turn until nothing changes: each keeps
-    the components and moves every edge nearer to a star round the least node.
-    """
-    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    now = work.keep(now, f"{name}-0")
+
+def ordered_edges(linked: DataFrame) -> DataFrame:
+    return linked.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v")
+
+
+def settled(edges: DataFrame, work: Workspace) -> DataFrame:
+    """Star steps until nothing changes: every node then has one edge, to the least node of its component."""
     state, step = None, 0
     while True:
-        # Large star: larger neighbours of each node move to the least neighbour.
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = work.keep(large.where("u != v").distinct(), f"{name}-{step}-large")
-        # Small star: a node's smaller neighbours, and itself, move to the least of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        step += 1
-        after = work.keep(small, f"{name}-{step}")
-        count = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        work.drop(f"{name}-{step - 1}")
-        work.drop(f"{name}-{step - 1}-large")
-        now = after
-        if tuple(count) == state:
-            break
-        state = tuple(count)
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        edges = star(edges, work, f"settled-{step}")
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if tuple(now) == state:
+            return edges
+        if step:
+            work.drop(f"settled-{step - 1}")
+        state, step = tuple(now), step + 1
+
+
+def roots_of(edges: DataFrame) -> DataFrame:
+    """(node, root): a node of the same component for each node but roots; the component's least once edges are settled."""
+    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
 
 
 def rooted(postings: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -375,36 +383,36 @@ def link(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str =
     postings = post(sets)
     lists = postings.groupBy("token").agg(F.min("sid").alias("_low"), F.max("sid").alias("_high")).where("_low != _high").select("token")
     postings = work.keep(postings.join(lists, "token", "left_semi"), "postings")
-    tests, roots, turn = None, None, 0
+    tests, edges, turn = None, None, 0
     while turn < MOST_ROUNDS:
-        pairs = offers(rooted(postings, roots), turn)
+        pairs = offers(rooted(postings, edges and roots_of(edges)), turn)
         if tests is not None:
             pairs = pairs.join(tests.select("a", "b"), ["a", "b"], "left_anti")
         new = work.keep(verify(pairs, sets), f"tests-{turn}")
-        found = new.where("linked").count()
+        linked = new.where("linked")
+        found = linked.count()
         tests = new if tests is None else tests.unionByName(new)
         if found:
-            roots = components(tests.where("linked"), work, f"roots-{turn}")
+            # One step is enough between rounds: sets with one root are in one component, if not yet all of them.
+            added = ordered_edges(linked)
+            edges = star(added if edges is None else edges.unionByName(added), work, f"edges-{turn}")
         turn += 1
         release_shuffles(spark)
-        if not found or turn > 1 and found * 100 < tests.where("linked").count():
+        if not found or turn > 1 and found * ENOUGH < tests.where("linked").count():
             break
-    last = work.keep(verify(remaining(rooted(postings, roots), tests), sets), "last")
-    if last.where("linked").limit(1).count():
-        roots = components(tests.unionByName(last).where("linked"), work, "roots")
+    last = work.keep(verify(remaining(rooted(postings, edges and roots_of(edges)), tests), sets), "last")
+    added = ordered_edges(last.where("linked"))
+    edges = settled(added if edges is None else edges.unionByName(added), work)
     release_shuffles(spark)
-    return numbered(rows, roots, key)
+    return numbered(rows, roots_of(edges), key)
 
 
-def numbered(rows: DataFrame, roots: DataFrame | None, key: str) -> DataFrame:
+def numbered(rows: DataFrame, roots: DataFrame, key: str) -> DataFrame:
     """The least key of each component, joined to its rows by way of the sets."""
     least = rows.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min(key).alias("low"))
-    if roots is not None:
-        least = least.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-        low = least.groupBy("root").agg(F.min("low").alias("component_id"))
-        least = least.join(low, "root").select("sid", "component_id")
-    else:
-        least = least.withColumnRenamed("low", "component_id")
+    least = least.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    low = least.groupBy("root").agg(F.min("low").alias("component_id"))
+    least = least.join(low, "root").select("sid", "component_id")
     return rows.join(least, "sid", "left").select(key, F.col("n").alias("n_shingles"), F.coalesce("component_id", F.col(key)).alias("component_id"))
 
 
