@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +23,39 @@ def files_from_dir(spark: SparkSession, root: str, check: str | None = None) ->
     if check:
         reader = reader.option("pathGlobFilter", "*{" + ",".join(SUFFIXES[check]) + "}")
     path = F.regexp_replace("path", r"^file:/+", "/")
-    return with_path_parts(reader.load(root).select(path.alias("path"), F.try_validate_utf8(F.col("content").cast("string")).alias("content")))
+    found = reader.load(root).select("path", "content")
+    hidden = hidden_files(root, SUFFIXES[check] if check else None)
+    if hidden:
+        found = found.unionByName(read_files(spark.createDataFrame([(p,) for p in hidden], "path string")))
+    return with_path_parts(found.select(path.alias("path"), F.try_validate_utf8(F.col("content").cast("string")).alias("content")))
+
+
+def hidden_files(root: str, suffixes: tuple[str, ...] | None) -> list[str]:
+    """Files below root that Spark's own listing passes over: those with a name, or in a folder, that begins with _ or a dot.
+
+    ``__init__.py`` is one.  The listing is the driver's, as Spark's is.
+    """
+    system, base = _file_system(root)
+    infos = system.get_file_info(pafs.FileSelector(base, recursive=True))
+    names = [i.path for i in infos if i.type == pafs.FileType.File and (suffixes is None or i.path.endswith(suffixes))]
+    return sorted(n for n in names if any(part.startswith(("_", ".")) for part in n[len(base) :].strip("/").split("/")))
+
+
+def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(path if ":" in path.split("/")[0] else os.path.abspath(path))
+
+
+def read_files(paths: DataFrame) -> DataFrame:
+    """(path, content) of files (path), read on the executors, one at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                system, name = _file_system(path)
+                with system.open_input_file(name) as f:
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([f.read()], pa.binary())], ["path", "content"])
+
+    return paths.mapInArrow(run, "path string, content binary")
 
 
 def files_from_table(table: DataFrame, path: Column, text: Column) -> DataFrame:
