@@ -189,10 +189,11 @@ STATEMENTS = (
 def statement_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, file_name, suffix, parts, content) of a Python file of one statement for each event."""
     from ..sources.files import with_path_parts
+    from ..sources.spread import spread
 
     events = table(spark, sf_dir, "events")
     rows = events.select(F.concat(F.lit("ast/"), F.col("event_id").cast("string"), F.lit(".py")).alias("path"), pick(STATEMENTS, F.col("event_id") % len(STATEMENTS)).alias("content"))
-    return with_path_parts(rows)
+    return spread(with_path_parts(rows))
 
 
 #: Layers of the planted architecture, with what each must not import.

@@ -15,6 +15,7 @@ from .operators.syntax import imports, secret_assignments, syntax_nodes
 from .plans import arch, audit, gate
 from .plans.planted import ARCH_SQL, LAYERS, PLANTED_SQL, arch_edges, arch_files, design_json, listed, planted_files, planted_lines, quoted, statement_files, table
 from .sources.files import files_from_table, lines, scan
+from .sources.spread import spread
 from .sources.trace import last_per_step
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,7 +90,7 @@ SA_ID = "printf('SA-%03d', row_number() OVER (ORDER BY phase, regexp_replace(pat
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("doc/"), "lang", F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".py"))
-    return files_from_table(table(spark, sf_dir, "documents"), path, F.col("text"))
+    return files_from_table(spread(table(spark, sf_dir, "documents")), path, F.col("text"))
 
 
 DOC_LINES_SQL = """dlines AS (
@@ -140,7 +141,7 @@ PAGE_LINES_SQL = """plines AS (
 @query(f"WITH {PAGE_LINES_SQL} SELECT path, line_no, rule_id FROM ({matches_sql('SA-JS', 'plines')})")
 def static_js_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("web/"), F.col("page_id").cast("string"), F.lit(".js"))
-    pages = files_from_table(table(spark, sf_dir, "pages"), path, F.col("html"))
+    pages = files_from_table(spread(table(spark, sf_dir, "pages")), path, F.col("html"))
     return match(lines(pages), rules("SA-JS")).select("path", "line_no", "rule_id")
 
 
@@ -159,6 +160,12 @@ def security_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.security_patterns(lines(_documents(spark, sf_dir))).select("path", "line_no", "rule_id", "severity")
 
 
+@query(f"WITH {DOC_LINES_SQL} SELECT rule_id, count(*) AS n FROM ({matches_sql(tuple(r.rule_id for r in rules('SA', 'SEC', 'AUD')), 'dlines')}) GROUP BY rule_id")
+def all_rules_over_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches by rule of all 55 patterns over every line of documents."""
+    return match(lines(_documents(spark, sf_dir)), rules("SA", "SEC", "AUD")).groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {PLANTED_SQL}, {FACTS_SQL}, se AS ({scan_sql('security')}), twice AS (SELECT * FROM se UNION ALL SELECT * FROM se) SELECT path, line_no, rule_id FROM (SELECT *, row_number() OVER (PARTITION BY path, line_no, rule_id) AS k FROM ({matches_sql('SEC-RX', 'twice')})) WHERE k = 1")
 def security_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _own(spark, sf_dir, "security")
