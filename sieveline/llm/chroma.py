@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.spread import spread
 from .shared import Workspace
 
 RATE = 4000
@@ -142,7 +143,7 @@ def fingerprint(recordings: DataFrame, key: str, audio: str, decode: Callable[..
                 digest = [hashlib.sha256(c).hexdigest() if c else None for c in found]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary()), pa.array(digest, pa.string())], [key, "codes", "digest"])
 
-    return recordings.select(key, audio).mapInArrow(run, f"{key} {recordings.schema[key].dataType.simpleString()}, codes binary, digest string")
+    return spread(recordings.select(key, audio)).mapInArrow(run, f"{key} {recordings.schema[key].dataType.simpleString()}, codes binary, digest string")
 
 
 def bit_errors(x: np.ndarray, y: np.ndarray, offset: int) -> tuple[int, int]:

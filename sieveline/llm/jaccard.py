@@ -45,6 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.spread import spread
 from .language import pieces_of
 from .shared import Workspace, release_shuffles, total_bytes
 from .words import mix, shingles, word_hashes
@@ -154,7 +155,7 @@ def ask(docs: DataFrame, bits: int, key: str, text: str) -> DataFrame:
                     chunk = rows[a : a + 64]
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in chunk], kind) for k, kind in enumerate(kinds)], ["part", "batch", "kind", "n", "a", "b", "c"])
 
-    return docs.select(key, text).mapInArrow(run, MESSAGE)
+    return spread(docs.select(key, text)).mapInArrow(run, MESSAGE)
 
 
 def answer(messages: DataFrame) -> DataFrame:

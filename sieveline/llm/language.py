@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.spread import spread
 from .crf import Adam, Layout, forward_backward
 from .words import mix, text_buffer
 
@@ -224,4 +225,4 @@ def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str
                 labels, score, _ = label_texts(sent.value, part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(labels, pa.string()), pa.array(score, pa.float64())], [key, "lang_pred", "score"])
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, lang_pred string, score double")
+    return spread(docs.select(key, text)).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, lang_pred string, score double")

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.spread import spread
 from . import style
 from .crf import Adam, Layout, forward_backward, viterbi
 from .language import pieces_of
@@ -180,7 +181,7 @@ def apply(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 got = judge(sent.value, part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(v, kinds.get(k, pa.int64())) for k, v in got.items()]], [key, *got])
 
-    return docs.select(key, text).mapInArrow(
+    return spread(docs.select(key, text)).mapInArrow(
         run,
         f"{key} {docs.schema[key].dataType.simpleString()}, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, content_share double",
     )

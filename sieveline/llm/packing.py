@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.spread import spread
 from .language import pieces_of
 from .shared import total_bytes
 
@@ -111,7 +112,7 @@ def encode(docs: DataFrame, path: str, end: int, key: str, text: str) -> DataFra
                 ids = [np.array([*encoder(t), end] if t else [end], dtype="<u2").tobytes() for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], [key, "ids"])
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, ids binary")
+    return spread(docs.select(key, text)).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, ids binary")
 
 
 def pack(docs: DataFrame, path: str, end: int, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -27,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..sources.spread import spread
+
 SPACE = "▁"
 CACHE = 300_000
 TOGETHER = 64
@@ -196,4 +198,4 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", key: str
 
     kind = docs.schema[key].dataType.simpleString()
     extra = ", ids array<int>, decoded string" if with_ids else ""
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{extra}")
+    return spread(docs.select(key, text)).mapInArrow(run, f"{key} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{extra}")

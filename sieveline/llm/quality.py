@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.spread import spread
 from . import style
 from .crf import Adam
 from .language import pieces_of
@@ -195,7 +196,7 @@ def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str =
                 s = sent.value.score(features(part.column(1))) if sent.value else np.zeros(part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64())], [key, "score"])
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, score double")
+    return spread(docs.select(key, text)).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, score double")
 
 
 def keep(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
@@ -210,4 +211,4 @@ def keep(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, tex
             for part in pieces_of(batch, at):
                 yield part.filter(pa.array(sent.value.score(features(part.column(at))) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)
