@@ -473,3 +473,16 @@ def test_pipeline_stages_against_brute_force(spark):
 def test_style_handles_every_line(spark):
     t = style.read(pa.array(["a\nb\n", "", None, "x"]))
     assert np.diff(t.line_at).tolist() == [3, 1, 1, 1] and t.line_words.tolist() == [1, 1, 0, 0, 0, 1]
+
+
+@pytest.mark.parametrize("name", ["op3_jaccard_join", "op4_secret_scans"])
+def test_same_as_sql(spark, name):
+    import duckdb
+
+    from sieveline.llm.queries import ORACLES
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.execute(ORACLES[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(tuple(r[c] for c in columns) for r in QUERIES[name](spark, SF).collect()) == sorted(want.fetchall())
