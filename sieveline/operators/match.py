@@ -38,7 +38,7 @@ def guarded(rule: Rule) -> Column | None:
 def holds(rule: Rule) -> Column:
     condition = F.col("suffix").isin(*rule.suffixes)
     if rule.needs:
-        condition = condition & any_of(F.contains(F.col("_lower"), F.lit(n)) for n in rule.needs)
+        condition = condition & any_of(F.contains(F.col("_folded"), F.lit(n)) for n in rule.needs)
     condition = condition & F.col("line").rlike(pattern(rule.regex, rule.ignore_case))
     guard = guarded(rule)
     return condition if guard is None else condition & ~guard
@@ -55,8 +55,8 @@ def match(lines: DataFrame, rules: Iterable[Rule]) -> DataFrame:
         return lines.withColumn("rule_id", F.lit("")).limit(0)
     found = F.filter(F.array(*[F.when(holds(r), F.lit(r.rule_id)) for r in rules]), lambda x: x.isNotNull())
     prepared = lines.where(F.col("suffix").isin(*sorted({s for r in rules for s in r.suffixes})))
-    prepared = prepared.withColumn("_stripped", strip(F.col("line"))).withColumn("_lower", F.lower("line"))
-    return prepared.withColumn("rule_id", F.explode(found)).drop("_stripped", "_lower")
+    prepared = prepared.withColumn("_stripped", strip(F.col("line"))).withColumn("_lower", F.lower("line")).withColumn("_folded", F.translate(F.lower("line"), "ſ", "s"))
+    return prepared.withColumn("rule_id", F.explode(found)).drop("_stripped", "_lower", "_folded")
 
 
 def unprotected_routes(lines: DataFrame) -> DataFrame:

@@ -2,8 +2,9 @@
 
 A rule belongs to a check, applies to files with certain suffixes, and finds
 the lines that its pattern matches unless a guard holds.  ``needs`` are
-substrings (of the lower-cased line) of which every match has at least one;
-they let most lines skip the pattern.
+substrings of the folded line of which every match has at least one; they let
+most lines skip the pattern.  Where case is ignored they hold no i, as other
+letters than I fold to it in a pattern.
 """
 
 from __future__ import annotations
@@ -43,25 +44,25 @@ SA-JS-3 ¦ P2 ¦ js ¦ - ¦ - ¦ == ¦ ==(?!=)
 SEC-RX-1 ¦ P0 ¦ security ¦ comment ¦ - ¦ execute ¦ execute\s*\(\s*['\"].*%\s*.*['\"]
 SEC-RX-2 ¦ P0 ¦ security ¦ comment ¦ - ¦ .execute ¦ \.execute\s*\(\s*["']\s*SELECT.*\+
 SEC-RX-3 ¦ P0 ¦ security ¦ comment ¦ - ¦ .execute ¦ \.execute\s*\(\s*f['\"]
-SEC-RX-4 ¦ P0 ¦ security ¦ comment ¦ i ¦ - ¦ (api_key|apikey|secret|password|token)\s*=\s*["'][^'"]{8,}["']
-SEC-RX-5 ¦ P0 ¦ security ¦ comment ¦ i ¦ - ¦ (access_key|secret_key|private_key)\s*=\s*["'][^'"]+["']
+SEC-RX-4 ¦ P0 ¦ security ¦ comment ¦ i ¦ key,secret,password,token ¦ (api_key|apikey|secret|password|token)\s*=\s*["'][^'"]{8,}["']
+SEC-RX-5 ¦ P0 ¦ security ¦ comment ¦ i ¦ _key ¦ (access_key|secret_key|private_key)\s*=\s*["'][^'"]+["']
 SEC-RX-6 ¦ P0 ¦ security ¦ comment ¦ - ¦ innerhtml ¦ innerHTML\s*=
 SEC-RX-7 ¦ P1 ¦ security ¦ comment ¦ - ¦ document.write( ¦ document\.write\(
 SEC-RX-8 ¦ P0 ¦ security ¦ comment ¦ - ¦ os.system ¦ os\.system\s*\(\s*.*\+
 SEC-RX-9 ¦ P0 ¦ security ¦ comment ¦ - ¦ ../ ¦ (?:open|os\.path\.|Path|os\.chdir|os\.listdir|os\.remove|shutil)\s*\(.*\.\./
-SEC-RX-10 ¦ P1 ¦ security ¦ comment ¦ i ¦ - ¦ log.*password
+SEC-RX-10 ¦ P1 ¦ security ¦ comment ¦ i ¦ password ¦ log.*password
 SEC-RX-11 ¦ P2 ¦ security ¦ comment ¦ - ¦ random.random ¦ random\.random\s*\(
-AUD-INJ-1 ¦ critical ¦ audit ¦ - ¦ i ¦ - ¦ execute\s*\(\s*['\"].*%s
-AUD-INJ-2 ¦ critical ¦ audit ¦ - ¦ i ¦ - ¦ execute\s*\(\s*f['\"]
-AUD-INJ-3 ¦ critical ¦ audit ¦ - ¦ i ¦ - ¦ execute\s*\(\s*['\"].*\".*\+
-AUD-INJ-4 ¦ critical ¦ audit ¦ - ¦ i ¦ - ¦ rawQuery\s*\(\s*.*\+
+AUD-INJ-1 ¦ critical ¦ audit ¦ - ¦ i ¦ execute ¦ execute\s*\(\s*['\"].*%s
+AUD-INJ-2 ¦ critical ¦ audit ¦ - ¦ i ¦ execute ¦ execute\s*\(\s*f['\"]
+AUD-INJ-3 ¦ critical ¦ audit ¦ - ¦ i ¦ execute ¦ execute\s*\(\s*['\"].*\".*\+
+AUD-INJ-4 ¦ critical ¦ audit ¦ - ¦ i ¦ rawquery ¦ rawQuery\s*\(\s*.*\+
 AUD-INJ-5 ¦ critical ¦ audit ¦ - ¦ - ¦ os.system ¦ os\.system\s*\(\s*.*\+
 AUD-INJ-6 ¦ critical ¦ audit ¦ - ¦ - ¦ subprocess. ¦ subprocess\.(call|Popen)\s*\(\s*.*\+
 AUD-INJ-7 ¦ critical ¦ audit ¦ - ¦ - ¦ eval ¦ eval\s*\(\s*.*\+
-AUD-SEN-1 ¦ critical ¦ audit ¦ secret ¦ i ¦ - ¦ (password|passwd|secret)\s*=\s*["'][^"']{4,}["']
-AUD-SEN-2 ¦ critical ¦ audit ¦ secret ¦ i ¦ - ¦ (api_key|apikey)\s*=\s*["'][^"']{8,}["']
-AUD-SEN-3 ¦ critical ¦ audit ¦ secret ¦ i ¦ - ¦ (token|jwt_secret)\s*=\s*["'][^"']{8,}["']
-AUD-SEN-4 ¦ critical ¦ audit ¦ secret ¦ i ¦ - ¦ aws_.*key\s*=\s*["'][^"']+["']
+AUD-SEN-1 ¦ critical ¦ audit ¦ secret ¦ i ¦ password,passwd,secret ¦ (password|passwd|secret)\s*=\s*["'][^"']{4,}["']
+AUD-SEN-2 ¦ critical ¦ audit ¦ secret ¦ i ¦ key ¦ (api_key|apikey)\s*=\s*["'][^"']{8,}["']
+AUD-SEN-3 ¦ critical ¦ audit ¦ secret ¦ i ¦ token,secret ¦ (token|jwt_secret)\s*=\s*["'][^"']{8,}["']
+AUD-SEN-4 ¦ critical ¦ audit ¦ secret ¦ i ¦ aws_ ¦ aws_.*key\s*=\s*["'][^"']+["']
 AUD-SEN-5 ¦ high ¦ audit ¦ not-api ¦ - ¦ http:// ¦ http://(?!localhost|127\.0\.0\.1)
 AUD-XSS-1 ¦ critical ¦ web ¦ - ¦ - ¦ innerhtml ¦ innerHTML\s*=
 AUD-XSS-2 ¦ high ¦ web ¦ - ¦ - ¦ outerhtml ¦ outerHTML\s*=
@@ -73,11 +74,11 @@ AUD-DES-2 ¦ critical ¦ py ¦ raw ¦ - ¦ cpickle. ¦ cPickle\.loads?\(
 AUD-DES-3 ¦ critical ¦ py ¦ raw ¦ - ¦ dill. ¦ dill\.loads?\(
 AUD-DES-4 ¦ critical ¦ py ¦ raw ¦ - ¦ yaml.load ¦ yaml\.load\s*\(
 AUD-DES-5 ¦ high ¦ py ¦ raw ¦ - ¦ marshal. ¦ marshal\.loads?\(
-AUD-LOG-1 ¦ medium ¦ audit ¦ - ¦ i ¦ - ¦ log.*password
-AUD-LOG-2 ¦ medium ¦ audit ¦ - ¦ i ¦ - ¦ log.*token
-AUD-LOG-3 ¦ medium ¦ audit ¦ - ¦ i ¦ - ¦ log.*secret
-AUD-LOG-4 ¦ medium ¦ audit ¦ - ¦ i ¦ - ¦ log.*credit
-AUD-LOG-5 ¦ medium ¦ audit ¦ - ¦ i ¦ - ¦ print.*password
+AUD-LOG-1 ¦ medium ¦ audit ¦ - ¦ i ¦ password ¦ log.*password
+AUD-LOG-2 ¦ medium ¦ audit ¦ - ¦ i ¦ token ¦ log.*token
+AUD-LOG-3 ¦ medium ¦ audit ¦ - ¦ i ¦ secret ¦ log.*secret
+AUD-LOG-4 ¦ medium ¦ audit ¦ - ¦ i ¦ cred ¦ log.*credit
+AUD-LOG-5 ¦ medium ¦ audit ¦ - ¦ i ¦ password ¦ print.*password
 AUD-PTH-1 ¦ high ¦ audit ¦ - ¦ - ¦ ../ ¦ \.\./
 AUD-PTH-2 ¦ high ¦ audit ¦ - ¦ - ¦ os.path.join ¦ os\.path\.join\s*\(.*request
 AUD-PTH-3 ¦ high ¦ audit ¦ - ¦ - ¦ open ¦ open\s*\(\s*.*\+.*request
