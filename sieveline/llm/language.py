@@ -154,18 +154,35 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model:
     return model
 
 
+def cuts_between_runs(raw: np.ndarray, most: int = TOGETHER) -> Iterator[tuple[int, int]]:
+    """Stretches of about ``most`` bytes of a text that begin and end outside runs."""
+    a = 0
+    while a < len(raw):
+        b = min(len(raw), a + most)
+        while b < len(raw) and _BYTE[raw[b]]:
+            b += 1
+        yield a, b
+        a = b
+
+
 def label_texts(model: Model | None, column: pa.Array) -> tuple[list[str], np.ndarray, list[np.ndarray]]:
     """(label, score and share of each language) of each text."""
     raw, at = text_buffer(column)
-    words = letter_runs(raw, at)
-    sizes = np.diff(words.texts)
-    n = len(sizes)
+    n = len(at) - 1
     labels, score = [UNKNOWN] * n, np.zeros(n)
-    if model is None or not model.labels or not len(words.runs):
+    if model is None or not model.labels or not len(raw):
+        return labels, score, []
+    if n == 1:  # one text of any length, cut between runs
+        parts = [letter_runs(raw[a:b], np.array([0, b - a])) for a, b in cuts_between_runs(raw)]
+    else:
+        parts = [letter_runs(raw, at)]
+    sizes = sum(np.diff(w.texts) for w in parts)
+    if not sizes.any():
         return labels, score, []
-    marginal, *_ = forward_backward(Layout(sizes), model.scores(words).astype(np.float32), model.transition, model.start)
+    marks = np.concatenate([model.scores(w).astype(np.float32) for w in parts])
+    marginal, *_ = forward_backward(Layout(sizes), marks, model.transition, model.start)
     has = np.flatnonzero(sizes)
-    share = np.add.reduceat(marginal.astype(np.float64), words.texts[:-1][has], axis=0) / sizes[has, None]
+    share = np.add.reduceat(marginal.astype(np.float64), (np.cumsum(sizes) - sizes)[has], axis=0) / sizes[has, None]
     best = share.argmax(axis=1)
     for i, k, s in zip(has.tolist(), best.tolist(), share):
         labels[i], score[i] = model.labels[k], min(1.0, max(0.0, float(s[k])))

@@ -32,6 +32,7 @@ from ..sources.spread import spread
 SPACE = "▁"
 CACHE = 300_000
 TOGETHER = 64
+PART = 1 << 20
 
 _PROCESSORS: dict[str, "PieceCodec"] = {}
 
@@ -136,6 +137,17 @@ class PieceCodec:
         text = SPACE + text.replace(" ", SPACE)
         if not self.words_apart:
             return self.word(text)
+        out, a = [], 0
+        while a < len(text):  # a long text in parts that begin with a space symbol and don't end with one
+            b = text.find(SPACE, a + PART)
+            while 0 < b and text[b - 1] == SPACE:
+                b = text.find(SPACE, b + 1)
+            b = b if b > 0 else len(text)
+            out.append(self.stretches(text[a:b]))
+            a = b
+        return b"".join(out)
+
+    def stretches(self, text: str) -> bytes:
         if SPACE + SPACE in text:
             stretches = re.findall(f"{SPACE}+[^{SPACE}]*", text)
         else:

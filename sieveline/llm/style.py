@@ -15,6 +15,7 @@ from .words import mix, text_buffer, word_hashes
 #: Byte classes.
 SPACE, NEWLINE, UPPER, LOWER, DIGIT, SYMBOL, PIPE, BANG, STOP, OTHER, LEAD, CONTINUATION = range(12)
 CLASSES = 12
+CHUNK = 1 << 20
 
 _CLASS = np.full(256, OTHER, dtype=np.int64)
 _CLASS[[0x20, 0x09, 0x0B, 0x0C, 0x0D]] = SPACE
@@ -32,9 +33,16 @@ _CLASS[0x80:0xC0] = CONTINUATION
 
 def count_classes(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """(segments, CLASSES): the bytes of each class in each segment; segments may be empty."""
-    ends = np.append(starts[1:], len(raw))
-    owner = np.repeat(np.arange(len(starts)), ends - starts)
-    return np.bincount(owner * CLASSES + _CLASS[raw], minlength=len(starts) * CLASSES).reshape(-1, CLASSES)
+    out = np.zeros(len(starts) * CLASSES, dtype=np.int64)
+    for a in range(0, len(raw), CHUNK):
+        b = min(len(raw), a + CHUNK)
+        # The segments of this stretch, and how much of it each has.
+        first, last = np.searchsorted(starts, [a, b - 1], side="right") - 1
+        edges = np.append(np.maximum(starts[first : last + 1], a), b)
+        owner = np.repeat(np.arange(last + 1 - first), np.diff(edges))
+        counts = np.bincount(owner * CLASSES + _CLASS[raw[a:b]], minlength=(last + 1 - first) * CLASSES)
+        out[first * CLASSES : (last + 1) * CLASSES] += counts
+    return out.reshape(-1, CLASSES)
 
 
 @dataclass

@@ -431,6 +431,27 @@ def test_ids_are_the_librarys():
     assert [x.tolist() for x in ids] == sp.encode(texts, add_bos=True, add_eos=True) and decoded == [sp.decode(x.tolist()) for x in ids]
 
 
+def test_long_texts_in_parts_are_the_same(monkeypatch):
+    rng = random.Random(12)
+    texts = ["".join(rng.choices(["a", "the", " ", "  ", "▁", "é", "1", "\n", "日本", "token"], k=400)) for _ in range(60)] + [" " * 300, "a" * 300]
+    column = pa.array(texts)
+    model = language.train(["the a token"] * 5 + ["é é ka"] * 5, ["en"] * 5 + ["fr"] * 5)
+    whole = style.read(column)
+    labels = [language.label_texts(model, pa.array([t]))[:2] for t in texts]
+    monkeypatch.setattr(pieces, "PART", 7)
+    monkeypatch.setattr(style, "CHUNK", 13)
+    cut = style.read(column)
+    assert (whole.line_counts == cut.line_counts).all() and (whole.counts == cut.counts).all()
+    assert whole.counts.sum() == sum(len(t.encode()) for t in texts)
+    pieces.encode_texts(texts, piece_model(), "texts")
+    own = language.cuts_between_runs
+    monkeypatch.setattr(language, "cuts_between_runs", lambda raw: own(raw, 11))
+    assert [language.label_texts(model, pa.array([t]))[0] for t in texts] == [x for x, _ in labels]
+    assert all(np.allclose(language.label_texts(model, pa.array([t]))[1], s, atol=1e-4) for t, (_, s) in zip(texts, labels))
+    together = language.label_texts(model, column)
+    assert together[0] == [x[0] for x, _ in labels] and np.allclose(together[1], [s[0] for _, s in labels], atol=1e-4)
+
+
 def test_a_difference_is_an_error(monkeypatch):
     c = pieces.PieceCodec(piece_model())
     monkeypatch.setitem(pieces._PROCESSORS, piece_model(), c)
