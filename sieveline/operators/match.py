@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import pattern, strip
+from ..functions.text import pattern
 from .rules import Rule
 
 #: What a comment line begins with.
@@ -19,19 +19,24 @@ def any_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
+def begins(*marks: str) -> Column:
+    """Lines that begin with one of the marks, after white space."""
+    return F.col("line").rlike(r"(?U)^[\s\x1c-\x1f]*(" + "|".join(r"\Q" + m + r"\E" for m in marks) + ")")
+
+
 def guarded(rule: Rule) -> Column | None:
-    """Holds where the rule is not to report."""
-    stripped, line = F.col("_stripped"), F.col("line")
+    """Holds where the rule is not to report.  Only asked of lines that the pattern matches."""
+    line = F.col("line")
     if rule.guard == "hash":
-        return stripped.startswith("#")
+        return begins("#")
     if rule.guard == "comment":
-        return any_of(stripped.startswith(c) for c in COMMENTS)
+        return begins(*COMMENTS)
     if rule.guard == "secret":
-        return stripped.startswith("#") | stripped.startswith("//") | F.contains(F.lower("file_name"), F.lit("example"))
+        return begins("#", "//") | F.contains(F.lower("file_name"), F.lit("example"))
     if rule.guard == "raw":
         return F.contains(line, F.lit('r"')) | F.contains(line, F.lit("r'"))
     if rule.guard == "not-api":
-        return ~F.contains(F.col("_lower"), F.lit("api"))
+        return ~F.contains(F.lower(line), F.lit("api"))
     return None
 
 
@@ -55,8 +60,14 @@ def match(lines: DataFrame, rules: Iterable[Rule]) -> DataFrame:
         return lines.withColumn("rule_id", F.lit("")).limit(0)
     found = F.filter(F.array(*[F.when(holds(r), F.lit(r.rule_id)) for r in rules]), lambda x: x.isNotNull())
     prepared = lines.where(F.col("suffix").isin(*sorted({s for r in rules for s in r.suffixes})))
-    prepared = prepared.withColumn("_stripped", strip(F.col("line"))).withColumn("_lower", F.lower("line")).withColumn("_folded", F.translate(F.lower("line"), "ſ", "s"))
-    return prepared.withColumn("rule_id", F.explode(found)).drop("_stripped", "_lower", "_folded")
+    # s and its long form are one letter to patterns that ignore case.
+    prepared = prepared.withColumn("_folded", F.replace(F.lower("line"), F.lit("ſ"), F.lit("s")))
+    literals = {n for r in rules for n in r.needs}
+    if all(r.needs for r in rules):
+        # Most lines have none of the literals, and no rule is tried on them.
+        apart = sorted(n for n in literals if not any(o != n and o in n for o in literals))
+        found = F.when(any_of(F.contains("_folded", F.lit(n)) for n in apart), found)
+    return prepared.withColumn("rule_id", F.explode(found)).drop("_folded")
 
 
 def unprotected_routes(lines: DataFrame) -> DataFrame:
