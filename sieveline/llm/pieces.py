@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +31,12 @@ from pyspark.sql import DataFrame
 from ..sources.spread import spread
 
 SPACE = "▁"
-CACHE = 300_000
+#: Entries of one generation of a table; two are held.
+CACHE = 200_000
 TOGETHER = 64
 PART = 1 << 20
+SHORT = 40
+NEVER = float("inf")
 
 _PROCESSORS: dict[str, "PieceCodec"] = {}
 
@@ -62,12 +66,46 @@ class PieceCodec:
         self.touching = {p[i : i + 2] for p in self.rank for i in range(len(p) - 1)}
         #: a space symbol starts a cut of its own unless some piece has one inside
         self.words_apart = all(SPACE not in p.lstrip(SPACE) for p in self.rank)
+        # What is remembered, and what was before: entries in use move from the second to the first.
         self.cuts: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.old_cuts: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
         self.fresh: list[str] = []
 
     def merge(self, text: str) -> list[int]:
         """Ids of a text by the agenda alone."""
+        ids: list[int] = []
+        for s in self.merged_short(text) if len(text) <= SHORT else self.merged_long(text):
+            k = self.ids.get(s)
+            if k is not None:
+                ids.append(k)
+            elif self.byte_fallback:
+                ids.extend(self.byte_ids[b] for b in s.encode("utf-8", "replace"))
+            else:
+                ids.append(self.unknown)
+        return ids
+
+    def merged_short(self, text: str) -> list[str]:
+        """Symbols after all merges; the agenda is a list, searched for its best entry."""
+        rank = self.rank.get
+        symbols = list(text)
+        agenda = [rank(text[i : i + 2], NEVER) for i in range(len(text) - 1)]
+        while agenda:
+            best = min(agenda)
+            if best == NEVER:
+                break
+            i = agenda.index(best)  # the leftmost
+            symbols[i] += symbols.pop(i + 1)
+            del agenda[i]
+            if i:
+                agenda[i - 1] = rank(symbols[i - 1] + symbols[i], NEVER)
+            if i < len(agenda):
+                agenda[i] = rank(symbols[i] + symbols[i + 1], NEVER)
+        return symbols
+
+    def merged_long(self, text: str) -> list[str]:
+        """The same with a heap, whose outdated entries are passed over."""
         rank, n = self.rank, len(text)
         symbols: list[str] = list(text)
         if n > 1:
@@ -94,26 +132,19 @@ class PieceCodec:
                     longer = symbols[h] + pair
                     if longer in rank:
                         heapq.heappush(agenda, (rank[longer], h, i, longer))
-        out: list[int] = []
-        for s in symbols:
-            if s:
-                k = self.ids.get(s)
-                if k is not None:
-                    out.append(k)
-                elif self.byte_fallback:
-                    out.extend(self.byte_ids[b] for b in s.encode("utf-8", "replace"))
-                else:
-                    out.append(self.unknown)
-        return out
+        return [s for s in symbols if s]
 
     def word(self, word: str) -> bytes:
         """Ids, as little-endian 32-bit integers, of a stretch that no merge crosses the ends of."""
         found = self.words.get(word)
         if found is None:
+            found = self.old_words.get(word)
+            if found is None:
+                found = b"".join(self.cut(word))
+                self.fresh.append(word)
             if len(self.words) >= CACHE:
-                self.words.clear()
-            found = self.words[word] = b"".join(self.cut(word))
-            self.fresh.append(word)
+                self.words, self.old_words = {}, self.words
+            self.words[word] = found
         return found
 
     def cut(self, word: str) -> list[bytes]:
@@ -123,9 +154,13 @@ class PieceCodec:
                 cut = word[a:i]
                 ids = self.cuts.get(cut)
                 if ids is None:
+                    ids = self.old_cuts.get(cut)
+                    if ids is None:
+                        merged = self.merge(cut)
+                        ids = struct.pack(f"<{len(merged)}I", *merged)
                     if len(self.cuts) >= CACHE:
-                        self.cuts.clear()
-                    ids = self.cuts[cut] = np.array(self.merge(cut), dtype="<u4").tobytes()
+                        self.cuts, self.old_cuts = {}, self.cuts
+                    self.cuts[cut] = ids
                 out.append(ids)
                 a = i
         return out
@@ -152,8 +187,8 @@ class PieceCodec:
             stretches = re.findall(f"{SPACE}+[^{SPACE}]*", text)
         else:
             stretches = [SPACE + w for w in text[1:].split(SPACE)]
-        words = self.words
-        found = [words.get(w) for w in stretches]
+        known = self.words
+        found = [known.get(w) for w in stretches]
         if None in found:
             found = [x if x is not None else self.word(w) for x, w in zip(found, stretches)]
         return b"".join(found)
@@ -182,7 +217,7 @@ def encode_texts(texts: list[str | None], model_path: str, check: str = "stretch
         compare(c, [t or "" for t in texts], [x[1:-1].tobytes() for x in ids])
     elif check == "stretches" and c.words_apart:
         groups = [fresh[a : a + TOGETHER] for a in range(0, len(fresh), TOGETHER)]
-        compare(c, ["".join(g)[1:] for g in groups], [b"".join(c.words.get(w) or b"".join(c.cut(w)) for w in g) for g in groups])
+        compare(c, ["".join(g)[1:] for g in groups], [b"".join(c.words.get(w) or c.old_words.get(w) or b"".join(c.cut(w)) for w in g) for g in groups])
     elif check:
         raise ValueError(f"this vocabulary can't be checked by {check}")
     return ids, [c.library.decode(x.tolist()) for x in ids]

@@ -431,6 +431,14 @@ def test_ids_are_the_librarys():
     assert [x.tolist() for x in ids] == sp.encode(texts, add_bos=True, add_eos=True) and decoded == [sp.decode(x.tolist()) for x in ids]
 
 
+def test_both_agendas_are_the_same():
+    c = pieces.codec(piece_model())
+    rng = random.Random(11)
+    for _ in range(3000):
+        text = "".join(rng.choices("▁abcdeinrst.é日", k=rng.randint(0, 50)))
+        assert c.merged_short(text) == c.merged_long(text)
+
+
 def test_long_texts_in_parts_are_the_same(monkeypatch):
     rng = random.Random(12)
     texts = ["".join(rng.choices(["a", "the", " ", "  ", "▁", "é", "1", "\n", "日本", "token"], k=400)) for _ in range(60)] + [" " * 300, "a" * 300]
