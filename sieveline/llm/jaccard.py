@@ -317,11 +317,11 @@ def roots_of(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
 
 
-def rooted(postings: DataFrame, roots: DataFrame | None) -> DataFrame:
+def rooted(postings: DataFrame, edges: DataFrame | None) -> DataFrame:
     """postings with the root of each set's component; a set without links is its own."""
-    if roots is None:
+    if edges is None:
         return postings.withColumn("root", F.col("sid"))
-    return postings.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    return postings.join(roots_of(edges).withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
 
 
 def open_lists(postings: DataFrame) -> DataFrame:
@@ -332,8 +332,7 @@ def open_lists(postings: DataFrame) -> DataFrame:
 
 def could_link(na, nb, rest_a, rest_b):
     """The sizes allow a link, and so do the shingles from these positions on, for the first shingle that both share."""
-    fits = (F.least(na, nb) * 100 >= F.greatest(na, nb) * PERCENT) & (F.least(rest_a, rest_b) * (100 + PERCENT) >= (na + nb) * PERCENT)
-    return fits
+    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * PERCENT) & (F.least(rest_a, rest_b) * (100 + PERCENT) >= (na + nb) * PERCENT)
 
 
 def offers(postings: DataFrame, turn: int) -> DataFrame:
@@ -365,11 +364,10 @@ def remaining(postings: DataFrame, tests: DataFrame) -> DataFrame:
     either = tests.select(F.col("a").alias("h"), F.col("b").alias("x"), "overlap", "linked").unionByName(tests.select(F.col("b").alias("h"), F.col("a").alias("x"), "overlap", "linked"))
     # The linked head with the largest overlap stands for a set.
     of = either.where("linked").groupBy("x").agg(F.max(F.struct("overlap", "h")).alias("best")).select("x", "best.h", F.col("best.overlap").alias("oh"))
-    for mine, other, size in (("a", "b", "na"), ("b", "a", "nb")):
-        known = of.select(F.col("x").alias(mine), F.col("h").alias("_h"), F.col("oh").alias("_oh"))
-        seen = either.where("not linked").select(F.col("h").alias("_h"), F.col("x").alias(other), F.col("overlap").alias("_ob"))
-        pairs = pairs.join(known, mine, "left").join(seen, ["_h", other], "left").where(F.col("_ob").isNull() | (F.col("_ob") + F.col(size) - F.col("_oh") >= need)).drop("_h", "_oh", "_ob")
-    return pairs.select("a", "b")
+    known = of.select(F.col("x").alias("a"), F.col("h").alias("_h"), F.col("oh").alias("_oh"))
+    seen = either.where("not linked").select(F.col("h").alias("_h"), F.col("x").alias("b"), F.col("overlap").alias("_ob"))
+    settled_before = F.col("_ob") + F.col("na") - F.col("_oh") < need
+    return pairs.join(known, "a", "left").join(seen, ["_h", "b"], "left").where(~F.coalesce(settled_before, F.lit(False))).select("a", "b")
 
 
 def link(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -386,7 +384,7 @@ def link(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str =
     postings = work.keep(postings.join(lists, "token", "left_semi"), "postings")
     tests, edges, turn = None, None, 0
     while turn < MOST_ROUNDS:
-        pairs = offers(rooted(postings, edges and roots_of(edges)), turn)
+        pairs = offers(rooted(postings, edges), turn)
         if tests is not None:
             pairs = pairs.join(tests.select("a", "b"), ["a", "b"], "left_anti")
         new = work.keep(verify(pairs, sets), f"tests-{turn}")
@@ -401,7 +399,7 @@ def link(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str =
         release_shuffles(spark)
         if not found or turn > 1 and found * ENOUGH < tests.where("linked").count():
             break
-    last = work.keep(verify(remaining(rooted(postings, edges and roots_of(edges)), tests), sets), "last")
+    last = work.keep(verify(remaining(rooted(postings, edges), tests), sets), "last")
     added = ordered_edges(last.where("linked"))
     edges = settled(added if edges is None else edges.unionByName(added), work)
     release_shuffles(spark)
