@@ -32,7 +32,7 @@ from ..sources.spread import spread
 
 SPACE = "▁"
 #: Entries of one generation of a table; two are held.
-CACHE = 200_000
+CACHE = 90_000
 TOGETHER = 64
 PART = 1 << 20
 SHORT = 40
