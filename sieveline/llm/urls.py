@@ -9,7 +9,7 @@ of a character after its context of k characters is
 
 for k up to ``ORDER``, so contexts that were never seen fall back to shorter
 ones.  The urls that rules decide are the examples; all of them are counted,
-in tables of fixed size addressed by hash.  The mean log-likelihood difference
+by exact keys in tables that grow with the urls.  The mean log-likelihood difference
 a character is compared with a cut calibrated on the examples of one fold,
 under models of the other folds: the cut with the least mean error of the two
 classes.  The final models count all examples.
@@ -24,28 +24,31 @@ gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .words import mix, text_buffer
+from .shared import Workspace
+from .words import text_buffer
 
 #: The rules of the query.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
 ORDER = 5
 WEIGHT = 2.0
-PAIR_SLOTS = 1 << 17
-CONTEXT_SLOTS = 1 << 16
+BITS = 9  # hold a symbol
 SYMBOLS = 257
+PART_BITS = 12  # rows that are scored together, as a power of two
 FOLDS = 5
 BINS = 400
 REACH = 4.0  # scores beyond count as this
 
-_U = np.uint64
+#: Said and fold of examples, and the folds that each model counts.
+CLASSES = ("allow0", "block0", "allow1", "block1")
+MODELS = {"every": (0, 1), "rest": (0,)}
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -69,122 +72,130 @@ def with_rules(urls: DataFrame, rules=RULES) -> DataFrame:
     return out.withColumn("_best", best).withColumn("rule", F.col("_best.rule")).withColumn("said", F.col("_best.said")).drop("_best")
 
 
-def slots(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(pair slots, context slots), (ORDER + 1, characters) each, and the first character of each url; an end mark counts as one."""
+def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(gram of each character, the first character of each url); an end mark counts as one.
+
+    A gram is the character after its longest context, BITS each: the
+    character lowest, then the one before it.  So the pair of order k is the
+    lowest k + 1 places, and no two of them share a key.
+    """
     raw, at = text_buffer(column)
     n = len(at) - 1
-    lengths = np.diff(at)
     gap = ORDER + 1
-    code = np.zeros(len(raw) + n * gap + ORDER, dtype=np.uint64)
-    owner = np.repeat(np.arange(n), lengths)
+    code = np.zeros(len(raw) + n * gap + ORDER, dtype=np.int64)
+    owner = np.repeat(np.arange(n), np.diff(at))
     place = np.arange(len(raw)) + owner * gap + ORDER
-    code[place] = raw.astype(np.uint64) + _U(1)
+    code[place] = raw.astype(np.int64) + 1
     ends = at[1:] + np.arange(n) * gap + ORDER
-    code[ends] = _U(SYMBOLS)
+    code[ends] = SYMBOLS
     every = np.sort(np.concatenate([place, ends]))
-    pair = np.empty((ORDER + 1, len(every)), dtype=np.int64)
-    context = np.empty((ORDER + 1, len(every)), dtype=np.int64)
-    h = np.zeros(len(every), dtype=np.uint64)
+    gram = np.zeros(len(every), dtype=np.int64)
     for k in range(ORDER + 1):
-        if k:
-            h = mix(h + code[every - k] + _U(k << 16))
-        context[k] = h & _U(CONTEXT_SLOTS - 1)
-        pair[k] = mix(h * _U(31) + code[every]) & _U(PAIR_SLOTS - 1)
-    return pair, context, at[:-1] + np.arange(n)
-
-
-@dataclass
-class Model:
-    pairs: np.ndarray  # (2, ORDER + 1, PAIR_SLOTS): accepted, rejected
-    contexts: np.ndarray
-    cut: float = 0.0
-
-    def score(self, column: pa.Array) -> np.ndarray:
-        """Mean log-likelihood difference a character; positive for accepted."""
-        pair, context, first = slots(column)
-        if not len(first):
-            return np.zeros(0)
-        total = np.zeros(pair.shape[1])
-        for which, sign in ((0, 1), (1, -1)):
-            p = np.full(pair.shape[1], 1 / SYMBOLS)
-            for k in range(ORDER + 1):
-                p = (self.pairs[which, k][pair[k]] + WEIGHT * p) / (self.contexts[which, k][context[k]] + WEIGHT)
-            total += sign * np.log(np.minimum(p, 1.0))
-        return np.add.reduceat(total, first) / np.diff(np.append(first, len(total)))
-
-
-def count(examples: DataFrame) -> dict[int, Model]:
-    """Models of (url, said, fold): for each fold, its counts alone.  At most a fixed number of rows reaches the driver."""
+        gram |= code[every - k] << (BITS * k)
+    return gram, at[:-1] + np.arange(n)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            said = np.array(batch.column(1).to_pylist()) == "block"
-            fold = np.array(batch.column(2).to_pylist(), dtype=np.int64)
-            pair, context, first = slots(batch.column(0))
-            sizes = np.diff(np.append(first, pair.shape[1]))
-            group = np.repeat(fold * 2 + said, sizes)
-            found, number = [], []
-            for k in range(ORDER + 1):
-                for table, (slot, size) in enumerate(((pair[k], PAIR_SLOTS), (context[k], CONTEXT_SLOTS))):
-                    key, c = np.unique(((group * 2 + table) * (ORDER + 1) + k) * PAIR_SLOTS + slot, return_counts=True)
-                    found.append(key)
-                    number.append(c)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(number))], ["slot", "n"])
-
-    rows = examples.select("url", "said", "fold").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    slot, n = (rows.column(c).to_numpy() for c in ("slot", "n"))
-    slot, at = np.divmod(slot, PAIR_SLOTS)
-    slot, k = np.divmod(slot, ORDER + 1)
-    group, which = np.divmod(slot, 2)
-    out = {}
-    for f in (0, 1):
-        m = out[f] = Model(np.zeros((2, ORDER + 1, PAIR_SLOTS)), np.zeros((2, ORDER + 1, CONTEXT_SLOTS)))
-        for said in (0, 1):
-            for table, dest in ((0, m.pairs), (1, m.contexts)):
-                own = (group == f * 2 + said) & (which == table)
-                dest[said, k[own], at[own]] = n[own]
-    return out
-
-
-def scored(urls: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of urls, and lm_score."""
-    sent = urls.sparkSession.sparkContext.broadcast(model)
+
+def count(rows: DataFrame) -> DataFrame:
+    """(gram, *CLASSES) of rows (url, said, fold): how often each gram is in the examples of each class; 0 if only in other urls."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sent.value.score(batch.column(0)), pa.float64())], [*keep, "lm_score"])
+            said = batch.column(1).to_pylist()
+            kind = np.array([-1 if s is None else int(s == "block") for s in said], dtype=np.int64)
+            kind[kind >= 0] += 2 * batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)[kind >= 0]
+            gram, first = grams(batch.column(0))
+            key, which = np.unique(gram, return_inverse=True)
+            kind = np.repeat(kind, np.diff(np.append(first, len(gram))))
+            n = [np.bincount(which[kind == c], minlength=len(key)) for c in range(len(CLASSES))]
+            yield pa.RecordBatch.from_arrays([pa.array(key), *map(pa.array, n)], ["gram", *CLASSES])
+
+    counted = rows.select("url", "said", "fold").mapInArrow(run, ", ".join(f"{c} bigint" for c in ("gram", *CLASSES)))
+    return counted.groupBy("gram").agg(*[F.sum(c).alias(c) for c in CLASSES])
+
+
+def differences(counted: DataFrame, totals: dict[str, int]) -> DataFrame:
+    """(gram, *MODELS): the log-likelihood difference of each gram's character under each model.
+
+    A row of order k joins the row of order k - 1 that it ends with; at most
+    as many rows share one as there are characters, and so with a context.
+    """
+    classes = {f"{m}_{said}": [f"{said}{f}" for f in folds] for m, folds in MODELS.items() for said in ("allow", "block")}
+    sums = [reduce(Column.__add__, [F.col(c) for c in cs]).alias(f"n_{name}") for name, cs in classes.items()]
+    named = counted.select("gram", *sums)
+    lower = None
+    for k in range(ORDER + 1):
+        pair = F.col("gram").bitwiseAND(F.lit((1 << BITS * (k + 1)) - 1))
+        level = named.groupBy(pair.alias("gram")).agg(*[F.sum(f"n_{name}").alias(f"n_{name}") for name in classes]) if k < ORDER else named
+        if k:
+            context = Window.partitionBy(F.shiftright("gram", BITS))
+            level = level.select("*", *[F.sum(f"n_{name}").over(context).alias(f"all_{name}") for name in classes])
+            level = level.withColumn("_lower", F.col("gram").bitwiseAND(F.lit((1 << BITS * k) - 1))).join(lower, "_lower")
+        before = lambda name, k=k: F.col(f"p_{name}") if k else F.lit(1 / SYMBOLS)
+        all_of = lambda name, k=k: F.col(f"all_{name}") if k else F.lit(sum(totals[c] for c in classes[name]))
+        p = {name: (F.col(f"n_{name}") + WEIGHT * before(name)) / (all_of(name) + WEIGHT) for name in classes}
+        lower = level.select(F.col("gram").alias("_lower"), *[v.alias(f"p_{name}") for name, v in p.items()])
+    return lower.select(F.col("_lower").alias("gram"), *[(F.log(f"p_{m}_allow") - F.log(f"p_{m}_block")).alias(m) for m in MODELS])
 
-    fields = ", ".join(f"{c} {urls.schema[c].dataType.simpleString()}" for c in keep)
-    return urls.select(F.col("url").alias("_url"), *keep).mapInArrow(run, f"{fields}, lm_score double")
 
+def scored(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """rows (``key``, url, _part) with the mean difference a character under each of MODELS; positive for accepted.
 
-def learn(ruled: DataFrame, key: str) -> Model | None:
-    """The models of all examples and their cut; None without examples of both classes."""
-    fold = (F.pmod(F.xxhash64(F.coalesce("url", F.lit(""))), F.lit(FOLDS)) == 0).cast("int")  # 1: calibrates
-    examples = ruled.where(F.col("said").isNotNull()).select("url", "said", fold.alias("fold"))
-    by_fold = count(examples)
-    both = Model(by_fold[0].pairs + by_fold[1].pairs, by_fold[0].contexts + by_fold[1].contexts)
-    if not all(both.contexts[said, 0].sum() for said in (0, 1)):
-        return None
-    judged = by_fold[0] if all(m.contexts[said, 0].sum() for m in by_fold.values() for said in (0, 1)) else both
-    bins = F.least(F.greatest(F.floor((F.col("lm_score") / REACH + 1) * (BINS / 2)), F.lit(0)), F.lit(BINS - 1)).cast("int")
-    held = examples.where((F.col("fold") == 1) | F.lit(judged is both))
-    rows = scored(held, judged, ["said"]).groupBy("said", bins.alias("bin")).count().collect()  # BINS rows a class at most
+    Each part of the rows asks for each of its grams once, so a gram of all
+    urls is asked for once a part.
+    """
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = batch.column(1).to_numpy()
+            gram, first = grams(batch.column(0))
+            owner = np.repeat(part, np.diff(np.append(first, len(gram))))
+            for p in np.unique(part):
+                own = np.unique(gram[owner == p])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), p)), pa.array(own)], ["_part", "gram"])
+
+    def score(own: pa.Table, known: pa.Table) -> pa.Table:
+        gram, first = grams(own.column("url"))
+        keys = known.column("gram").to_numpy()
+        order = np.argsort(keys)
+        at = order[np.searchsorted(keys, gram, sorter=order)]
+        sizes = np.diff(np.append(first, len(gram)))
+        out = own.select([key, "url"])
+        for m in MODELS:
+            out = out.append_column(m, pa.array(np.add.reduceat(known.column(m).to_numpy()[at], first) / sizes))
+        return out
+
+    asked = rows.select("url", "_part").mapInArrow(ask, "_part bigint, gram bigint").join(found, "gram")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(key, "url").schema)
+    return rows.groupBy("_part").cogroup(asked.groupBy("_part")).applyInArrow(score, ", ".join([fields, *[f"{m} double" for m in MODELS]]))
+
+
+def calibrate(examples: DataFrame, score: str) -> float:
+    """The cut of the examples' (said, score) with the least mean error of the two classes."""
+    bins = F.least(F.greatest(F.floor((F.col(score) / REACH + 1) * (BINS / 2)), F.lit(0)), F.lit(BINS - 1)).cast("int")
     table = np.zeros((2, BINS))
-    for r in rows:
+    for r in examples.groupBy("said", bins.alias("bin")).count().collect():  # BINS rows a class at most
         table[int(r["said"] == "block"), r["bin"]] = r["count"]
     share = table / np.maximum(table.sum(axis=1, keepdims=True), 1)
     wrong = np.concatenate([[0], np.cumsum(share[0])]) + 1 - np.concatenate([[0], np.cumsum(share[1])])  # allow is at or above the cut
     best = np.flatnonzero(wrong <= wrong.min() + 1e-12)
-    both.cut = (float(best.mean()) / (BINS / 2) - 1) * REACH
-    return both
+    return (float(best.mean()) / (BINS / 2) - 1) * REACH
 
 
 def judge(pages: DataFrame, key: str = "page_id", rules=RULES) -> DataFrame:
     """(``key``, host, path, rule, verdict, lm_score) of every row of pages (key, url)."""
-    ruled = with_rules(pages.select(key, "url"), rules)
-    model = learn(ruled, key)
-    columns = [key, "host", "path", "rule", "said"]
-    out = scored(ruled, model, columns) if model else ruled.select(*columns, F.lit(0.0).alias("lm_score"))
-    by_model = F.when(F.col("lm_score") >= (model.cut if model else 0.0), "allow").otherwise("block")
-    return out.select(key, "host", "path", "rule", F.coalesce("said", by_model).alias("verdict"), "lm_score")
+    work = Workspace(pages.sparkSession, "urls")
+    part = F.shiftright(F.monotonically_increasing_id(), PART_BITS)
+    rows = work.keep(pages.select(key, "url").withColumn("_part", part), "urls")
+    fold = (F.pmod(F.xxhash64(F.coalesce("url", F.lit(""))), F.lit(FOLDS)) == 0).cast("int")  # 1: calibrates
+    counted = work.keep(count(with_rules(rows, rules).withColumn("fold", fold)), "grams")
+    totals = {c: n or 0 for c, n in counted.agg(*[F.sum(c).alias(c) for c in CLASSES]).first().asDict().items()}
+    columns = [key, "host", "path", "rule"]
+    if not all(totals[f"{said}0"] + totals[f"{said}1"] for said in ("allow", "block")):
+        return with_rules(rows, rules).select(*columns, F.coalesce("said", F.lit("allow")).alias("verdict"), F.lit(0.0).alias("lm_score"))
+    out = work.keep(with_rules(scored(rows, differences(counted, totals), key), rules), "scored")
+    work.drop("grams")
+    work.drop("urls")
+    examples = out.where(F.col("said").isNotNull())
+    cut = calibrate(examples.where(fold == 1), "rest") if all(totals.values()) else calibrate(examples, "every")
+    by_model = F.when(F.col("every") >= cut, "allow").otherwise("block")
+    return out.select(*columns, F.coalesce("said", by_model).alias("verdict"), F.col("every").alias("lm_score"))

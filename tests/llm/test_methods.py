@@ -326,6 +326,38 @@ def test_url_scores_against_plain_counts(spark):
         assert r["host"] == host
 
 
+def test_url_scores_are_exact_with_more_grams_than_any_fixed_table(spark):
+    rng = random.Random(7)
+    hosts = ["a.org/", "b.example.org/es/", "c.com/fr/", "d.com/de/", "e.net/", "f.net/"]
+    pages = [(i, "http://" + hosts[i % 6] + "".join(rng.choices("0123456789abcdef", k=40))) for i in range(6000)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string").repartition(5)
+    said = {r["page_id"]: r["said"] for r in urls.with_rules(df).collect()}
+    counts = {"allow": collections.Counter(), "block": collections.Counter()}
+
+    def places(url):
+        raw = "\0" * urls.ORDER + url + "\1"
+        return [[raw[i - k : i + 1] for k in range(urls.ORDER + 1)] for i in range(urls.ORDER, len(raw))]
+
+    for i, url in pages:
+        if said[i]:
+            for each in places(url):
+                counts[said[i]].update(each)
+                counts[said[i]].update((g[:-1],) for g in each)
+    assert sum(len(g) == urls.ORDER + 1 for g in counts["allow"] if isinstance(g, str)) > 60_000
+
+    def p(n, each):
+        out = 1 / urls.SYMBOLS
+        for g in each:
+            out = (n[g] + urls.WEIGHT * out) / (n[(g[:-1],)] + urls.WEIGHT)
+        return out
+
+    got = {r["page_id"]: r["lm_score"] for r in urls.judge(df).collect()}
+    assert len(got) == len(pages)
+    for i, url in pages[::20]:
+        each = places(url)
+        assert abs(got[i] - sum(math.log(p(counts["allow"], e) / p(counts["block"], e)) for e in each) / len(each)) < 1e-9
+
+
 def test_url_rules_by_length(spark):
     rows = [(1, "http://a.example.org/en/1"), (2, "http://example.org/en/2"), (3, "http://xexample.org/es/"), (4, "http://de.com/de/"), (5, "http://com/fr/x"), (6, "http://org"), (7, "http://a.net/")]
     got = {r["page_id"]: (r["rule"], r["said"]) for r in urls.with_rules(spark.createDataFrame(rows, "page_id bigint, url string")).collect()}
