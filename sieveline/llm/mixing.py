@@ -9,7 +9,9 @@ collected to the driver.
 
 Weights become token budgets.  A source is passed over as often as its budget
 covers it, every time in another order (that of a seeded hash), and the last
-time up to what is left: a draw is made if it still fits.  A draw's place in
+time up to what is left: a draw is made if it still fits beside the draws
+before it, so a document that doesn't fit keeps no shorter later one out.  A
+few rounds find them, each over the rows that may still fit.  A draw's place in
 its source's budget decides its block, so each block of the result has every
 source at its weight, and a seeded hash decides the order in the block.
 
@@ -25,6 +27,7 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable
 
@@ -108,7 +111,17 @@ def weigh(sources: DataFrame, total: int, budget_share: float | None = 1.0, entr
     return weighed.withColumn("quota", quota.cast("long")), exponent
 
 
-def draw(docs: DataFrame, weighed: DataFrame, key: str = "doc_id", blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
+def before(rows: DataFrame, group: list[str], key: str) -> DataFrame:
+    """rows with ``before``: the tokens of the rows of their group that come first in the order of bucket, h and key."""
+    sums = rows.groupBy(*group, "bucket").agg(F.sum("tokens").alias("_sum"))
+    ahead = sums.withColumn("_ahead", F.coalesce(F.sum("_sum").over(Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
+    same = (F.col("source").eqNullSafe(F.col("s2"))) & (F.col("pass") == F.col("p2")) & (F.col("bucket") == F.col("b2"))
+    rows = rows.join(ahead.select(F.col("source").alias("s2"), F.col("pass").alias("p2"), F.col("bucket").alias("b2"), "_ahead"), same).drop("s2", "p2", "b2")
+    within = F.coalesce(F.sum("tokens").over(Window.partitionBy(*group, "bucket").orderBy("h", key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("before", F.col("_ahead") + within).drop("_ahead")
+
+
+def draw(work: Workspace, docs: DataFrame, weighed: DataFrame, key: str = "doc_id", blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
     """(``key``, source, tokens, pass, block, place) of each draw; docs has key, source and tokens."""
     passes = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("quota") / F.col("all")) - 1, F.lit(0)).cast("int"))
     known = weighed.select(F.col("source").alias("_source"), F.col("tokens").alias("all"), "rows", "quota").where("quota > 0").withColumn("passes", passes)
@@ -118,16 +131,22 @@ def draw(docs: DataFrame, weighed: DataFrame, key: str = "doc_id", blocks: int =
     # The upper 31 bits of the hash, as a share, deal rows out to buckets in hash order.
     share = (F.shiftrightunsigned(h, 33).cast("double")) / F.lit(float(1 << 31))
     rows = rows.withColumn("h", F.shiftrightunsigned(h, 1)).withColumn("bucket", F.floor(share * F.ceil(F.col("rows") / BUCKET_ROWS)).cast("long"))
+    waiting = rows.withColumn("taken", F.col("pass") * F.col("all")).drop("rows", "all")
     group = ["source", "pass"]
-    sums = rows.groupBy(*group, "bucket").agg(F.sum("tokens").alias("_sum"))
-    ahead = sums.withColumn("_ahead", F.coalesce(F.sum("_sum").over(Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
-    same = (F.col("source").eqNullSafe(F.col("s2"))) & (F.col("pass") == F.col("p2")) & (F.col("bucket") == F.col("b2"))
-    rows = rows.join(ahead.select(F.col("source").alias("s2"), F.col("pass").alias("p2"), F.col("bucket").alias("b2"), "_ahead"), same).drop("s2", "p2", "b2")
-    before = F.coalesce(F.sum("tokens").over(Window.partitionBy(*group, "bucket").orderBy("h", key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    start = F.col("_ahead") + before + F.col("pass") * F.col("all")
-    rows = rows.withColumn("start", start).where(F.col("start") + F.col("tokens") <= F.col("quota"))
+    drawn = None
+    # What is left only shrinks, so a row that is longer is out for good; of the others, those before the first that doesn't fit are drawn.
+    for i in itertools.count():
+        tried = before(waiting, group, key).withColumn("start", F.col("taken") + F.col("before")).drop("before")
+        tried = work.keep(tried.withColumn("fits", F.col("start") + F.col("tokens") <= F.col("quota")), f"tried-{i}")
+        drawn = tried.where("fits") if drawn is None else drawn.unionByName(tried.where("fits"))
+        more = tried.groupBy(*group).agg(F.sum(F.when(F.col("fits"), F.col("tokens")).otherwise(0)).alias("_more"), F.bool_and("fits").alias("_all"))
+        more = more.where(~F.col("_all")).select(F.col("source").alias("s2"), F.col("pass").alias("p2"), "_more")
+        refused = tried.where(~F.col("fits")).join(more, F.col("source").eqNullSafe(F.col("s2")) & (F.col("pass") == F.col("p2")))
+        waiting = refused.withColumn("taken", F.col("taken") + F.col("_more")).where("taken + tokens <= quota").drop("s2", "p2", "_more", "start", "fits")
+        if waiting.isEmpty():
+            break
     block = F.least(F.floor(F.col("start") * blocks / F.col("quota")), F.lit(blocks - 1)).cast("int")
-    return rows.select(key, "source", "tokens", "pass", block.alias("block"), F.xxhash64(F.lit(seed + 1), F.col("pass"), F.col(key), F.col("source")).alias("place"))
+    return drawn.select(key, "source", "tokens", "pass", block.alias("block"), F.xxhash64(F.lit(seed + 1), F.col("pass"), F.col(key), F.col("source")).alias("place"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, budget_share: float | None = 1.0, entropy_share: float | None = None, most_repeats: float | None = None, key: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:
@@ -141,7 +160,7 @@ def mix(spark: SparkSession, docs: DataFrame, budget_share: float | None = 1.0,
     else:
         found, exponent = weigh(sources, total, budget_share, entropy_share, most_repeats)
         weighed = work.keep(found.withColumn("exponent", F.lit(exponent)), "weights")
-    return draw(counted, weighed, key), weighed
+    return draw(work, counted, weighed, key), weighed
 
 
 def drawn_rows(docs: DataFrame, draws: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -444,6 +444,27 @@ def test_tokens_before_a_draw_do_not_depend_on_buckets(spark, make_docs, monkeyp
     assert {tuple(r) for r in mixing.mix(spark, docs.repartition(5), 1.0, 0.8)[0].collect()} == a
 
 
+def test_a_draw_is_made_if_it_still_fits(spark, make_docs):
+    rng = random.Random(9)
+    sizes = {f"long{k}": [40] * 10 + [20_000] for k in range(6)} | {f"odd{k}": [int(1.5 ** rng.randint(0, 18)) for _ in range(60)] + [0] * 5 for k in range(6)}
+    sizes |= {None: [5, 7000, 300, 20, 1]}
+    rows = [(s, n) for s, each in sizes.items() for n in each]
+    docs = make_docs([(i, "w " * n, "en", s) for i, (s, n) in enumerate(rows)])
+    draws, weights = mixing.mix(spark, docs, 0.7, entropy_share=0.9)
+    got = {(r["doc_id"], r["pass"]) for r in draws.collect()}
+    expected = set()
+    for w in weights.collect():
+        left = w["quota"]
+        for p in range(math.ceil(w["quota"] / w["tokens"])):
+            hashed = docs.where(F.col("source").eqNullSafe(F.lit(w["source"]))).select("doc_id", F.xxhash64(F.lit(mixing.SEED), F.lit(p), "doc_id").alias("h"))
+            for r in sorted(hashed.collect(), key=lambda r: r["h"] % 2**64):
+                if rows[r["doc_id"]][1] <= left:
+                    left -= rows[r["doc_id"]][1]
+                    expected.add((r["doc_id"], p))
+    assert got == expected
+    assert all((i, 0) in got for i, (s, n) in enumerate(rows) if n == 40)
+
+
 def test_covering_budget_leaves_no_row_out(spark, make_docs):
     docs = mixed_docs(make_docs)
     draws, _ = mixing.mix(spark, docs, None, 0.9, 4.0)
