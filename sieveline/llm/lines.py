@@ -6,8 +6,10 @@ decides whether the text stays.  Its features are counts of what a line is
 made of.  It learns from seed lines (long runs of plain words; menus, symbol
 or capital noise, echoes, licence lines), with all other lines latent: the
 gradient is the difference between free and clamped expectations.  The sample
-is bounded by ``TRAIN_DOCS`` rows and ``TRAIN_LINES`` lines of each, spread
-over the whole text; decoding reads every line.
+is bounded by ``TRAIN_DOCS`` rows and ``TRAIN_LINES`` lines of each: of longer
+texts, runs of ``RUN`` neighbouring lines spread over the whole text, each a
+sequence of its own, of which only the first begins a text; decoding reads
+every line.
 
 Base counts come beside it: words, code points in words, symbols, lines with a
 word that equal an earlier line, and words in three-word windows found twice
@@ -36,6 +38,7 @@ from .language import pieces_of
 
 TRAIN_DOCS = 3000
 TRAIN_LINES = 64
+RUN = 16
 LEAST_WORDS = 50
 LEAST_CONTENT = 0.5
 ROUNDS = 60
@@ -98,12 +101,16 @@ class Model:
     start: np.ndarray
 
 
-def train(x: np.ndarray, lengths: np.ndarray) -> Model:
-    """From the features of lines, document by document."""
+def train(x: np.ndarray, lengths: np.ndarray, opens: np.ndarray | None = None) -> Model:
+    """From the features of lines, sequence by sequence; ``opens``: whether a sequence begins a text (all do if None)."""
     m = Model(np.zeros((FEATURES, 2)), np.zeros((2, 2)), np.zeros(2))
     if not len(x):
         return m
     layout = Layout(lengths)
+    opens = (np.ones(len(lengths), dtype=bool) if opens is None else opens) & (lengths > 0)
+    first = (np.cumsum(lengths) - lengths)[opens]
+    begins = np.zeros((int(layout.running[0]), 1))
+    begins[layout.rank[opens]] = 1
     seed = seeds(x)
     barred = np.zeros((len(x), 2))
     known = np.flatnonzero(seed >= 0)
@@ -111,13 +118,14 @@ def train(x: np.ndarray, lengths: np.ndarray) -> Model:
     adam = Adam({"weights": m.weights, "transition": m.transition, "start": m.start}, 0.1)
     for _ in range(ROUNDS):
         scores = x @ m.weights
-        free, free_pairs, free_start, _ = forward_backward(layout, scores, m.transition, m.start, count=True)
-        held, held_pairs, held_start, _ = forward_backward(layout, scores + barred, m.transition, m.start, count=True)
+        start = begins * m.start  # by rank; a run within a text begins with either label
+        free, free_pairs, *_ = forward_backward(layout, scores, m.transition, start, count=True)
+        held, held_pairs, *_ = forward_backward(layout, scores + barred, m.transition, start, count=True)
         adam.step(
             {
                 "weights": x.T @ (free - held) / len(x) + 1e-4 * m.weights,
                 "transition": (free_pairs - held_pairs) / len(x) + 1e-3 * m.transition,
-                "start": (free_start - held_start) / len(x) + 1e-3 * m.start,
+                "start": (free[first] - held[first]).sum(axis=0) / len(x) + 1e-3 * m.start,
             }
         )
     return m
@@ -133,15 +141,24 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
             for part in pieces_of(batch, 0):
                 t = style.read(part.column(0))
                 x = line_features(t).astype(np.float32)
-                kept = []
+                kept, runs = [], []
                 for a, b in zip(t.line_at[:-1], t.line_at[1:]):
-                    lines = np.arange(a, b) if b - a <= TRAIN_LINES else np.unique(np.linspace(a, b - 1, TRAIN_LINES).astype(int))
-                    kept.append(x[lines].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary())], ["x"])
-
-    got = rows.join(F.broadcast(chosen), key, "left_semi").select(text).mapInArrow(run, "x binary").limit(2 * TRAIN_DOCS).collect()
-    parts = [np.frombuffer(b, dtype=np.float32).reshape(-1, FEATURES) for b in sorted(bytes(r["x"]) for r in got)]
-    return train(np.concatenate(parts).astype(np.float64), np.array([len(p) for p in parts])) if parts else train(np.zeros((0, FEATURES)), np.zeros(0, dtype=int))
+                    whole = b - a <= TRAIN_LINES
+                    begins = [a] if whole else np.linspace(a, b - RUN, TRAIN_LINES // RUN).astype(int)
+                    runs.append(b - a if whole else RUN)
+                    kept.append(b"".join(x[c : c + runs[-1]].tobytes() for c in begins))
+                yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()), pa.array(runs, pa.int32())], ["x", "run"])
+
+    got = rows.join(F.broadcast(chosen), key, "left_semi").select(text).mapInArrow(run, "x binary, run int").limit(2 * TRAIN_DOCS).collect()
+    if not got:
+        return train(np.zeros((0, FEATURES)), np.zeros(0, dtype=int))
+    parts, lengths, opens = [], [], []
+    for x, size in sorted((bytes(r["x"]), r["run"]) for r in got):
+        parts.append(np.frombuffer(x, dtype=np.float32).reshape(-1, FEATURES))
+        n = len(parts[-1]) // max(1, size)
+        lengths += [size] * n
+        opens += [k == 0 for k in range(n)]
+    return train(np.concatenate(parts).astype(np.float64), np.array(lengths, dtype=np.int64), np.array(opens, dtype=bool))
 
 
 def judge(model: Model, column: pa.Array) -> dict[str, np.ndarray]:

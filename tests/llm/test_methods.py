@@ -225,6 +225,21 @@ def test_verdicts_follow_the_content(spark):
     assert got["kept"].tolist() == [True, False, True, False]
 
 
+def test_transitions_of_long_texts_are_those_of_neighbours(make_docs):
+    rng = random.Random(5)
+    plain = lambda: " ".join("".join(rng.choices(["ta", "ri", "mo", "en"], k=4)) for _ in range(12)) + "."
+    menu = lambda: " | ".join(f"Menu{rng.randint(0, 10**6)}" for _ in range(12))
+    # at an even stride of two, the thinned lines were all of one kind
+    turns = [(i, "\n".join(menu() if j % 2 else plain() for j in range(2 * lines.TRAIN_LINES - 1)), "en", "a") for i in range(20)]
+    model = lines.learn(make_docs(turns))
+    assert model.transition[lines.CONTENT, lines.BOILERPLATE] > model.transition[lines.CONTENT, lines.CONTENT]
+    assert model.transition[lines.BOILERPLATE, lines.CONTENT] > model.transition[lines.BOILERPLATE, lines.BOILERPLATE]
+    # only what begins a text counts as a start
+    headed = [(i, "\n".join([menu()] + [plain() for _ in range(150)]), "en", "a") for i in range(20)]
+    model = lines.learn(make_docs(headed))
+    assert model.start[lines.BOILERPLATE] > model.start[lines.CONTENT]
+
+
 # 2: quality
 
 
