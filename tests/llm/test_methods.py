@@ -528,6 +528,18 @@ def test_long_texts_in_parts_are_the_same(monkeypatch):
     assert together[0] == [x[0] for x, _ in labels] and np.allclose(together[1], [s[0] for _, s in labels], atol=1e-4)
 
 
+def test_whole_texts_are_compared_where_all_stretches_are_known(monkeypatch):
+    c = pieces.PieceCodec(piece_model())
+    monkeypatch.setitem(pieces._PROCESSORS, piece_model(), c)
+    text = "the tea is the thing that tells"
+    pieces.encode_texts([text, None, ""], piece_model())
+    pieces.encode_texts([text], piece_model())
+    joined = c.stretches
+    monkeypatch.setattr(c, "stretches", lambda t: joined(t)[:-4])
+    with pytest.raises(pieces.DifferentIds):
+        pieces.encode_texts([text], piece_model())
+
+
 def test_a_difference_is_an_error(monkeypatch):
     c = pieces.PieceCodec(piece_model())
     monkeypatch.setitem(pieces._PROCESSORS, piece_model(), c)
