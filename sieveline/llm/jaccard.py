@@ -17,6 +17,8 @@ found until every component is whole, not all written out.
    blocks by set size: sizes of linked sets lie in the same block or in
    neighbours, so all other blocks of a list are skipped, and the position
    bounds the overlap that is still possible, and with it the blocks further.
+   A list of more than LONG sets is dealt to sublists of about that many; what
+   is known of a list is sent to each of them, so no task has a long list.
 4. Answers.  In each round every list offers its members against one of them,
    the head; pairs of one component are never offered again.  When rounds link
    little more, the pairs across components that remain are verified, except
@@ -31,8 +33,12 @@ task, no list, link or component is collected to the driver.
 Defined results: texts without words (null, empty, blank) have the empty set,
 n_shingles 0, and are linked with nothing: the component is their own key.
 Repeated rows and equal texts share a component.  Rows with a null key get
-their component's least key, or null if there is none.  An empty table gives
-an empty result; extra columns are ignored.
+their component's least key, or null if there is none.  Rows that share a key
+but not a text are rows of their own, each with the component of its text.
+``one_of_each`` keeps one row of each component: that with the least key (null
+last), of several the one with the least hash of the whole row; rows without
+words all stay.  An empty table gives an empty result; extra columns are
+ignored by ``link`` and come with the rows of ``one_of_each``.
 """
 
 from __future__ import annotations
@@ -47,7 +53,7 @@ from pyspark.sql import functions as F
 
 from ..sources.spread import spread
 from .language import pieces_of
-from .shared import Workspace, release_shuffles, total_bytes
+from .shared import Workspace, row_hash, total_bytes, unused
 from .words import mix, shingles, word_hashes
 
 PERCENT = 75
@@ -60,6 +66,8 @@ PART_BYTES = 4 << 20
 MOST_ROUNDS = 3
 #: Rounds end when one adds less than this part of all links.
 ENOUGH = 50
+#: Sets in a list, or in a sublist of a longer one.
+LONG = 1024
 REPEATED = 0xFFFFFFFF
 ASK, SETS, SHARED = 0, 1, 2
 _U = np.uint64
@@ -100,8 +108,8 @@ def _digest(tokens: np.ndarray) -> tuple[int, int]:
         return int(mix(tokens).sum(dtype=np.uint64)), int(mix(tokens ^ _U(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
 
 
-def ask(docs: DataFrame, bits: int, key: str, text: str) -> DataFrame:
-    """Messages of each batch: ASK to each part, SETS and SHARED (who has the shingles that several of its sets have) to itself."""
+def ask(docs: DataFrame, bits: int, carried: list[str], text: str) -> DataFrame:
+    """Messages of each batch: ASK to each part it has shingles for, SETS and SHARED (who has the shingles that several of its sets have) to itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -109,10 +117,10 @@ def ask(docs: DataFrame, bits: int, key: str, text: str) -> DataFrame:
         # The batch's number is that of the task and of the batch within it, so a task that runs again sends the same.
         number = TaskContext.get().partitionId() << 32
         for whole in batches:
-            for part in pieces_of(whole, 1, TOGETHER):
+            for part in pieces_of(whole, 0, TOGETHER):
                 number += 1
-                keys = part.column(0)
-                words, at = word_hashes(part.column(1))
+                keys = pa.RecordBatch.from_arrays(part.columns[1:], carried)
+                words, at = word_hashes(part.column(0))
                 own: dict[tuple[int, int, int], int] = {}
                 of_row = np.empty(part.num_rows, dtype=np.uint32)
                 sets: list[np.ndarray] = []
@@ -135,27 +143,25 @@ def ask(docs: DataFrame, bits: int, key: str, text: str) -> DataFrame:
                 counts = np.diff(np.append(heads, len(tokens))).astype(np.uint32)
                 distinct = tokens[heads]
                 who = np.where(counts == 1, owner[heads], np.uint32(REPEATED))
-                edges = np.searchsorted(distinct, np.arange(1 << bits, dtype=np.uint64) << _U(64 - bits)) if bits else np.array([0])
-                edges = np.append(edges, len(distinct))
+                parts = distinct >> _U(64 - bits)  # ascending
+                edges = np.flatnonzero(np.append(True, parts[1:] != parts[:-1])) if len(parts) else np.empty(0, dtype=np.int64)
                 rows = []
-                for p in range(1 << bits):
-                    a, b = edges[p], edges[p + 1]
-                    if a < b:
-                        rows.append((p, number, ASK, None, _gaps(distinct[a:b]), _planes(counts[a:b]), _planes(who[a:b])))
+                for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(distinct)]):
+                    rows.append((int(parts[a]), number, ASK, None, _gaps(distinct[a:b]), _planes(counts[a:b]), _planes(who[a:b])))
                 home = number % (1 << bits)
                 many = np.repeat(counts > 1, counts)
                 rows.append((home, number, SHARED, None, _gaps(distinct[counts > 1]), _planes(counts[counts > 1]), _planes(owner[many])))
                 names = np.array([[x for x in name] for name in names], dtype=np.uint64).reshape(-1, 3)
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, pa.schema([("key", keys.type)])) as w:
-                    w.write_batch(pa.RecordBatch.from_arrays([keys], ["key"]))
+                with pa.ipc.new_stream(sink, keys.schema) as w:
+                    w.write_batch(keys)
                 rows.append((home, number, SETS, _bytes(names), sink.getvalue().to_pybytes(), _bytes(of_row), None))
                 kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
                 for a in range(0, len(rows), 64):
                     chunk = rows[a : a + 64]
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in chunk], kind) for k, kind in enumerate(kinds)], ["part", "batch", "kind", "n", "a", "b", "c"])
 
-    return spread(docs.select(key, text)).mapInArrow(run, MESSAGE)
+    return spread(docs.select(text, *carried)).mapInArrow(run, MESSAGE)
 
 
 def answer(messages: DataFrame) -> DataFrame:
@@ -185,15 +191,15 @@ def answer(messages: DataFrame) -> DataFrame:
     return messages.groupBy("part").applyInArrow(run, MESSAGE)
 
 
-def assemble(answers: DataFrame, key: str, kind: str) -> DataFrame:
-    """Per row: ``key``, n, sid (16 bytes; null for the empty set), and for one row of each set that may link, its shared shingles in order and how many are posted."""
+def assemble(answers: DataFrame, carried: list[str], fields: str) -> DataFrame:
+    """Per row: what is carried, n, sid (16 bytes; null for the empty set), and for one row of each set that may link, its shared shingles in order and how many are posted."""
 
     def run(table: pa.Table) -> pa.Table:
         messages = list(zip(*[table.column(c).to_pylist() for c in ("kind", "n", "a", "b", "c")]))
         _, names, keys, of_row, _ = next(m for m in messages if m[0] == SETS)
         names, of_row = np.frombuffer(names, dtype=np.uint64).reshape(-1, 3), np.frombuffer(of_row, dtype=np.uint32)
         with pa.ipc.open_stream(keys) as stream:
-            keys = stream.read_all().column(0)
+            keys = stream.read_all()
         asked = [m for m in messages if m[0] == ASK]
         tokens = np.concatenate([_of_gaps(m[2]) for m in asked] or [np.empty(0, dtype=np.uint64)])
         freq, who = (np.concatenate([_of_planes(m[k], "u4") for m in asked] or [np.empty(0, dtype=np.uint32)]) for k in (3, 4))
@@ -222,7 +228,7 @@ def assemble(answers: DataFrame, key: str, kind: str) -> DataFrame:
         rows = of_row.tolist()
         return pa.table(
             {
-                key: keys,
+                **{c: keys.column(c) for c in carried},
                 "n": pa.array(n[of_row], pa.int64()),
                 "sid": pa.array([sids[s] if n[s] else None for s in rows], pa.binary()),
                 "tokens": pa.array([_bytes(every[edges[s] : edges[s + 1]]) if c else None for s, c in zip(rows, carries)], pa.binary()),
@@ -230,7 +236,7 @@ def assemble(answers: DataFrame, key: str, kind: str) -> DataFrame:
             }
         )
 
-    return answers.groupBy("batch").applyInArrow(run, f"{key} {kind}, n bigint, sid binary, tokens binary, posted bigint")
+    return answers.groupBy("batch").applyInArrow(run, f"{fields}, n bigint, sid binary, tokens binary, posted bigint")
 
 
 def post(sets: DataFrame) -> DataFrame:
@@ -324,10 +330,28 @@ def rooted(postings: DataFrame, edges: DataFrame | None) -> DataFrame:
     return postings.join(roots_of(edges).withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
 
 
+def each_sublist(lists: DataFrame) -> DataFrame:
+    """lists (token, parts, ...) with a row, and its ``salt``, for each sublist."""
+    return lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+
+def dealt(postings: DataFrame, work: Workspace) -> DataFrame:
+    """postings of lists with several sets, with the sublist (salt) and how many the list has (parts)."""
+    # Counted before rows meet by token, so that a long list is never one task's.
+    lists = postings.groupBy("token").agg(F.min("sid").alias("_low"), F.max("sid").alias("_high"), F.count("*").alias("_n")).where("_low != _high")
+    lists = work.keep(lists.select("token", F.ceil(F.col("_n") / LONG).cast("int").alias("parts")), "lists")
+    long = work.keep(lists.where("parts > 1"), "long")  # a LONG-th of the postings at most
+    salted = postings.join(long, "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    salted = salted.withColumn("salt", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
+    out = work.keep(salted.join(each_sublist(lists), ["token", "salt"], "left_semi"), "postings")
+    work.drop("lists", "long")
+    return out
+
+
 def open_lists(postings: DataFrame) -> DataFrame:
     """The postings of tokens that several components have."""
-    spread = postings.groupBy("token").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low != _high")
-    return postings.join(spread.select("token"), "token", "left_semi")
+    several = postings.groupBy("token").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.max("parts").alias("parts")).where("_low != _high")
+    return postings.join(each_sublist(several.select("token", "parts")), ["token", "salt"], "left_semi")
 
 
 def could_link(na, nb, rest_a, rest_b):
@@ -336,13 +360,13 @@ def could_link(na, nb, rest_a, rest_b):
 
 
 def offers(postings: DataFrame, turn: int) -> DataFrame:
-    """Pairs of one member of each component in a list against the list's head.  The head changes with ``turn``."""
+    """Pairs of one member of each component in a sublist against the list's head.  The head changes with ``turn``."""
     lists = open_lists(postings)
     # At first the same sets are heads everywhere, which makes few pairs; then every list has its own.
     near = F.struct((F.xxhash64("sid", "token", F.lit(turn)) if turn else F.xxhash64("sid")).alias("h"), "sid", "root", "n")
-    member = lists.groupBy("token", "root").agg(F.min(near).alias("m"))
-    head = member.groupBy("token").agg(F.min("m").alias("h"))
-    pair = member.join(head, "token").where("m.root != h.root").where(F.least("m.n", "h.n") * 100 >= F.greatest("m.n", "h.n") * PERCENT)
+    member = lists.groupBy("token", "salt", "root").agg(F.min(near).alias("m"), F.max("parts").alias("parts"))
+    head = each_sublist(member.groupBy("token").agg(F.min("m").alias("h"), F.max("parts").alias("parts")))
+    pair = member.join(head, ["token", "salt"]).where("m.root != h.root").where(F.least("m.n", "h.n") * 100 >= F.greatest("m.n", "h.n") * PERCENT)
     return pair.select(F.least("m.sid", "h.sid").alias("a"), F.greatest("m.sid", "h.sid").alias("b")).distinct()
 
 
@@ -353,10 +377,10 @@ def remaining(postings: DataFrame, tests: DataFrame) -> DataFrame:
     most = F.least(F.col("n"), F.floor(F.col("rest") * (100 + PERCENT) / F.lit(PERCENT)) - F.col("n"))
     least = F.greatest(F.floor(F.col("n") * PERCENT / F.lit(100)), F.lit(1))
     blocks = F.sequence(block_of(least), block_of(most))
-    left = lists.where(most >= least).select("token", F.explode(blocks).alias("block"), F.col("sid").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"), F.col("root").alias("ca"))
-    right = lists.select("token", "block", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"), F.col("root").alias("cb"))
+    left = each_sublist(lists.where(most >= least).drop("salt")).select("token", "salt", F.explode(blocks).alias("block"), F.col("sid").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"), F.col("root").alias("ca"))
+    right = lists.select("token", "salt", "block", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"), F.col("root").alias("cb"))
     # At the first shingle that a pair shares, what stands from there on must be enough; so lists where it isn't need not offer the pair.
-    pairs = left.join(right, ["token", "block"]).where("(na > nb OR na = nb AND a > b) AND ca != cb").where(could_link(F.col("na"), F.col("nb"), F.col("ra"), F.col("rb")))
+    pairs = left.join(right, ["token", "salt", "block"]).where("(na > nb OR na = nb AND a > b) AND ca != cb").where(could_link(F.col("na"), F.col("nb"), F.col("ra"), F.col("rb")))
     ordered = lambda x, y: F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y))
     pairs = pairs.select(ordered("a", "b").alias("a"), ordered("b", "a").alias("b"), ordered("na", "nb").alias("na"), ordered("nb", "na").alias("nb")).distinct()
     pairs = pairs.join(tests.select("a", "b"), ["a", "b"], "left_anti")
@@ -370,18 +394,15 @@ def remaining(postings: DataFrame, tests: DataFrame) -> DataFrame:
     return pairs.join(known, "a", "left").join(seen, ["_h", "b"], "left").where(~F.coalesce(settled_before, F.lit(False))).select("a", "b")
 
 
-def link(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(``key``, n_shingles, component_id) of every row."""
+def members(spark: SparkSession, docs: DataFrame, carried: list[str], key: str, text: str) -> DataFrame:
+    """(what is carried, n, component, component_id) of every row; component is null for the empty set."""
     work = Workspace(spark, "jaccard")
-    kind = docs.schema[key].dataType.simpleString()
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
     bits = max(4, math.ceil(math.log2(max(1, total_bytes(docs, text)) / PART_BYTES + 1)))
-    rows = work.keep(assemble(answer(ask(docs, bits, key, text)), key, kind), "rows")
-    release_shuffles(spark)
+    rows = work.keep(assemble(answer(ask(docs, bits, carried, text)), carried, fields), "rows")
     # One row a set; equal sets of different batches carry the same shingles.
     sets = work.keep(rows.where(F.col("tokens").isNotNull()).groupBy("sid").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.max("posted").alias("posted")).where("posted > 0"), "sets")
-    postings = post(sets)
-    lists = postings.groupBy("token").agg(F.min("sid").alias("_low"), F.max("sid").alias("_high")).where("_low != _high").select("token")
-    postings = work.keep(postings.join(lists, "token", "left_semi"), "postings")
+    postings = dealt(post(sets), work)
     tests, edges, turn = None, None, 0
     while turn < MOST_ROUNDS:
         pairs = offers(rooted(postings, edges), turn)
@@ -396,26 +417,48 @@ def link(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str =
             added = ordered_edges(linked)
             edges = star(added if edges is None else edges.unionByName(added), work, f"edges-{turn}")
         turn += 1
-        release_shuffles(spark)
         if not found or turn > 1 and found * ENOUGH < tests.where("linked").count():
             break
     last = work.keep(verify(remaining(rooted(postings, edges), tests), sets), "last")
+    work.drop("postings", "sets", *[f"tests-{k}" for k in range(turn)])
     added = ordered_edges(last.where("linked"))
     edges = settled(added if edges is None else edges.unionByName(added), work)
-    release_shuffles(spark)
-    return numbered(rows, roots_of(edges), key)
+    return numbered(rows, roots_of(edges), carried, key)
 
 
-def numbered(rows: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+def numbered(rows: DataFrame, roots: DataFrame, carried: list[str], key: str) -> DataFrame:
     """The least key of each component, joined to its rows by way of the sets."""
     least = rows.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min(key).alias("low"))
     least = least.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     low = least.groupBy("root").agg(F.min("low").alias("component_id"))
-    least = least.join(low, "root").select("sid", "component_id")
-    return rows.join(least, "sid", "left").select(key, F.col("n").alias("n_shingles"), F.coalesce("component_id", F.col(key)).alias("component_id"))
+    least = least.join(low, "root").select("sid", F.col("root").alias("component"), "component_id")
+    return rows.join(least, "sid", "left").select(*carried, "n", "component", F.coalesce("component_id", F.col(key)).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, linked: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One row of docs for each component: that with the least key.  Rows with a null key stay."""
-    first = linked.where(F.col(key) == F.col("component_id")).select(key)
-    return docs.join(first.distinct(), key, "left_semi").dropDuplicates([key]).unionByName(docs.where(F.col(key).isNull())).select(docs.columns)
+def link(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(``key``, n_shingles, component_id) of every row."""
+    return members(spark, docs, [key], key, text).select(key, F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of docs for each component, with its columns; see above which."""
+    work = Workspace(spark, "first")
+    row, own, known = unused(docs.columns, "_row", "_own", "_known")
+    hashed = docs.withColumn(row, row_hash(docs))
+    # key and row may have any names: what members adds is renamed by place.
+    every = members(spark, hashed.select(F.col(text).alias("_text"), F.col(key).alias("_key"), F.col(row).alias("_row")), ["_key", "_row"], "_key", "_text")
+    every = work.keep(every.select("_key", "_row", "component"), "members")
+    first = F.min(F.struct(F.col("_key").isNull().alias("none"), F.col("_key").alias("k"), F.col("_row").alias("r")))
+    kept = every.where("component IS NOT NULL").groupBy("component").agg(first.alias("f")).select(F.col("f.k").alias(own), F.col("f.r").alias(known))
+    empty = every.where("component IS NULL").select(F.col("_key").alias(own), F.col("_row").alias(known)).distinct()
+    same = lambda other: F.col(key).eqNullSafe(other[own]) & (F.col(row) == other[known])
+    kept = work.keep(kept, "kept")
+    equal = every.where("component IS NOT NULL").groupBy(F.col("_key").alias("k"), F.col("_row").alias("r")).agg(F.count("*").alias("c")).where("c > 1")
+    equal = work.keep(kept.join(equal, F.col(own).eqNullSafe(F.col("k")) & (F.col(known) == F.col("r")), "left_semi"), "equal")
+    if equal.isEmpty():
+        stay = kept.unionByName(empty)
+        return hashed.join(stay, same(stay), "left_semi").select(docs.columns)
+    # Of rows that are equal in all columns, one.
+    single = kept.join(equal.select(F.col(own).alias("k"), F.col(known).alias("r")), F.col(own).eqNullSafe(F.col("k")) & (F.col(known) == F.col("r")), "left_anti").unionByName(empty)
+    one = hashed.join(equal, same(equal), "left_semi").dropDuplicates([key, row])
+    return hashed.join(single, same(single), "left_semi").unionByName(one).select(docs.columns)

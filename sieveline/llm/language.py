@@ -6,10 +6,11 @@ its entry in a lexicon learned with the model; transitions and starts are
 learned too.  Words of code-switched text are labelled by forward-backward;
 the document takes the label with the largest sum of word marginals.
 
-Training uses a bounded sample, ``TRAIN_DOCS`` documents of ``WINDOWS``
-windows of ``WINDOW`` words spread over the whole text each; windows of
-different documents are joined to code-switched sequences, which is where the
-transitions between languages come from.  Prediction reads every word.
+Training uses a bounded sample, by default ``TRAIN_DOCS`` rows of ``WINDOWS``
+windows of ``WINDOW`` words spread over the whole text each; all three are
+parameters of ``learn``.  Windows of different documents are joined to
+code-switched sequences, which is where the transitions between languages come
+from.  Prediction reads every word.
 
 Defined results: a null text or one without a letter is ``und`` with score 0;
 with no labelled row to learn from every text is ``und``; ties go to the
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 
 from ..sources.spread import spread
 from .crf import Adam, Layout, forward_backward
+from .shared import sample
 from .words import mix, text_buffer
 
 TRAIN_DOCS = 1200
@@ -204,8 +206,8 @@ def pieces_of(batch: pa.RecordBatch, column: int, most: int = TOGETHER) -> Itera
         a = b
 
 
-def windows(docs: DataFrame, text: str) -> DataFrame:
-    """At most WINDOWS windows of WINDOW words of each row, spread evenly over its text: (text, lang)."""
+def windows(docs: DataFrame, text: str, most: int = WINDOWS, size: int = WINDOW) -> DataFrame:
+    """At most ``most`` windows of ``size`` words of each row, spread evenly over its text: (text, lang)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,21 +215,24 @@ def windows(docs: DataFrame, text: str) -> DataFrame:
             langs: list[str] = []
             for t, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = (t or "").split()
-                count = min(WINDOWS, -(-len(words) // WINDOW))
+                count = min(most, -(-len(words) // size))
                 for k in range(count):
-                    a = (len(words) - WINDOW) * k // max(1, count - 1) if count > 1 else 0
-                    out.append(" ".join(words[a : a + WINDOW]))
+                    a = (len(words) - size) * k // max(1, count - 1) if count > 1 else 0
+                    out.append(" ".join(words[a : a + size]))
                     langs.append(lang)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(langs, pa.string())], ["text", "lang"])
 
     return docs.select(text, "lang").mapInArrow(run, "text string, lang string")
 
 
-def learn(docs: DataFrame, may_learn: Column, key: str = "doc_id", text: str = "text", most: int = TRAIN_DOCS) -> Model | None:
-    """A model from the rows of ``docs`` (key, text, lang) that ``may_learn`` holds for."""
-    rows = docs.where(may_learn & F.col("lang").isNotNull() & F.col(text).isNotNull())
-    chosen = rows.select(key).distinct().orderBy(F.xxhash64(key), key).limit(most)
-    picked = windows(rows.join(F.broadcast(chosen), key, "left_semi"), text).limit(most * WINDOWS * 2).collect()  # ``most`` rows bound both
+def learn(docs: DataFrame, may_learn: Column, key: str = "doc_id", text: str = "text", most: int = TRAIN_DOCS, most_windows: int = WINDOWS, window: int = WINDOW) -> Model | None:
+    """A model from rows of ``docs`` (key, text, lang) that ``may_learn`` holds for.
+
+    ``most``: different rows (key, text, lang) that are learned from, chosen by
+    their hash; ``most_windows``: windows of each; ``window``: words of a window.
+    """
+    rows = docs.where(may_learn & F.col("lang").isNotNull() & F.col(text).isNotNull()).select(key, text, "lang")
+    picked = windows(sample(rows, most), text, most_windows, window).collect()  # most * most_windows rows at most
     picked = sorted((r["text"], r["lang"]) for r in picked)
     return train([t for t, _ in picked], [lang for _, lang in picked]) if picked else None
 

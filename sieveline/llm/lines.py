@@ -6,10 +6,10 @@ decides whether the text stays.  Its features are counts of what a line is
 made of.  It learns from seed lines (long runs of plain words; menus, symbol
 or capital noise, echoes, licence lines), with all other lines latent: the
 gradient is the difference between free and clamped expectations.  The sample
-is bounded by ``TRAIN_DOCS`` rows and ``TRAIN_LINES`` lines of each: of longer
-texts, runs of ``RUN`` neighbouring lines spread over the whole text, each a
-sequence of its own, of which only the first begins a text; decoding reads
-every line.
+is bounded, by default by ``TRAIN_DOCS`` rows and ``TRAIN_LINES`` lines of each:
+of longer texts, runs of ``RUN`` neighbouring lines spread over the whole text,
+each a sequence of its own, of which only the first begins a text; the three
+are parameters of ``learn``.  Decoding reads every line.
 
 Base counts come beside it: words, code points in words, symbols, lines with a
 word that equal an earlier line, and words in three-word windows found twice
@@ -35,6 +35,7 @@ from ..sources.spread import spread
 from . import style
 from .crf import Adam, Layout, forward_backward, viterbi
 from .language import pieces_of
+from .shared import sample
 
 TRAIN_DOCS = 3000
 TRAIN_LINES = 64
@@ -131,10 +132,14 @@ def train(x: np.ndarray, lengths: np.ndarray, opens: np.ndarray | None = None) -
     return m
 
 
-def learn(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
-    """A model from a bounded sample of rows, chosen by the hash of their key."""
-    rows = docs.select(key, text)
-    chosen = rows.select(key).distinct().orderBy(F.xxhash64(key), key).limit(TRAIN_DOCS)
+def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = TRAIN_DOCS, most_lines: int = TRAIN_LINES, size: int = RUN) -> Model:
+    """A model from a bounded sample of rows.
+
+    ``most``: different rows (key, text) that are learned from, chosen by their
+    hash; ``most_lines``: lines of each; ``size``: neighbouring lines of a run
+    of texts with more.
+    """
+    chosen = sample(docs.select(key, text), most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,20 +148,20 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
                 x = line_features(t).astype(np.float32)
                 kept, runs = [], []
                 for a, b in zip(t.line_at[:-1], t.line_at[1:]):
-                    whole = b - a <= TRAIN_LINES
-                    begins = [a] if whole else np.linspace(a, b - RUN, TRAIN_LINES // RUN).astype(int)
-                    runs.append(b - a if whole else RUN)
+                    whole = b - a <= most_lines
+                    begins = [a] if whole else np.linspace(a, b - size, most_lines // size).astype(int)
+                    runs.append(b - a if whole else size)
                     kept.append(b"".join(x[c : c + runs[-1]].tobytes() for c in begins))
                 yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()), pa.array(runs, pa.int32())], ["x", "run"])
 
-    got = rows.join(F.broadcast(chosen), key, "left_semi").select(text).mapInArrow(run, "x binary, run int").limit(2 * TRAIN_DOCS).collect()
+    got = chosen.select(text).mapInArrow(run, "x binary, run int").collect()  # most rows of most_lines lines at most
     if not got:
         return train(np.zeros((0, FEATURES)), np.zeros(0, dtype=int))
     parts, lengths, opens = [], [], []
-    for x, size in sorted((bytes(r["x"]), r["run"]) for r in got):
+    for x, length in sorted((bytes(r["x"]), r["run"]) for r in got):
         parts.append(np.frombuffer(x, dtype=np.float32).reshape(-1, FEATURES))
-        n = len(parts[-1]) // max(1, size)
-        lengths += [size] * n
+        n = len(parts[-1]) // max(1, length)
+        lengths += [length] * n
         opens += [k == 0 for k in range(n)]
     return train(np.concatenate(parts).astype(np.float64), np.array(lengths, dtype=np.int64), np.array(opens, dtype=bool))
 

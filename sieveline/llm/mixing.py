@@ -19,10 +19,14 @@ The tokens before a draw are summed in two steps, within buckets of the hash
 order and over the totals of buckets, so a source may hold any share of the
 rows.
 
+A draw carries the hash of its whole row, so rows that share a key, or have
+none, are told apart; it also breaks ties of the order of draws.
+
 Defined results: a null source is a source of its own; sources without tokens
-get no draws; null and empty texts have 0 tokens and are drawn with their
+have weight 0 and get no draws, but where no row is to be left out every row of
+theirs is drawn once; null and empty texts have 0 tokens and are drawn with their
 source; repeated rows are drawn each; an empty table gives an empty result;
-extra columns are ignored.
+extra columns are ignored but for that hash.
 """
 
 from __future__ import annotations
@@ -34,11 +38,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Workspace
+from .shared import Workspace, row_hash, unused
 
 LEVELS = 4
 HALVINGS = 24
 BUCKET_ROWS = 2000
+SPAN = 1024  # buckets
 BLOCKS = 64
 SEED = 17
 
@@ -108,24 +113,37 @@ def weigh(sources: DataFrame, total: int, budget_share: float | None = 1.0, entr
         quota = F.greatest(F.round(F.col("tokens") * rate / F.lit(least)), F.col("tokens"))
     else:
         quota = F.floor(F.round(F.col("weight") * math.floor(total * budget_share), 3))
-    return weighed.withColumn("quota", quota.cast("long")), exponent
+    weighed = weighed.withColumn("quota", quota.cast("long"))
+    if budget_share is None:
+        weighed = weighed.unionByName(weightless(sources.where("tokens = 0")))
+    return weighed, exponent
+
+
+def weightless(sources: DataFrame) -> DataFrame:
+    return sources.select("*", F.lit(0.0).alias("share"), F.lit(0.0).alias("weight"), F.lit(0).cast("long").alias("quota"))
 
 
 def before(rows: DataFrame, group: list[str], key: str) -> DataFrame:
-    """rows with ``before``: the tokens of the rows of their group that come first in the order of bucket, h and key."""
-    sums = rows.groupBy(*group, "bucket").agg(F.sum("tokens").alias("_sum"))
-    ahead = sums.withColumn("_ahead", F.coalesce(F.sum("_sum").over(Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
+    """rows with ``before``: the tokens of the rows of their group that come first in the order of bucket, h, key and row."""
+    earlier = lambda x, part, order: F.coalesce(F.sum(x).over(Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = rows.groupBy(*group, "bucket").agg(F.sum("tokens").alias("_sum")).withColumn("_span", F.floor(F.col("bucket") / SPAN))
+    # Totals of spans of buckets, then of buckets in a span: no task has all buckets of a source.
+    spans = sums.groupBy(*group, "_span").agg(F.sum("_sum").alias("_all")).withColumn("_spans", earlier("_all", group, ["_span"]))
+    spans = spans.select(F.col("source").alias("s3"), F.col("pass").alias("p3"), F.col("_span").alias("x3"), "_spans")
+    ahead = sums.withColumn("_ahead", earlier("_sum", [*group, "_span"], ["bucket"]))
+    ahead = ahead.join(spans, F.col("source").eqNullSafe(F.col("s3")) & (F.col("pass") == F.col("p3")) & (F.col("_span") == F.col("x3")))
+    ahead = ahead.select(F.col("source").alias("s2"), F.col("pass").alias("p2"), F.col("bucket").alias("b2"), (F.col("_ahead") + F.col("_spans")).alias("_ahead"))
     same = (F.col("source").eqNullSafe(F.col("s2"))) & (F.col("pass") == F.col("p2")) & (F.col("bucket") == F.col("b2"))
-    rows = rows.join(ahead.select(F.col("source").alias("s2"), F.col("pass").alias("p2"), F.col("bucket").alias("b2"), "_ahead"), same).drop("s2", "p2", "b2")
-    within = F.coalesce(F.sum("tokens").over(Window.partitionBy(*group, "bucket").orderBy("h", key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(ahead, same).drop("s2", "p2", "b2")
+    within = earlier("tokens", [*group, "bucket"], ["h", key, "row"])
     return rows.withColumn("before", F.col("_ahead") + within).drop("_ahead")
 
 
 def draw(work: Workspace, docs: DataFrame, weighed: DataFrame, key: str = "doc_id", blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
-    """(``key``, source, tokens, pass, block, place) of each draw; docs has key, source and tokens."""
-    passes = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("quota") / F.col("all")) - 1, F.lit(0)).cast("int"))
-    known = weighed.select(F.col("source").alias("_source"), F.col("tokens").alias("all"), "rows", "quota").where("quota > 0").withColumn("passes", passes)
-    rows = docs.select(key, "source", "tokens").join(known, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    """(``key``, source, tokens, row, copies, pass, block, place) of each draw; docs has key, source, tokens, row and copies."""
+    passes = F.sequence(F.lit(0), F.greatest(F.ceil(F.try_divide("quota", "all")) - 1, F.lit(0)).cast("int"))
+    known = weighed.select(F.col("source").alias("_source"), F.col("tokens").alias("all"), "rows", "quota").where("quota > 0 OR all = 0").withColumn("passes", passes)
+    rows = docs.select(key, "source", "tokens", "row", "copies").join(known, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rows = rows.withColumn("pass", F.explode("passes")).drop("passes")
     h = F.xxhash64(F.lit(seed), F.col("pass"), F.col(key))
     # The upper 31 bits of the hash, as a share, deal rows out to buckets in hash order.
@@ -145,25 +163,45 @@ def draw(work: Workspace, docs: DataFrame, weighed: DataFrame, key: str = "doc_i
         waiting = refused.withColumn("taken", F.col("taken") + F.col("_more")).where("taken + tokens <= quota").drop("s2", "p2", "_more", "start", "fits")
         if waiting.isEmpty():
             break
-    block = F.least(F.floor(F.col("start") * blocks / F.col("quota")), F.lit(blocks - 1)).cast("int")
-    return drawn.select(key, "source", "tokens", "pass", block.alias("block"), F.xxhash64(F.lit(seed + 1), F.col("pass"), F.col(key), F.col("source")).alias("place"))
+    block = F.coalesce(F.least(F.floor(F.try_divide(F.col("start") * blocks, "quota")), F.lit(blocks - 1)), F.lit(0)).cast("int")
+    return drawn.select(key, "source", "tokens", "row", "copies", "pass", block.alias("block"), F.xxhash64(F.lit(seed + 1), F.col("pass"), F.col(key), F.col("source"), F.col("row")).alias("place"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, budget_share: float | None = 1.0, entropy_share: float | None = None, most_repeats: float | None = None, key: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:
     """(draws, weights by source); the parameters are those of ``weigh``."""
     work = Workspace(spark, "mixing")
-    counted = work.keep(docs.select(F.col(key), F.col(source).alias("source"), count_words(F.col(text)).alias("tokens")), "counted")
+    counted = work.keep(docs.select(F.col(key), F.col(source).alias("source"), count_words(F.col(text)).alias("tokens"), row_hash(docs).alias("row")), "counted")
+    # How many rows are equal in all columns: 1 but for the few that this table has.
+    equal = work.keep(counted.groupBy(F.col(key).alias("_key"), F.col("row").alias("_row")).agg(F.count("*").alias("copies")).where("copies > 1"), "equal")
+    if equal.isEmpty():
+        rows = counted.withColumn("copies", F.lit(1).cast("long"))
+    else:
+        rows = counted.join(equal, F.col(key).eqNullSafe(F.col("_key")) & (F.col("row") == F.col("_row")), "left").drop("_key", "_row").withColumn("copies", F.coalesce("copies", F.lit(1)))
     sources = work.keep(counted.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows")), "sources")
     total = sources.agg(F.sum("tokens")).first()[0] or 0
     if not total:
-        weighed = sources.withColumn("share", F.lit(0.0)).withColumn("weight", F.lit(0.0)).withColumn("quota", F.lit(0).cast("long")).withColumn("exponent", F.lit(1.0))
+        weighed = weightless(sources if budget_share is None else sources.limit(0)).withColumn("exponent", F.lit(1.0))
     else:
         found, exponent = weigh(sources, total, budget_share, entropy_share, most_repeats)
         weighed = work.keep(found.withColumn("exponent", F.lit(exponent)), "weights")
-    return draw(work, counted, weighed, key), weighed
+    return draw(work, rows, weighed, key), weighed
+
 
+def drawn_rows(spark: SparkSession, docs: DataFrame, draws: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs, each row as often as it was drawn; draws are those of ``mix`` over the same docs.
 
-def drawn_rows(docs: DataFrame, draws: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs, each row as often as its key was drawn in different passes."""
-    times = draws.select(F.col(key).alias("_key"), "pass").distinct().select("_key")
-    return docs.join(times, F.col(key).eqNullSafe(F.col("_key"))).select(docs.columns)
+    Rows are known by key and hash.  Of k equal rows drawn n times in all, each
+    comes n // k times and n % k of them once more.
+    """
+    work = Workspace(spark, "drawn")
+    row, own, known, each, more, turn = unused(docs.columns, "_row", "_key", "_known", "_each", "_more", "_turn")
+    hashed = docs.withColumn(row, row_hash(docs))
+    drawn = draws.groupBy(F.col(key).alias(own), F.col("row").alias(known)).agg(F.count("*").alias("n"), F.max("copies").alias("k"))
+    times = work.keep(drawn.select(own, known, F.floor(F.col("n") / F.col("k")).cast("int").alias(each), (F.col("n") % F.col("k")).cast("int").alias(more)), "times")
+    same = F.col(key).eqNullSafe(F.col(own)) & (F.col(row) == F.col(known))
+    out = hashed.join(times.where(F.col(each) > 0), same).withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(each)))).select(docs.columns)
+    rest = times.where(F.col(more) > 0)
+    if not rest.isEmpty():
+        once = hashed.join(rest, same).dropDuplicates([key, row])
+        out = out.unionByName(once.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(more)))).select(docs.columns))
+    return out

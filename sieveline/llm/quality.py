@@ -7,19 +7,18 @@ texts are made of, by the non-negative unbiased risk
 
 with the logistic loss, so the sigmoid of the output estimates the probability
 of the positive class.  Where the bracket is negative its gradient is turned
-round, as in the method's published form.  No negative example is trained on.
-The class prior is estimated: from the share of positives among rows that were
-labelled either way (``labelled_prior``), or where there are none of those,
-from the samples alone.  For every set A of texts, P_unl(A) >= prior *
-P_pos(A), so the least ratio over upper level sets of a first
-positive-against-unlabelled score estimates it from above.
-
-Both samples are bounded: ``POSITIVES`` and ``UNLABELLED`` rows, chosen by the
-hash of the key; of each only ``FEATURES`` numbers reach the driver.  Scoring
-reads every whole text.
-
-Defined results: null and empty texts have all counts 0 and the score of that
-point; without positives the score is 0; repeated rows are each scored; an
+round, as in the method's published form.  No negative example is used.  The
+class prior is estimated from the two samples alone: for every set A of texts,
+P_unl(A) >= prior * P_pos(A), so the least ratio over upper level sets of a
+positive-against-unlabelled score estimates it from above, and its standard
+error is taken off.  Each half of the samples is scored by a model of the other.
+
+Both samples are bounded, by default to ``POSITIVES`` and ``UNLABELLED`` different
+rows, chosen by their hash; both are parameters of ``learn``.  Of each row only
+``FEATURES`` numbers reach the driver.  Scoring reads every whole text.
+
+Defined results: null and empty texts have one line, all other counts 0, and the
+score of that point; without positives the score is 0; repeated rows are each scored; an
 empty table gives an empty result; extra columns are ignored.
 """
 
@@ -37,6 +36,7 @@ from ..sources.spread import spread
 from . import style
 from .crf import Adam
 from .language import pieces_of
+from .shared import row_hash
 
 POSITIVES = 3000
 UNLABELLED = 6000
@@ -55,7 +55,8 @@ def features(column: pa.Array) -> np.ndarray:
     words = np.diff(t.word_at).astype(np.float64)
     some = np.maximum(words, 1)
     letters = np.maximum(c[:, style.UPPER] + c[:, style.LOWER] + c[:, style.LEAD], 1)
-    chars = np.maximum(c.sum(axis=1) - c[:, style.CONTINUATION], 1)
+    inside = c.sum(axis=1) - c[:, style.CONTINUATION]
+    chars = np.maximum(inside, 1)
     lines = np.diff(t.line_at).astype(np.float64)
     has = np.flatnonzero(lines)
     total = lambda x: np.add.reduceat(x, t.line_at[:-1][has]) if len(has) else np.zeros(0)
@@ -65,7 +66,7 @@ def features(column: pa.Array) -> np.ndarray:
     odd = lambda k, least: by_text(np.where(lc[:, k] / lw > least, t.line_words, 0).astype(np.float64)) / some
     out = [
         np.log1p(words),
-        (chars - c[:, style.SPACE] - c[:, style.NEWLINE]) / some,
+        (inside - c[:, style.SPACE] - c[:, style.NEWLINE]) / some,
         c[:, style.UPPER] / letters,
         c[:, style.LEAD] / letters,
         c[:, style.SYMBOL] / some,
@@ -105,7 +106,25 @@ class Model:
         return np.tanh(z @ self.params["in"] + self.params["bias"]) @ self.params["out"] + self.params["level"]
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.output(x), -40, 40)))
+        return sigmoid(self.output(x))
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def risk(gp: np.ndarray, gu: np.ndarray, prior: float) -> tuple[float, float]:
+    """(risk of positives, the bracket) of outputs for positives and for unlabelled texts; the bracket may be negative."""
+    return prior * np.logaddexp(0, -gp).mean(), np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+
+
+def descent(gp: np.ndarray, gu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """What is followed downwards: the gradient of both terms by the outputs, or that of the bracket turned round where it is negative."""
+    up, down = (sigmoid(gp) - 1) / len(gp), sigmoid(gp) / len(gp)  # of the two losses on positives
+    unl = sigmoid(gu) / len(gu)
+    if risk(gp, gu, prior)[1] >= 0:
+        return prior * (up - down), unl
+    return prior * down, -unl
 
 
 def _fit(pos: np.ndarray, unl: np.ndarray, prior: float | None, seed: int) -> dict[str, np.ndarray]:
@@ -114,40 +133,28 @@ def _fit(pos: np.ndarray, unl: np.ndarray, prior: float | None, seed: int) -> di
     n = pos.shape[1]
     p = {"in": rng.normal(0, n**-0.5, (n, HIDDEN)), "bias": np.zeros(HIDDEN), "out": rng.normal(0, HIDDEN**-0.5, HIDDEN), "level": np.zeros(1)}
     adam = Adam(p, 0.01)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for _ in range(STEPS):
         a, b = pos[rng.integers(len(pos), size=BATCH)], unl[rng.integers(len(unl), size=BATCH)]
         x = np.concatenate([a, b])
         hidden = np.tanh(x @ p["in"] + p["bias"])
         g = hidden @ p["out"] + p["level"]
-        gp, gu = g[:BATCH], g[BATCH:]
-        up, down = sigmoid(gp) - 1, sigmoid(gp)  # gradients of loss(+) and loss(-) on positives
         if prior is None:
-            d = np.concatenate([up, sigmoid(gu)]) / BATCH
+            d = np.concatenate([sigmoid(g[:BATCH]) - 1, sigmoid(g[BATCH:])]) / BATCH
         else:
-            negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-            rest = np.concatenate([-prior * down, sigmoid(gu)]) / BATCH
-            d = np.concatenate([prior * up, np.zeros(BATCH)]) / BATCH + rest if negative >= 0 else -rest
+            d = np.concatenate(descent(g[:BATCH], g[BATCH:], prior))
         back = np.outer(d, p["out"]) * (1 - hidden**2)
         adam.step({"in": x.T @ back + 1e-4 * p["in"], "bias": back.sum(axis=0), "out": hidden.T @ d + 1e-4 * p["out"], "level": np.array([d.sum()])})
     return p
 
 
 def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
-    """The least ratio P_unl(A) / P_pos(A) over sets A = {score >= t} with enough positives."""
+    """The least ratio P_unl(A) / P_pos(A) over sets A = {score >= t} with enough positives, less its standard error."""
     cuts = np.quantile(pos, np.linspace(0, 1 - LEAST_SHARE, 30))
-    of_pos = (pos[:, None] >= cuts).mean(axis=0)
-    of_unl = (unl[:, None] >= cuts).mean(axis=0)
-    return float(np.clip((of_unl / np.maximum(of_pos, 1e-9)).min(), 0.02, 0.98))
-
-
-def labelled_prior(labels: DataFrame, positive: Column) -> float | None:
-    """The share of positives among labelled rows, less its standard error; None if only one class is there."""
-    n, k = labels.agg(F.count(positive), F.count_if(positive)).first()
-    if not 0 < k < n:
-        return None
-    share = k / n
-    return max(0.02, share - (share * (1 - share) / n) ** 0.5)
+    a, b = np.maximum((pos[:, None] >= cuts).mean(axis=0), 1e-9), np.maximum((unl[:, None] >= cuts).mean(axis=0), 1e-9)
+    least = np.argmin(b / a)
+    a, b = a[least], b[least]
+    error = b / a * (max(0.0, 1 - b) / (b * len(unl)) + max(0.0, 1 - a) / (a * len(pos))) ** 0.5
+    return float(np.clip(b / a - error, 0.02, 0.98))
 
 
 def train(pos: np.ndarray, unl: np.ndarray, prior: float | None = None, seed: int = 11) -> Model:
@@ -155,33 +162,42 @@ def train(pos: np.ndarray, unl: np.ndarray, prior: float | None = None, seed: in
     model = Model(both.mean(axis=0), both.std(axis=0) + 1e-6, {}, prior or 0.5)
     zp, zu = (np.clip((x - model.center) / model.scale, -8, 8) for x in (pos, unl))
     if prior is None:
-        half_p, half_u = len(zp) // 2 or 1, len(zu) // 2 or 1
-        model.params = _fit(zp[:half_p], zu[:half_u], None, seed)
-        model.prior = estimate_prior(model.output(pos[half_p:] if len(pos) > 1 else pos), model.output(unl[half_u:] if len(unl) > 1 else unl))
+        output = {}
+        for half in (0, 1):
+            own = [np.arange(len(z)) % 2 == half if len(z) > 1 else np.ones(1, dtype=bool) for z in (zp, zu)]
+            rest = [z[~o] if len(z) > 1 else z for z, o in zip((zp, zu), own)]
+            model.params = _fit(*rest, None, seed)
+            output[half] = [model.output(x[o]) for x, o in zip((pos, unl), own)]
+        model.prior = estimate_prior(*(np.concatenate([output[0][k], output[1][k]]) for k in (0, 1)))
     model.params = _fit(zp, zu, model.prior, seed)
     return model
 
 
-def learn(docs: DataFrame, positives: DataFrame, may_learn: Column, prior: float | None = None, key: str = "doc_id", text: str = "text") -> Model | None:
-    """A model from rows that ``may_learn`` holds for; ``positives`` has the keys of trusted ones."""
-    rows = docs.select(key, text).where(may_learn)
-    keys = rows.select(key)
-    first = lambda df, n: df.distinct().orderBy(F.xxhash64(key), key).limit(n)
-    pos = first(keys.join(positives.select(key), key, "left_semi"), POSITIVES).withColumn("_trusted", F.lit(True))
-    unl = first(keys, UNLABELLED).withColumn("_trusted", F.lit(False))
-    chosen = pos.unionByName(unl)
+def learn(docs: DataFrame, positives: DataFrame, may_learn: Column, prior: float | None = None, key: str = "doc_id", text: str = "text", most_positives: int = POSITIVES, most_unlabelled: int = UNLABELLED) -> Model | None:
+    """A model from rows that ``may_learn`` holds for; ``positives`` has the keys of trusted ones.
+
+    ``prior``: the share of positives, estimated if None.  ``most_positives`` and
+    ``most_unlabelled``: different rows (key, text) of the two samples, chosen
+    by their hash.
+    """
+    rows = docs.where(may_learn).select(F.col(key).alias("id"), F.col(text).alias("text"))
+    rows = rows.withColumn("h", row_hash(rows))
+    keys = rows.select("id", "h")
+    first = lambda df, n: df.select("h").distinct().orderBy("h").limit(n)
+    pos = first(keys.join(positives.select(F.col(key).alias("id")), "id", "left_semi"), most_positives).withColumn("trusted", F.lit(True))
+    unl = first(keys, most_unlabelled).withColumn("trusted", F.lit(False))
+    chosen = pos.unionByName(unl).groupBy("h").agg(F.collect_set("trusted").alias("samples"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces_of(batch, 0):
                 x = features(part.column(0))
-                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["id", "trusted", "x"])
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["h", "samples", "x"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    joined = rows.join(F.broadcast(chosen), key).select(text, key, "_trusted")  # POSITIVES + UNLABELLED keys at most
-    got = joined.mapInArrow(run, f"id {kind}, trusted boolean, x array<double>").limit(2 * (POSITIVES + UNLABELLED)).collect()
-    got.sort(key=lambda r: (str(r["id"]), r["x"]))
-    one, other = (np.array([r["x"] for r in got if r["trusted"] == which]).reshape(-1, FEATURES) for which in (True, False))
+    joined = rows.join(F.broadcast(chosen), "h").dropDuplicates(["h"])  # most_positives + most_unlabelled hashes at most
+    got = joined.select("text", "h", "samples").mapInArrow(run, "h bigint, samples array<boolean>, x array<double>").collect()
+    got.sort(key=lambda r: r["h"])
+    one, other = (np.array([r["x"] for r in got if which in r["samples"]]).reshape(-1, FEATURES) for which in (True, False))
     rng = np.random.default_rng(5)
     return train(rng.permutation(one), rng.permutation(other), prior) if len(one) and len(other) else None
 

@@ -26,11 +26,9 @@ def piece_model() -> str:
 
 
 def quality_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> quality.Model | None:
-    """Learned from the rows of docs and labels outside the held-out fold."""
+    """Learned from the rows of docs, and those labelled good, outside the held-out fold."""
     learns = ~held_out(F.col("doc_id"))
-    labels = table(spark, sf_dir, "labels").where(learns)
-    good = F.col("quality") == 1
-    return quality.learn(docs, labels.where(good), learns, quality.labelled_prior(labels, good))
+    return quality.learn(docs, table(spark, sf_dir, "labels").where(learns & (F.col("quality") == 1)), learns)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +74,7 @@ def op8_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     draws, _ = mixing.mix(spark, table(spark, sf_dir, "documents"), entropy_share=0.97, most_repeats=4.0)
-    return draws
+    return draws.drop("row", "copies")
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Workspace
+from .shared import Workspace, unused
 
 #: Spark's split needs a text in the result for each match: no rule may match the empty text.
 
@@ -119,9 +119,16 @@ def _in_order():
 
 
 def scan_increment(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = BASE_RULES, text: str = "text") -> DataFrame:
-    """The ledger rows of the pairs that ``ledger`` lacks."""
+    """The ledger rows of the pairs that ``ledger`` lacks.
+
+    With a ledger, addresses alone ask it first, and only texts of blobs that
+    are due are shuffled, or none where few are due.
+    """
     versions = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
-    return scan(unseen(versions.dropDuplicates(["blob"]).select("blob", "text"), ledger, rules), rules)
+    if ledger is None:
+        return scan(unseen(versions.dropDuplicates(["blob"]).select("blob", "text"), None, rules), rules)
+    due = unseen(versions.select("blob").distinct(), ledger, rules)
+    return scan(versions.join(due, "blob").dropDuplicates(["blob"]).select("blob", "text", "due"), rules)
 
 
 def blob_spans(ledger: DataFrame, rules: tuple[Rule, ...] = BASE_RULES) -> DataFrame:
@@ -167,16 +174,17 @@ def digest(found: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, key: str = "d
 
 def redact(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = BASE_RULES, mask: str = "[secret]", text: str = "text") -> DataFrame:
     """docs with every span of secrets in ``text`` replaced by ``mask``; overlapping spans become one."""
-    hit = blob_spans(ledger, rules).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    value, address_of, blob, spans = unused(docs.columns, "_value", "_address", "_blob", "_spans")
+    hit = blob_spans(ledger, rules).select(F.col("blob").alias(blob), F.col("spans").alias(spans))
     state = "struct<out:array<string>,upto:bigint>"
-    value = F.col("_value")
+    whole = F.col(value)
 
     def step(s, x):
-        before = F.substring(value, (s["upto"] + 1).cast("int"), (x["start"] - s["upto"]).cast("int"))
+        before = F.substring(whole, (s["upto"] + 1).cast("int"), (x["start"] - s["upto"]).cast("int"))
         grown = F.when(x["start"] >= s["upto"], F.array(before, F.lit(mask))).otherwise(F.array().cast("array<string>"))
         return F.struct(F.concat(s["out"], grown).alias("out"), F.greatest(s["upto"], x["stop"]).alias("upto"))
 
-    empty = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).cast("bigint").alias("upto")).cast(state)
-    folded = F.aggregate("_spans", empty, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(value, (s["upto"] + 1).cast("int"), F.length(value))))
-    joined = docs.withColumn("_value", F.col(text)).withColumn("_key", address(F.col(text))).join(hit, F.col("_key") == F.col("_blob"), "left")
-    return joined.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(folded)).select(docs.columns)
+    none = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).cast("bigint").alias("upto")).cast(state)
+    folded = F.aggregate(spans, none, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(whole, (s["upto"] + 1).cast("int"), F.length(whole))))
+    joined = docs.withColumn(value, F.col(text)).withColumn(address_of, address(F.col(text))).join(hit, F.col(address_of) == F.col(blob), "left")
+    return joined.withColumn(text, F.when(F.col(spans).isNull(), F.col(text)).otherwise(folded)).select(docs.columns)

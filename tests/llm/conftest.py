@@ -14,7 +14,7 @@ def make_docs(spark):
         if clash:
             from pyspark.sql import functions as F
 
-            for c in ("score", "tokens", "blob", "spans", "n", "key", "h", "pass", "block", "n_shingles", "kind", "share", "ids"):
+            for c in ("score", "tokens", "blob", "spans", "n", "key", "h", "pass", "block", "n_shingles", "kind", "share", "ids", "_value", "_key", "_blob", "_spans", "_row", "_known", "row", "_h", "trusted"):
                 df = df.withColumn(c, F.lit("x"))
         return df
 
