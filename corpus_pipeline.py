@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sieveline.llm import jaccard, mixing, pieces, quality, secrets
 from sieveline.llm.queries import piece_model, quality_model, table
-from sieveline.llm.shared import Workspace
+from sieveline.llm.shared import Workspace, scratch
 
 ENTROPY_SHARE = 0.97
 MOST_REPEATS = 4.0
@@ -23,8 +23,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least doc_id stays."""
-    return jaccard.one_of_each(docs, jaccard.link(spark, docs))
+    """Of each group of linked documents the one with the least doc_id stays; rows that repeat a doc_id are documents of their own."""
+    return jaccard.one_of_each(spark, docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def temperature_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of small sources are repeated until the weights meet the target; none is left out."""
     draws, _ = mixing.mix(spark, docs, None, ENTROPY_SHARE, MOST_REPEATS)
-    return mixing.drawn_rows(docs, draws)
+    return mixing.drawn_rows(spark, docs, draws)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +61,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Workspace(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        docs = work.keep(stage(spark, docs, sf_dir), name)
+        with scratch(spark):  # what the stage kept for itself goes when its rows are written
+            docs = work.keep(stage(spark, docs, sf_dir), name)
         if i:
             work.drop(STAGES[i - 1][0])
     return docs
