@@ -3,18 +3,23 @@
 Encoding is our own: every adjacent pair of symbols whose concatenation is a
 piece stands on an agenda ordered by the piece's score (ties: leftmost); the
 best pair is merged until none is left, and symbols outside the vocabulary
-become byte pieces.  Two facts make it fast without changing a result: a merge
-never joins two characters that are adjacent in no piece, so texts are cut at
-such places, and equal cuts have equal ids, so they are remembered in a table
-of bounded size.  Each Arrow batch is checked against the sentencepiece
-library: every stretch that was encoded anew and one whole text of every
-``ONE_OF`` (``check="stretches"``) or every whole text (``check="texts"``),
-begin and end included; a difference raises an error.  Decoding is the
-library's.
+become byte pieces.  Where no piece has a space mark inside, texts are cut at
+those marks without changing a result, and equal stretches have equal ids, so
+they are remembered in a table of bounded size.  The agendas of all short
+stretches that a group of texts brings anew are worked off side by side, a row
+of an array each; longer ones have a heap.  Each Arrow batch is checked against
+the sentencepiece library: every stretch that was encoded anew and one whole
+text of every ``ONE_OF`` (``check="stretches"``) or every whole text
+(``check="texts"``), begin and end included; a difference raises an error.
+Decoding is the library's.
+
+Vocabularies of another type, or with rules that change a text before it is
+cut, are not for this agenda: the check raises at their first difference.
 
 Null and empty texts have the begin and end ids only and decode to the empty
 text.  Rows may repeat; each is encoded for itself.  Extra columns are dropped
-from the result.  An empty table gives an empty result.
+from the result.  An empty table gives an empty result.  Texts are handled in
+groups of bounded size, longer ones in parts.
 """
 
 from __future__ import annotations
@@ -22,23 +27,26 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..sources.spread import spread
+from .language import pieces_of
 
 SPACE = "▁"
 #: Entries of one generation of a table; two are held.
-CACHE = 90_000
+CACHE = 200_000
 TOGETHER = 64
 ONE_OF = 128
+#: Characters of texts that are encoded together, and of the parts of longer texts.
 PART = 1 << 20
-SHORT = 40
-NEVER = float("inf")
+#: Stretches of so many characters and fewer stand in arrays, by length up to each of these.
+SHORT = (8, 14, 40)
+ROWS = 8192
+NEVER = np.inf
 
 _PROCESSORS: dict[str, "PieceCodec"] = {}
 
@@ -64,21 +72,18 @@ class PieceCodec:
                 piece = sp.id_to_piece(k)
                 self.rank[piece] = -sp.get_score(k)
                 self.ids[piece] = k
-        #: characters that stand side by side in some piece
-        self.touching = {p[i : i + 2] for p in self.rank for i in range(len(p) - 1)}
         #: a space symbol starts a cut of its own unless some piece has one inside
         self.words_apart = all(SPACE not in p.lstrip(SPACE) for p in self.rank)
         # What is remembered, and what was before: entries in use move from the second to the first.
-        self.cuts: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
-        self.old_cuts: dict[str, bytes] = {}
         self.old_words: dict[str, bytes] = {}
-        self.fresh: list[str] = []
+        self.fresh: dict[str, bytes] = {}
+        self.pairs: Pairs | None = None
 
-    def merge(self, text: str) -> list[int]:
-        """Ids of a text by the agenda alone."""
+    def ids_of(self, symbols: Iterable[str]) -> bytes:
+        """Ids of symbols as little-endian 32-bit integers."""
         ids: list[int] = []
-        for s in self.merged_short(text) if len(text) <= SHORT else self.merged_long(text):
+        for s in symbols:
             k = self.ids.get(s)
             if k is not None:
                 ids.append(k)
@@ -86,28 +91,10 @@ class PieceCodec:
                 ids.extend(self.byte_ids[b] for b in s.encode("utf-8", "replace"))
             else:
                 ids.append(self.unknown)
-        return ids
-
-    def merged_short(self, text: str) -> list[str]:
-        """Symbols after all merges; the agenda is a list, searched for its best entry."""
-        rank = self.rank.get
-        symbols = list(text)
-        agenda = [rank(text[i : i + 2], NEVER) for i in range(len(text) - 1)]
-        while agenda:
-            best = min(agenda)
-            if best == NEVER:
-                break
-            i = agenda.index(best)  # the leftmost
-            symbols[i] += symbols.pop(i + 1)
-            del agenda[i]
-            if i:
-                agenda[i - 1] = rank(symbols[i - 1] + symbols[i], NEVER)
-            if i < len(agenda):
-                agenda[i] = rank(symbols[i] + symbols[i + 1], NEVER)
-        return symbols
-
-    def merged_long(self, text: str) -> list[str]:
-        """The same with a heap, whose outdated entries are passed over."""
+        return np.array(ids, dtype="<u4").tobytes()
+
+    def merged(self, text: str) -> list[str]:
+        """Symbols after all merges; the agenda is a heap, whose outdated entries are passed over."""
         rank, n = self.rank, len(text)
         symbols: list[str] = list(text)
         if n > 1:
@@ -136,64 +123,184 @@ class PieceCodec:
                         heapq.heappush(agenda, (rank[longer], h, i, longer))
         return [s for s in symbols if s]
 
-    def word(self, word: str) -> bytes:
-        """Ids, as little-endian 32-bit integers, of a stretch that no merge crosses the ends of."""
-        found = self.words.get(word)
-        if found is None:
-            found = self.old_words.get(word)
-            if found is None:
-                found = b"".join(self.cut(word))
-                self.fresh.append(word)
-            if len(self.words) >= CACHE:
-                self.words, self.old_words = {}, self.words
-            self.words[word] = found
-        return found
-
-    def cut(self, word: str) -> list[bytes]:
-        touching, out, a = self.touching, [], 0
-        for i in range(1, len(word) + 1):
-            if i == len(word) or word[i - 1 : i + 1] not in touching:
-                cut = word[a:i]
-                ids = self.cuts.get(cut)
-                if ids is None:
-                    ids = self.old_cuts.get(cut)
-                    if ids is None:
-                        merged = self.merge(cut)
-                        ids = struct.pack(f"<{len(merged)}I", *merged)
-                    if len(self.cuts) >= CACHE:
-                        self.cuts, self.old_cuts = {}, self.cuts
-                    self.cuts[cut] = ids
-                out.append(ids)
-                a = i
+    def merged_rows(self, words: list[str]) -> Iterator[list[str] | bytes]:
+        """The ids of short words, or their symbols where some are no piece: all agendas advance a merge at a time."""
+        pairs = self.pairs = self.pairs or Pairs(self)
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        width = int(sizes.max())
+        inside = np.arange(width) < sizes[:, None]
+        state = np.zeros((len(words), width), dtype=np.int32)  # 0: nothing
+        state[inside] = pairs.symbol(codes)
+        rows = np.arange(len(words))
+        now = state.copy()
+        agenda, joined = pairs.find(now[:, :-1], now[:, 1:])
+        while len(rows) and agenda.shape[1]:
+            at = agenda.argmin(axis=1)  # the leftmost of the best
+            line = np.arange(len(rows))
+            due = agenda[line, at] < NEVER
+            if not due.all():
+                state[rows[~due], : now.shape[1]] = now[~due]
+                state[rows[~due], now.shape[1] :] = 0
+                rows, now, agenda, joined, at = rows[due], now[due], agenda[due], joined[due], at[due]
+                line = np.arange(len(rows))
+                if not len(rows):
+                    break
+            made = joined[line, at]
+            # What stands after the pair moves up by one place.
+            take = np.arange(now.shape[1] - 1)
+            now = np.take_along_axis(now, take + (take > at[:, None]), axis=1)
+            now[line, at] = made
+            take = take[:-1]
+            moved = take + (take >= at[:, None])
+            agenda, joined = np.take_along_axis(agenda, moved, axis=1), np.take_along_axis(joined, moved, axis=1)
+            for left in (at - 1, at):
+                use = np.flatnonzero((left >= 0) & (left < agenda.shape[1]))
+                if len(use):
+                    l = left[use]  # noqa: E741
+                    agenda[use, l], joined[use, l] = pairs.find(now[use, l], now[use, l + 1])
+        if len(rows):
+            state[rows, : now.shape[1]] = now
+            state[rows, now.shape[1] :] = 0
+        ends = (state != 0).sum(axis=1)
+        ids = pairs.ids[np.maximum(state, 0)]
+        whole = ((ids >= 0) & (state >= 0) | (state == 0)).all(axis=1)
+        data, step = ids.astype("<u4").tobytes(), 4 * width
+        for k, (n, plain) in enumerate(zip(ends.tolist(), whole.tolist())):
+            yield data[k * step : k * step + 4 * n] if plain else [pairs.strings[x] if x > 0 else chr(-1 - x) for x in state[k, :n].tolist()]
+
+    def encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of stretches that no merge crosses the ends of."""
+        out: dict[str, bytes] = {}
+        least = 0
+        for most in SHORT:
+            some = [w for w in words if least < len(w) <= most]
+            for a in range(0, len(some), ROWS):
+                part = some[a : a + ROWS]
+                for w, found in zip(part, self.merged_rows(part)):
+                    out[w] = found if isinstance(found, bytes) else self.ids_of(found)
+            least = most
+        for w in words:
+            if len(w) > least:
+                out[w] = self.ids_of(self.merged(w))
         return out
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a text without begin and end, as little-endian 32-bit integers."""
-        if not text:
-            return b""
+    def cut(self, text: str) -> list[str]:
+        """Stretches of a text that begin with a space symbol; the whole text if pieces may have one inside."""
         text = SPACE + text.replace(" ", SPACE)
         if not self.words_apart:
-            return self.word(text)
-        out, a = [], 0
-        while a < len(text):  # a long text in parts that begin with a space symbol and don't end with one
-            b = text.find(SPACE, a + PART)
-            while 0 < b and text[b - 1] == SPACE:
-                b = text.find(SPACE, b + 1)
+            return [text]
+        if SPACE + SPACE in text:
+            return re.findall(f"{SPACE}+[^{SPACE}]*", text)
+        return [SPACE + w for w in text[1:].split(SPACE)]
+
+    def parts(self, text: str) -> Iterator[str]:
+        """A long text in parts that begin with a space, which stands for the symbol that begins a text, and don't end with one."""
+        a = 0
+        while a < len(text):
+            b = -1
+            if self.words_apart:
+                spaces = re.compile(f"[ {SPACE}]")
+                found = spaces.search(text, a + PART)
+                while found and text[found.start() - 1] in (" ", SPACE):
+                    found = spaces.search(text, found.end())
+                b = found.start() if found else -1
             b = b if b > 0 else len(text)
-            out.append(self.stretches(text[a:b]))
+            yield text[a:b] if a == 0 else text[a + 1 : b]
             a = b
-        return b"".join(out)
 
-    def stretches(self, text: str) -> bytes:
-        if SPACE + SPACE in text:
-            stretches = re.findall(f"{SPACE}+[^{SPACE}]*", text)
-        else:
-            stretches = [SPACE + w for w in text[1:].split(SPACE)]
-        known = self.words
-        found = [known.get(w) for w in stretches]
-        if None in found:
-            found = [x if x is not None else self.word(w) for x, w in zip(found, stretches)]
-        return b"".join(found)
+    def stretches(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without begin and end, as little-endian 32-bit integers."""
+        cuts = [self.cut(t) for t in texts]
+        needed = set().union(*cuts)
+        missing = needed.difference(self.words)
+        if missing:
+            old = self.old_words
+            self.fresh = self.encode_words([w for w in missing if w not in old])
+            if len(self.words) + len(missing) > CACHE:
+                missing, self.words, self.old_words = needed, {}, self.words
+                old = old | self.old_words
+            self.words.update({w: old.get(w) or self.fresh[w] for w in missing})
+        known = self.words.__getitem__
+        return [b"".join(map(known, c)) for c in cuts]
+
+    def encode(self, texts: list[str], check: bool = True) -> list[bytes]:
+        """The same, with new stretches checked against the library and long texts in parts."""
+        out: list[bytes] = []
+        for group in groups(texts):
+            parts = list(self.parts(group[0])) if len(group) == 1 else group
+            ids: list[bytes] = []
+            for some in [[p] for p in parts] if len(group) == 1 else [parts]:
+                ids += self.stretches(some)
+                if check:
+                    self.compare_fresh()
+            out += [b"".join(ids)] if len(group) == 1 else ids
+        # The empty text has no symbol, not even the one that begins others.
+        return [x if t else b"" for t, x in zip(texts, out)]
+
+    def compare_fresh(self) -> None:
+        """Compare stretches that were encoded anew with the library: glued, each run of spaces that ends a text behind one stretch."""
+        words, self.fresh = self.fresh, {}
+        names = [w for w in words if not w.endswith(SPACE)]
+        glued = [names[a : a + TOGETHER] for a in range(0, len(names), TOGETHER)]
+        runs = [w for w in words if w.endswith(SPACE)]
+        if runs:
+            before = SPACE + "a"
+            words |= self.encode_words([before])
+            glued += [[before, w] for w in runs]
+        compare(self, ["".join(g)[1:] for g in glued], [b"".join(map(words.get, g)) for g in glued])
+
+
+def groups(texts: list[str]) -> Iterator[list[str]]:
+    """Texts in order, of PART characters together or one longer one."""
+    some: list[str] = []
+    size = 0
+    for t in texts:
+        if some and size + len(t) > PART:
+            yield some
+            some, size = [], 0
+        some.append(t)
+        size += len(t)
+    if some:
+        yield some
+
+
+class Pairs:
+    """Symbols by number, and which pairs of them make a piece.
+
+    Number 0 stands for nothing; characters that occur in no piece are -1 less
+    their code point.
+    """
+
+    def __init__(self, codec: "PieceCodec") -> None:
+        chars = sorted({c for p in codec.rank for c in p} - codec.rank.keys())
+        self.strings = ["", *codec.rank, *chars]
+        number = {s: k for k, s in enumerate(self.strings)}
+        self.ids = np.array([-1, *[codec.ids[s] for s in codec.rank], *[-1] * len(chars)], dtype=np.int64)
+        self.of_char = np.zeros(0x110000, dtype=np.int32)
+        for s, k in number.items():
+            if len(s) == 1:
+                self.of_char[ord(s)] = k
+        made = {}
+        for piece, rank in codec.rank.items():
+            for i in range(1, len(piece)):
+                left, right = number.get(piece[:i]), number.get(piece[i:])
+                if left and right:
+                    made[left << 32 | right] = (rank, number[piece])
+        self.keys = np.array(sorted(made), dtype=np.int64)
+        self.rank = np.array([made[k][0] for k in self.keys.tolist()] + [NEVER], dtype=np.float64)
+        self.made = np.array([made[k][1] for k in self.keys.tolist()] + [0], dtype=np.int32)
+
+    def symbol(self, codes: np.ndarray) -> np.ndarray:
+        known = self.of_char[codes]
+        return np.where(known > 0, known, -1 - codes).astype(np.int32)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, symbol) of what pairs make; NEVER where they make no piece."""
+        key = left.astype(np.int64) << 32 | np.maximum(right, 0)
+        at = np.searchsorted(self.keys, key)
+        at[at < len(self.keys)] = np.where(self.keys[at[at < len(self.keys)]] == key[at < len(self.keys)], at[at < len(self.keys)], len(self.keys))
+        return self.rank[at], self.made[at]
 
 
 def codec(model_path: str) -> PieceCodec:
@@ -212,17 +319,14 @@ def compare(c: PieceCodec, texts: list[str], mine: list[bytes], ends: bool = Fal
 def encode_texts(texts: list[str | None], model_path: str, check: str = "stretches") -> tuple[list[np.ndarray], list[str]]:
     """(ids with begin and end, decoded text) of each text, checked against the library."""
     c = codec(model_path)
-    begin, end = (np.array([k], dtype="<u4").tobytes() for k in (c.library.bos_id(), c.library.eos_id()))
-    ids = [np.frombuffer(begin + c.encode(t or "") + end, dtype="<u4") for t in texts]
-    fresh, c.fresh = c.fresh, []
-    if check == "stretches" and c.words_apart:
-        groups = [fresh[a : a + TOGETHER] for a in range(0, len(fresh), TOGETHER)]
-        compare(c, ["".join(g)[1:] for g in groups], [b"".join(c.words.get(w) or c.old_words.get(w) or b"".join(c.cut(w)) for w in g) for g in groups])
-    elif check and check != "texts":
+    if check not in ("", "texts", "stretches") or check == "stretches" and not c.words_apart:
         raise ValueError(f"this vocabulary can't be checked by {check}")
+    begin, end = (np.array([k], dtype="<u4").tobytes() for k in (c.library.bos_id(), c.library.eos_id()))
+    plain = [t or "" for t in texts]
+    ids = [np.frombuffer(begin + x + end, dtype="<u4") for x in c.encode(plain, check == "stretches")]
     if check:
         step = 1 if check == "texts" else ONE_OF
-        compare(c, [t or "" for t in texts[::step]], [x.tobytes() for x in ids[::step]], ends=True)
+        compare(c, plain[::step], [x.tobytes() for x in ids[::step]], ends=True)
     return ids, [c.library.decode(x.tolist()) for x in ids]
 
 
@@ -231,8 +335,7 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", key: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
+            for part in pieces_of(batch, 1):
                 ids, decoded = encode_texts(part.column(1).to_pylist(), model_path, check)
                 columns = [
                     part.column(0),

@@ -569,9 +569,19 @@ def test_ids_are_the_librarys():
 def test_both_agendas_are_the_same():
     c = pieces.codec(piece_model())
     rng = random.Random(11)
-    for _ in range(3000):
-        text = "".join(rng.choices("▁abcdeinrst.é日", k=rng.randint(0, 50)))
-        assert c.merged_short(text) == c.merged_long(text)
+    words = ["".join(rng.choices("▁abcdeinrst.é日", k=rng.randint(1, 50))) for _ in range(3000)]
+    assert c.encode_words(words) == {w: c.ids_of(c.merged(w)) for w in words}
+
+
+def test_remembered_stretches_do_not_change_ids(monkeypatch):
+    monkeypatch.setattr(pieces, "CACHE", 50)
+    monkeypatch.setattr(pieces, "PART", 300)
+    rng = random.Random(13)
+    texts = [" ".join("".join(rng.choices("abei日🎉", k=rng.randint(0, 4))) for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    c = pieces.PieceCodec(piece_model())
+    monkeypatch.setitem(pieces._PROCESSORS, piece_model(), c)
+    ids, _ = pieces.encode_texts(texts, piece_model())
+    assert [x.tolist() for x in ids] == c.library.encode(texts, add_bos=True, add_eos=True) and len(c.words) <= 300
 
 
 def test_long_texts_in_parts_are_the_same(monkeypatch):
@@ -602,7 +612,7 @@ def test_whole_texts_are_compared_where_all_stretches_are_known(monkeypatch):
     pieces.encode_texts([text, None, ""], piece_model())
     pieces.encode_texts([text], piece_model())
     joined = c.stretches
-    monkeypatch.setattr(c, "stretches", lambda t: joined(t)[:-4])
+    monkeypatch.setattr(c, "stretches", lambda texts: [x[:-4] for x in joined(texts)])
     with pytest.raises(pieces.DifferentIds):
         pieces.encode_texts([text], piece_model())
 
