@@ -6,10 +6,13 @@ gives in a few additions, are quantised to two bits each (Gray-coded) and
 packed into one 32-bit integer a frame.
 
 Recordings with equal codes are one class.  A search takes some recordings as
-queries, in blocks of bounded size, against one of each class: codes that
-differ in at most one bit vote for an offset, and every offset that has a vote
-is judged by the share of wrong bits over the overlap.  All votes count; none
-is dropped for being frequent.
+queries against one of each class.  Queries are packed to blocks, and classes to
+chunks, of about ``BLOCK_BYTES`` of codes, or one longer recording; a join on the
+block's number brings each chunk to each block, so nothing passes through the
+driver and classes are read once for any number of queries.  Codes that differ
+in at most one bit vote for an offset, and every offset that has a vote is
+judged by the share of wrong bits over the overlap.  All votes count; none is
+dropped for being frequent.
 
 Defined results: null, empty and too short recordings have no codes, are a
 class each of their own and match nothing; a class's key is its least; ties
@@ -20,6 +23,7 @@ an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -29,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.spread import spread
-from .shared import Workspace
+from .shared import Workspace, total_bytes
 
 RATE = 4000
 FRAME = 1024
@@ -38,9 +42,10 @@ WINDOW = 16
 LOWEST, HIGHEST = 100.0, 1800.0
 MOST_ERRORS = 0.15
 LEAST_OVERLAP = 40
-QUERIES = 1024
-AT_ONCE = 32
-VOTES = 1 << 21
+BLOCK_BYTES = 1 << 18
+BLOCKS_HELD = 4
+AT_ONCE, SAMPLES_BYTES = 32, 1 << 23
+VOTES = 1 << 20
 
 #: (kind, first pitch class, pitch classes, frames): kinds split a rectangle into a part that counts for and one against.
 FILTERS = tuple((k % 6, (5 * k) % (12 - h + 1), h, w) for k, (h, w) in enumerate(zip((3, 4, 2, 6, 6, 4, 2, 6, 4, 4, 3, 6, 2, 8, 6, 12), (8, 8, 16, 8, 12, 12, 4, 16, 8, 16, 15, 6, 16, 8, 8, 12))))
@@ -127,13 +132,23 @@ def tones(note: int) -> np.ndarray:
     return (0.6 * np.sin(2 * np.pi * hz[:, None] * t) + 0.3 * np.sin(4 * np.pi * hz[:, None] * t)).astype(np.float32)
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """AT_ONCE recordings, or so many as have SAMPLES_BYTES together, or one longer one."""
+    a = 0
+    while a < batch.num_rows:
+        n = 1
+        while n < AT_ONCE and a + n < batch.num_rows and batch.column(1).slice(a, n + 1).nbytes <= SAMPLES_BYTES:
+            n += 1
+        yield batch.slice(a, n)
+        a += n
+
+
 def fingerprint(recordings: DataFrame, key: str, audio: str, decode: Callable[..., np.ndarray] = pcm) -> DataFrame:
     """(``key``, codes: little-endian 32-bit integers, digest; null without codes) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, AT_ONCE):
-                part = batch.slice(a, AT_ONCE)
+            for part in slices(batch):
                 waves = [decode(x) for x in part.column(1).to_pylist()]
                 found: list[bytes] = [b""] * len(waves)
                 for length in {len(w) for w in waves}:
@@ -176,58 +191,62 @@ class Index:
         for i, c in enumerate(found):
             low, high = np.searchsorted(self.near, c, side="left"), np.searchsorted(self.near, c, side="right")
             counts = high - low
-            if not counts.any():
-                continue
-            pairs: set[tuple[int, int]] = set()
             upto = np.cumsum(counts)
+            best: dict[int, tuple] = {}
             a = 0
-            while a < len(c):  # so many votes at once
+            while a < len(c) and upto[-1]:  # so many votes at once
                 b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + VOTES, side="right")))
                 n = counts[a:b]
                 at = np.repeat(low[a:b], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 offset = self.place[at].astype(np.int64) - np.repeat(np.arange(a, b), n)
-                pairs.update(map(tuple, np.unique(np.stack([self.owner[at], offset], axis=1), axis=0).tolist()))
+                # An offset that has votes in several stretches of a long recording is judged in each, to the same end.
+                for pair in np.unique(self.owner[at].astype(np.int64) << 32 | (offset & 0xFFFFFFFF)).tolist():
+                    q, offset_of = pair >> 32, (pair & 0xFFFFFFFF) - ((pair & 0x80000000) << 1)
+                    wrong, bits = bit_errors(self.codes[q], c, offset_of)
+                    if bits >= 32 * min(LEAST_OVERLAP, len(c), len(self.codes[q])) and wrong <= MOST_ERRORS * bits:
+                        rank = (wrong / bits, -bits, offset_of, wrong)
+                        if q not in best or rank < best[q]:
+                            best[q] = rank
                 a = b
-            best: dict[int, tuple] = {}
-            for q, offset in pairs:
-                wrong, bits = bit_errors(self.codes[q], c, offset)
-                if bits >= 32 * min(LEAST_OVERLAP, len(c), len(self.codes[q])) and wrong <= MOST_ERRORS * bits:
-                    rank = (wrong / bits, -bits, offset, wrong)
-                    if q not in best or rank < best[q]:
-                        best[q] = rank
             for q, (_, bits, offset, wrong) in sorted(best.items()):
                 yield q, i, offset, wrong, -bits
 
 
-def align(classes: DataFrame, queries: DataFrame, key: str) -> DataFrame | None:
-    """(query, match, shift, wrong_bits, bits): queries and classes have (``key``, codes).  None without queries."""
-    kind = classes.schema[key].dataType.simpleString()
-    out, block = None, []
+def packed(recordings: DataFrame, key: str, bytes_of_all: int) -> tuple[DataFrame, int]:
+    """((number, recordings: array of (``key``, codes)), how many there may be): about BLOCK_BYTES of codes each."""
+    many = max(1, math.ceil(bytes_of_all / BLOCK_BYTES))
+    number = F.pmod(F.xxhash64(key, "codes"), F.lit(many)).cast("int")  # a key that many share fills no chunk
+    return recordings.groupBy(number.alias("number")).agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("key"), "codes"))).alias("recordings")), many
 
-    def searched(block: list[tuple[object, bytes]]) -> DataFrame:
-        sent = classes.sparkSession.sparkContext.broadcast(block)  # QUERIES recordings at most
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(sent.value)
-            for batch in batches:
-                keys = batch.column(0).to_pylist()
-                got = list(index.search([np.frombuffer(c or b"", dtype="<u4") for c in batch.column(1).to_pylist()]))
+def align(work: Workspace, classes: DataFrame, queries: DataFrame, key: str) -> DataFrame:
+    """(query, match, shift, wrong_bits, bits): queries and classes have (``key``, codes), keys once each."""
+    kind = classes.schema[key].dataType.simpleString()
+    blocks, many = packed(queries, key, total_bytes(queries, "codes"))
+    blocks = work.keep(blocks.select(F.col("number").alias("block"), F.col("recordings").alias("asked")), "blocks")
+    chunks, _ = packed(classes, key, total_bytes(classes, "codes"))
+    # A block's row goes to executors as a broadcast only if all blocks are few bytes, which their files tell.
+    pairs = chunks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(many - 1)))).join(blocks, "block").select("block", "asked", "recordings")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, Index] = {}
+        for batch in batches:
+            kind = batch.schema.field("recordings").type.value_type.field("key").type
+            for i in range(batch.num_rows):
+                block = batch.column("block")[i].as_py()
+                if block not in held:
+                    if len(held) >= BLOCKS_HELD:
+                        held.pop(next(iter(held)))
+                    held[block] = Index([(r["key"], r["codes"]) for r in batch.column("asked")[i].as_py()])
+                index, found = held[block], batch.column("recordings")[i].as_py()
+                got = list(index.search([np.frombuffer(r["codes"] or b"", dtype="<u4") for r in found]))
                 columns = list(zip(*got)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([index.keys[q] for q in columns[0]], batch.schema.field(0).type), pa.array([keys[i] for i in columns[1]], batch.schema.field(0).type), *[pa.array(list(columns[k]), pa.int32()) for k in (2, 3, 4)]],
+                    [pa.array([index.keys[q] for q in columns[0]], kind), pa.array([found[k]["key"] for k in columns[1]], kind), *[pa.array(list(columns[k]), pa.int32()) for k in (2, 3, 4)]],
                     ["query", "match", "shift", "wrong_bits", "bits"],
                 )
 
-        return classes.select(key, "codes").mapInArrow(run, f"query {kind}, match {kind}, shift int, wrong_bits int, bits int")
-
-    for row in queries.select(key, "codes").toLocalIterator():
-        block.append((row[0], bytes(row[1])))
-        if len(block) == QUERIES:
-            out = searched(block) if out is None else out.unionByName(searched(block))
-            block = []
-    if block:
-        out = searched(block) if out is None else out.unionByName(searched(block))
-    return out
+    return pairs.sortWithinPartitions("block").mapInArrow(run, f"query {kind}, match {kind}, shift int, wrong_bits int, bits int")
 
 
 def search(spark: SparkSession, recordings: DataFrame, key: str, audio: str, is_query: Column, decode: Callable[..., np.ndarray] = pcm) -> DataFrame:
@@ -244,7 +263,5 @@ def search(spark: SparkSession, recordings: DataFrame, key: str, audio: str, is_
     zero = [F.lit(0).alias(c) for c in ("shift", "wrong_bits", "bits")]
     members = prints.select(key, "digest").join(classes.select("digest", "class_id"), "digest", "left").select(key, F.lit("member").alias("kind"), F.coalesce("class_id", key).alias("class_id"), *zero)
     lists = classes.withColumnRenamed("class_id", key)
-    found = align(lists.select(key, "codes"), lists.where("asked = 1").select(key, "codes").orderBy(key), key)
-    if found is None:
-        return members
+    found = align(work, lists.select(key, "codes"), lists.where("asked = 1").select(key, "codes"), key)
     return members.unionByName(found.select(F.col("query").alias(key), F.lit("match").alias("kind"), F.col("match").alias("class_id"), "shift", "wrong_bits", "bits"))
