@@ -1,8 +1,10 @@
 """Token ids packed into rows of fixed capacity by best-fit decreasing.
 
 Texts become ids with an end id.  Rows of the table are dealt to shards by the
-hash of their key; the number of shards follows the bytes of text, so a shard
-stays within memory at any input size.  In a shard, texts longer than a row
+hash of their key, text and place in the input, so neither a key nor a text that
+many rows share fills one; the number of shards follows the bytes of text, and
+each shard is a partition of its own, so a task holds about ``SHARD_BYTES`` of
+text, or one longer text, at any input size.  In a shard, texts longer than a row
 are cut into full rows and a rest, without loss.  Pieces are placed longest
 first, each into the open row whose free space is the least that fits; a
 segment tree over capacities finds it in O(log capacity).  A shard gives a
@@ -103,16 +105,22 @@ _ENCODERS: dict[str, object] = {}
 
 
 def encode(docs: DataFrame, path: str, end: int, key: str, text: str) -> DataFrame:
-    """(``key``, ids: little-endian 16-bit integers, the end id last)"""
+    """(``key``, ids: little-endian 16-bit integers, the end id last; place: a number that no other row has)"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         encoder = rank_encoder(path)
+        # A task that runs again numbers its rows the same.
+        place = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in pieces_of(batch, 1, 1 << 21):
                 ids = [np.array([*encoder(t), end] if t else [end], dtype="<u2").tobytes() for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], [key, "ids"])
+                places = pa.array(range(place, place + len(ids)), pa.int64())
+                place += len(ids)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), places], [key, "ids", "place"])
 
-    return spread(docs.select(key, text)).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, ids binary")
+    return spread(docs.select(key, text)).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, ids binary, place bigint")
 
 
 def pack(docs: DataFrame, path: str, end: int, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -156,8 +164,8 @@ def pack(docs: DataFrame, path: str, end: int, capacity: int = CAPACITY, key: st
             }
         )
 
-    coded = encode(docs, path, end, key, text).withColumn("shard", F.pmod(F.xxhash64(key), F.lit(shards)).cast("int"))
-    return coded.groupBy("shard").applyInArrow(run, f"shard int, row int, ids binary, cu_seqlens array<int>, position_resets array<int>, keys array<{kind}>, piece_starts array<bigint>")
+    coded = encode(docs, path, end, key, text).withColumn("shard", F.pmod(F.xxhash64(key, "ids", "place"), F.lit(shards)).cast("int"))
+    return coded.drop("place").repartitionById(shards, F.col("shard")).groupBy("shard").applyInArrow(run, f"shard int, row int, ids binary, cu_seqlens array<int>, position_resets array<int>, keys array<{kind}>, piece_starts array<bigint>")
 
 
 def positions(cu_seqlens: list[int], capacity: int = CAPACITY) -> np.ndarray:

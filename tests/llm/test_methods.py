@@ -672,3 +672,27 @@ def test_same_as_sql(spark, name):
     want = con.execute(ORACLES[name])
     columns = [c[0] for c in want.description]
     assert sorted(tuple(r[c] for c in columns) for r in QUERIES[name](spark, SF).collect()) == sorted(want.fetchall())
+
+
+def test_blocks_and_chunks_do_not_change_matches(spark, monkeypatch):
+    vectors = table(spark, "/root/testdata/sf0.01", "embeddings")
+    found = lambda: sorted(tuple(r) for r in chroma.search(spark, vectors, "vec_id", "embedding", F.col("vec_id") % 10 == 0, chroma.melody).collect())
+    whole = found()
+    monkeypatch.setattr(chroma, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(chroma, "VOTES", 7)
+    monkeypatch.setattr(chroma, "SAMPLES_BYTES", 3000)
+    assert found() == whole and sum(r[1] == "match" for r in whole) >= 50
+    plan = chroma.search(spark, vectors, "vec_id", "embedding", F.col("vec_id") % 10 == 0, chroma.melody)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("classes") <= 2 and "Union" in plan  # one scan for members, one for any number of blocks
+
+
+def test_no_key_fills_a_shard(spark, make_docs, monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(packing, "SHARD_BYTES", 2000)
+    docs = make_docs([(None if i % 2 else 5, "the same text in all rows", "en", "s") for i in range(2000)])
+    rows = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), 50256, 128).collect()
+    texts = collections.Counter()
+    for r in rows:
+        texts[r["shard"]] += len(r["keys"])
+    assert sum(texts.values()) == 2000 and len(texts) == 25 and max(texts.values()) < 200
