@@ -63,38 +63,55 @@ def file_layers(files: DataFrame, names: list[str]) -> DataFrame:
     return files.withColumn("layer", layer_of(F.col("path"), names))
 
 
+def placed_files(files: DataFrame, names: list[str]) -> DataFrame:
+    """(path, layer) of files that have one.  The array keeps the optimizer from repeating the long expression wherever layer is used."""
+    return files.select("path", F.explode(F.filter(F.array(layer_of(F.col("path"), names)), lambda x: x.isNotNull())).alias("layer"))
+
+
 def grams_of(text: Column, size: int) -> Column:
     """All substrings of that many characters."""
     every = F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, F.lit(size)))
-    return F.when(F.length(text) >= size, every).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(text) >= size, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
 
 
 def imported_files(edges: DataFrame, files: DataFrame) -> DataFrame:
-    """edges (path, seq, module) with target: the first file of that name, else the first whose path has the dotted path, else null."""
+    """edges (path, seq, module) with target: the first file of that name, else the first whose path has the dotted path, else null.
+
+    A dotted path of up to GRAM characters is looked up in a table of the first
+    file of each substring of that size; a longer one meets only the paths that
+    have its rarest substring of GRAM characters.
+    """
     name = F.element_at(F.split("module", r"\."), -1)
     by_stem = files.select(stem(file_name(F.col("path"))).alias("_name"), "path").groupBy("_name").agg(F.min("path").alias("_first"))
     joined = edges.withColumn("_name", name).join(by_stem, "_name", "left")
     missing = joined.where("_first IS NULL").select("module").distinct().withColumn("_path", F.replace("module", F.lit("."), F.lit("/")))
-    # What is contained is found by its first characters, so this is a join on equal keys.
-    grams = [grams_of(F.col("_text"), n) for n in range(1, GRAM + 1)]
     texts = files.select("path", F.replace(F.lower(F.regexp_replace("path", r"\\", "/")), F.lit(".py"), F.lit("")).alias("_text"))
-    texts = texts.select("path", "_text", F.explode(F.array_distinct(F.flatten(F.array(*grams)))).alias("_gram"))
-    keyed = missing.withColumn("_gram", F.substring("_path", 1, GRAM))
-    by_path = keyed.join(texts, "_gram").where(F.contains("_text", F.col("_path"))).groupBy("module").agg(F.min("path").alias("_second"))
-    return joined.join(by_path, "module", "left").select("path", "seq", "module", F.coalesce("_first", "_second").alias("target"))
+    short, long = missing.where(F.length("_path") <= GRAM), missing.where(F.length("_path") > GRAM)
+    sizes = [grams_of(F.col("_text"), n) for n in range(1, GRAM + 1)]
+    # Only substrings that some module asks for are kept, and counted before rows meet by them.
+    asked = short.select(F.col("_path").alias("_gram")).distinct()
+    first = texts.select("path", F.explode(F.flatten(F.array(*sizes))).alias("_gram")).join(asked, "_gram", "left_semi").groupBy("_gram").agg(F.min("path").alias("_second"))
+    by_short = short.join(first, F.col("_path") == F.col("_gram")).select("module", "_second")
+    wanted = long.select("module", "_path", F.explode(grams_of(F.col("_path"), GRAM)).alias("_gram"))
+    held = texts.select("path", "_text", F.explode(grams_of(F.col("_text"), GRAM)).alias("_gram"))
+    # A substring that no path has counts 0, so its module finds nothing.
+    often = held.select("_gram").join(wanted.select("_gram").distinct(), "_gram", "left_semi").groupBy("_gram").agg(F.count("*").alias("_n"))
+    rarest = wanted.join(often, "_gram", "left").groupBy("module", "_path").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("g"))).alias("_r"))
+    rarest = rarest.where("_r.n > 0").select("module", "_path", F.col("_r.g").alias("_gram"))
+    by_long = rarest.join(held, "_gram").where(F.contains("_text", F.col("_path"))).groupBy("module").agg(F.min("path").alias("_second"))
+    return joined.join(by_short.unionByName(by_long), "module", "left").select("path", "seq", "module", F.coalesce("_first", "_second").alias("target"))
 
 
 def violations(edges: DataFrame, files: DataFrame, layers: list[tuple[str, list[str]]]) -> DataFrame:
     """(path, seq, module, layer, target, target_layer) of imports that their layer forbids; an import that occurs twice counts twice."""
-    placed = file_layers(files.select("path"), [n for n, _ in layers])
-    own = placed.where("layer IS NOT NULL").select("path", "layer")
+    placed = placed_files(files.select("path"), [n for n, _ in layers])
     theirs = placed.select(F.col("path").alias("target"), F.col("layer").alias("target_layer"))
-    crossing = imported_files(edges, files).join(own, "path").join(theirs, "target").where("target_layer IS NOT NULL AND target_layer != layer")
-    barred = F.lit(False)
-    for name, forbidden in layers:
-        if forbidden:
-            barred = barred | ((F.col("layer") == name) & F.col("target_layer").isin(*forbidden))
-    return crossing.where(barred).select("path", "seq", "module", "layer", "target", "target_layer")
+    crossing = imported_files(edges, files).join(placed, "path").join(theirs, "target").where("target_layer != layer")
+    barred = {name: forbidden for name, forbidden in layers if forbidden}
+    if not barred:
+        return crossing.limit(0).select("path", "seq", "module", "layer", "target", "target_layer")
+    of_layer = F.create_map(*[x for name, forbidden in barred.items() for x in (F.lit(name), F.array(*map(F.lit, forbidden)))])
+    return crossing.where(F.array_contains(F.try_element_at(of_layer, F.col("layer")), F.col("target_layer"))).select("path", "seq", "module", "layer", "target", "target_layer")
 
 
 def import_lines(found: DataFrame, lines: DataFrame) -> DataFrame:

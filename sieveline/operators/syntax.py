@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.kept import Workspace
 from .rules import CALLS, SECRET_LENGTH, SECRET_NAMES
 
 NODES = "path string, kind string, seq int, line_no int, name string, size int"
@@ -63,7 +64,11 @@ def nodes_of(source: str) -> list[tuple[str, int, int, str, int]]:
 
 
 def syntax_nodes(files: DataFrame) -> DataFrame:
-    """NODES of every Python file of files (path, suffix, content)."""
+    """NODES of every Python file of files (path, suffix, content).
+
+    The gate, the audit and the layers take them as an argument, so one parse,
+    written by ``parsed``, serves all three.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,6 +80,11 @@ def syntax_nodes(files: DataFrame) -> DataFrame:
     return files.where(F.col("suffix") == ".py").select("path", "content").mapInArrow(run, NODES)
 
 
+def parsed(files: DataFrame) -> DataFrame:
+    """The syntax nodes of files, written once."""
+    return Workspace(files.sparkSession, "syntax").keep(syntax_nodes(files), "nodes")
+
+
 def dangerous_calls(nodes: DataFrame) -> DataFrame:
     """(path, line_no, seq, name, rule_id): a lookup of a fixed list of names."""
     rule = F.create_map(*[x for rule_id, (_, names) in CALLS.items() for n in names for x in (F.lit(n), F.lit(rule_id))])

@@ -8,15 +8,19 @@ from pyspark.sql import functions as F
 from ..operators.findings import numbered
 from ..operators.layers import file_layers, import_lines, layer_list, layers_of, violations
 from ..operators.syntax import imports, syntax_nodes
-from ..sources.files import lines, scan
+from ..sources.files import lines, scan, scanned_paths
 from .gate import ISSUE
 
 
-def arch_issues(files: DataFrame, designs: DataFrame) -> DataFrame:
-    """Issues of files under a design (json); none if it has no layers.  Repeated imports are repeated issues."""
+def arch_issues(files: DataFrame, designs: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """Issues of files under a design (json); none if it has no layers.  Repeated imports are repeated issues.
+
+    ``nodes``: syntax nodes of at least these files, if they are parsed already.
+    """
     own = scan(files, "arch")
     layers = layer_list(layers_of(designs))
-    found = import_lines(violations(imports(syntax_nodes(own)), own, layers), lines(own))
+    edges = imports(syntax_nodes(own) if nodes is None else scanned_paths(nodes, "arch"))
+    found = import_lines(violations(edges, own, layers), lines(own))
     return issues_of(found).select(*ISSUE)
 
 

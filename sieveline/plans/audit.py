@@ -9,13 +9,14 @@ from ..functions.text import sanitise, snippet
 from ..operators.findings import count_of, keep_first, numbered
 from ..operators.match import unprotected_routes
 from ..operators.syntax import secret_assignments, syntax_nodes
-from ..sources.files import lines, scan
+from ..sources.files import lines, scan, scanned_paths
 from .gate import described, pattern_rows
 
 LEVELS = ("critical", "high", "medium", "low", "info")
 #: What a finding of each level adds to the risk score, and the most it can reach.
 WEIGHTS = {"critical": 10.0, "high": 5.0, "medium": 2.0, "low": 1.0, "info": 0.2}
 MOST_RISK = 100.0
+TOOL = "sieveline audit 1.0"
 #: Our own words for the plan: level -> (priority, what to do, by when).
 PLAN = {"critical": (1, "fix %d critical findings at once", "24 hours"), "high": (2, "fix %d high findings soon", "this week"), "medium": (3, "plan fixes for %d medium findings", "next iteration")}
 FINDING = ("id", "rule_id", "path", "line_no", "title", "severity", "owasp", "cwe", "snippet", "recommendation", "confidence")
@@ -34,9 +35,11 @@ def access_control(source_lines: DataFrame) -> DataFrame:
     return described(rows.select("path", "line_no", "rule_id", "snippet", "seq")).withColumn("target", F.lit(""))
 
 
-def secrets_in_code(files: DataFrame) -> DataFrame:
-    rows = secret_assignments(syntax_nodes(files)).withColumnRenamed("name", "target")
-    return described(rows)
+def secrets_in_code(nodes: DataFrame) -> DataFrame:
+    """Secret assignments among syntax nodes; title and advice have the name."""
+    rows = described(secret_assignments(nodes).withColumnRenamed("name", "target"))
+    named = lambda c: F.replace(c, F.lit("%s"), F.col("target"))
+    return rows.withColumn("title", named("title")).withColumn("suggestion", named("suggestion"))
 
 
 def first_findings(rows: DataFrame) -> DataFrame:
@@ -45,20 +48,30 @@ def first_findings(rows: DataFrame) -> DataFrame:
 
 
 def finished(rows: DataFrame) -> DataFrame:
-    """Deduplicated, numbered findings."""
-    return numbered(first_findings(rows), "AUDIT-%04d").withColumn("confidence", confidence()).withColumnRenamed("suggestion", "recommendation").select(*FINDING)
+    """Numbered findings."""
+    return numbered(rows, "AUDIT-%04d").withColumn("confidence", confidence()).withColumnRenamed("suggestion", "recommendation").select(*FINDING)
+
+
+def line_rows(source_lines: DataFrame) -> DataFrame:
+    """Findings that lines alone show, each once, without numbers: all that counts and scores need."""
+    return first_findings(audit_patterns(source_lines).unionByName(access_control(source_lines)))
 
 
 def line_findings(source_lines: DataFrame) -> DataFrame:
-    """Findings that lines alone show."""
-    return finished(audit_patterns(source_lines).unionByName(access_control(source_lines)))
+    return finished(line_rows(source_lines))
 
 
-def findings(files: DataFrame) -> DataFrame:
-    """All findings of files."""
+def rows(files: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """All findings of files, each once, without numbers.  ``nodes``: syntax nodes of at least these files, if they are parsed already."""
     own = scan(files, "audit")
     source_lines = lines(own)
-    return finished(audit_patterns(source_lines).unionByName(access_control(source_lines)).unionByName(secrets_in_code(own)))
+    named = secrets_in_code(syntax_nodes(own) if nodes is None else scanned_paths(nodes, "audit"))
+    return first_findings(audit_patterns(source_lines).unionByName(access_control(source_lines)).unionByName(named))
+
+
+def findings(files: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """All findings of files."""
+    return finished(rows(files, nodes))
 
 
 def histogram(found: DataFrame) -> DataFrame:
@@ -111,9 +124,14 @@ def severity_share(found: DataFrame) -> DataFrame:
     return counts.crossJoin(total).select("severity", "n", share.alias("share"))  # LEVELS rows and one row
 
 
-def report(found: DataFrame, files_scanned: DataFrame) -> DataFrame:
-    """One row: files_scanned, the histogram, the risk score and the categories."""
-    return files_scanned.crossJoin(histogram(found)).crossJoin(risk_score(found)).crossJoin(owasp_covered(found))  # one row each
+def report(found: DataFrame, files_scanned: DataFrame, folder: str = "") -> DataFrame:
+    """One row: when, of which folder and by what tool, files_scanned, the histogram, the risk score and the categories.
+
+    The findings, and the plan by level, stay tables of their own.
+    """
+    counts = files_scanned.crossJoin(histogram(found)).crossJoin(risk_score(found)).crossJoin(owasp_covered(found))  # one row each
+    when = F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+    return counts.select(when.alias("timestamp"), F.lit(folder).alias("code_directory"), F.lit(TOOL).alias("tool"), "*")
 
 
 def annotations(found: DataFrame) -> DataFrame:

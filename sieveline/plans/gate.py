@@ -10,7 +10,7 @@ from ..operators.findings import count_of, keep_first, numbered
 from ..operators.match import match
 from ..operators.rules import catalogue, rules
 from ..operators.syntax import dangerous_calls, syntax_nodes
-from ..sources.files import lines, scan
+from ..sources.files import lines, scan, scanned_paths
 
 SEVERITIES = ("P0", "P1", "P2")
 CHECKS = ("static_analysis", "security_scan", "arch_compliance")
@@ -29,19 +29,23 @@ def pattern_rows(source_lines: DataFrame, *prefixes: str) -> DataFrame:
     return described(found.select("path", "line_no", "rule_id", "snippet", "seq"))
 
 
+def static_rows(source_lines: DataFrame) -> DataFrame:
+    """Issues of lines of the static scan, without numbers: all that counts need."""
+    return pattern_rows(source_lines, "SA-").withColumn("category", F.lit("static_analysis"))
+
+
 def static_issues(source_lines: DataFrame) -> DataFrame:
     """Issues of lines of the static scan; Python files come before script files."""
-    rows = pattern_rows(source_lines, "SA-").withColumn("category", F.lit("static_analysis"))
-    return numbered(rows, "SA-%03d", "phase").select(*ISSUE)
+    return numbered(static_rows(source_lines), "SA-%03d", "phase").select(*ISSUE)
 
 
 def security_patterns(source_lines: DataFrame) -> DataFrame:
     return pattern_rows(source_lines, "SEC-RX")
 
 
-def security_calls(files: DataFrame) -> DataFrame:
-    """Dangerous calls of Python files, with the line as snippet."""
-    calls = dangerous_calls(syntax_nodes(files)).select("path", "line_no", "seq", "rule_id", F.lit(None).cast("string").alias("snippet"))
+def security_calls(nodes: DataFrame) -> DataFrame:
+    """Dangerous calls among syntax nodes; the snippet names the line."""
+    calls = dangerous_calls(nodes).select("path", "line_no", "seq", "rule_id", F.format_string("line %d", "line_no").alias("snippet"))
     return described(calls)
 
 
@@ -50,11 +54,16 @@ def first_issues(rows: DataFrame) -> DataFrame:
     return keep_first(rows, "path", "line_no", "rule_id")
 
 
-def security_issues(files: DataFrame) -> DataFrame:
-    """Issues of files of the security scan: calls, then patterns, of each file."""
+def security_rows(files: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """Issues of files of the security scan, without numbers.  ``nodes``: syntax nodes of at least these files, if they are parsed already."""
     own = scan(files, "security")
-    rows = security_calls(own).unionByName(security_patterns(lines(own))).withColumn("category", F.lit("security"))
-    return numbered(first_issues(rows), "SEC-%03d").select(*ISSUE)
+    calls = security_calls(syntax_nodes(own) if nodes is None else scanned_paths(nodes, "security"))
+    return first_issues(calls.unionByName(security_patterns(lines(own)))).withColumn("category", F.lit("security"))
+
+
+def security_issues(files: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """Issues of files of the security scan: calls, then patterns, of each file."""
+    return numbered(security_rows(files, nodes), "SEC-%03d").select(*ISSUE)
 
 
 def missing_directory(spark: SparkSession, check: str, root: str) -> DataFrame:

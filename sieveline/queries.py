@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from .functions.text import hash12, shorten
 from .operators import documents, freeze, layers
 from .operators.match import match
-from .operators.rules import EXCLUDED, PROTECTED, ROUTES, SUFFIXES, facts, rules
-from .operators.syntax import imports, secret_assignments, syntax_nodes
+from .operators.rules import EXCLUDED, PROTECTED, ROUTES, SUFFIXES, catalogue, facts, rules
+from .operators.syntax import imports, parsed, syntax_nodes
 from .plans import arch, audit, gate
-from .plans.planted import ARCH_SQL, LAYERS, PLANTED_SQL, arch_edges, arch_files, design_json, listed, planted_files, planted_lines, quoted, statement_files, table
-from .sources.files import files_from_table, lines, scan
+from .plans.planted import ARCH_SQL, LAYERS, PLANTED_SQL, arch_edges, arch_files, design_json, listed, pick, planted_files, planted_lines, quoted, statement_files, table
+from .sources.files import files_from_dir, files_from_table, lines, scan
+from .sources.kept import Workspace
+from .sources.linters import ESLINT_LEVELS, PYLINT_LEVELS, level
 from .sources.spread import spread
-from .sources.trace import last_per_step
+from .sources.trace import last_per_step, make_records, read_trace
+from .sources.workspace import append_json_lines, as_json_lines, read_context_files, read_document, write_document, write_generated
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -172,20 +175,28 @@ def security_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.first_issues(gate.security_patterns(own.unionAll(own))).select("path", "line_no", "rule_id")
 
 
-# Syntax trees: not in SQL's reach; fixtures test them.
+# Syntax trees.  What each planted statement must give is stated here by hand, so SQL need not parse.
 
+STATED = """stated(k, place, rule_id, severity, snippet) AS (VALUES
+ (1, 0, 'SEC-AST-1', 'P0', 'line 1'), (2, 0, 'SEC-AST-1', 'P0', 'line 1'), (3, 0, 'SEC-AST-2', 'P0', 'line 1'), (5, 0, 'SEC-AST-1', 'P0', 'line 1'), (15, 0, 'SEC-AST-3', 'P1', 'line 1'),
+ (16, 0, 'SEC-AST-4', 'P0', 'line 1'), (17, 0, 'SEC-RX-4', 'P0', 'API_KEY = token = "0123456789"'), (19, 0, 'SEC-AST-1', 'P0', 'line 1'),
+ (3, 0, 'AUD-DES-1', 'critical', 'a.b().pickle.loads(z)'), (7, 0, 'AUD-SEN-1', 'critical', 'db_password = "abcde"'), (7, 1, 'AUD-AST-1', 'critical', 'db_password = \'\'***\'\''),
+ (8, 0, 'AUD-SEN-1', 'critical', 'db_password = "abcd"'), (16, 0, 'AUD-DES-4', 'critical', 'yaml.load(s, Loader=L)'), (17, 0, 'AUD-SEN-3', 'critical', 'API_KEY = token = "0123456789"'),
+ (17, 1, 'AUD-AST-1', 'critical', 'API_KEY = \'\'***\'\''), (17, 2, 'AUD-AST-1', 'critical', 'token = \'\'***\'\'')),
+given AS (SELECT 'ast/' || event_id::VARCHAR || '.py' AS path, 1 AS line_no, stated.* FROM events JOIN stated ON event_id % 20 = k)"""
 
-@query()
+
+@query(f"WITH {STATED} SELECT printf('SEC-%03d', row_number() OVER (ORDER BY path, place)) AS id, path, line_no, rule_id, severity, snippet FROM given WHERE rule_id LIKE 'SEC%'")
 def security_ast_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gate.security_issues(statement_files(spark, sf_dir)).select("id", "path", "line_no", "rule_id", "severity")
+    return gate.security_issues(statement_files(spark, sf_dir)).select("id", "path", "line_no", "rule_id", "severity", "snippet")
 
 
-@query()
+@query(f"WITH {STATED} SELECT path, line_no, string_split(snippet, ' ')[1] AS name, snippet, 'hard-coded secret: ' || string_split(snippet, ' ')[1] AS title FROM given WHERE rule_id = 'AUD-AST-1'")
 def ast_secret_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_assignments(syntax_nodes(statement_files(spark, sf_dir))).select("path", "line_no", "name", "snippet")
+    return audit.secrets_in_code(syntax_nodes(statement_files(spark, sf_dir))).select("path", "line_no", F.col("target").alias("name"), "snippet", "title")
 
 
-@query()
+@query("WITH stated(k, seq, module) AS (VALUES (6, 0, 'pickle'), (12, 0, 'a'), (13, 0, 'a.b'), (13, 1, 'c')) SELECT 'ast/' || event_id::VARCHAR || '.py' AS path, seq, module FROM events JOIN stated ON event_id % 20 = k")
 def ast_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imports(syntax_nodes(statement_files(spark, sf_dir)))
 
@@ -218,6 +229,11 @@ def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.line_findings(_own(spark, sf_dir, "audit"))
 
 
+def _finding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without numbers, for counts."""
+    return audit.line_rows(_own(spark, sf_dir, "audit"))
+
+
 @query(f"{AUDIT_SQL} SELECT id, path, line_no, rule_id, severity, owasp, cwe, CASE WHEN severity IN ('critical', 'high') THEN 'high' ELSE 'medium' END AS confidence FROM found")
 def audit_findings_dedup_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _findings(spark, sf_dir).select("id", "path", "line_no", "rule_id", "severity", "owasp", "cwe", "confidence")
@@ -225,17 +241,17 @@ def audit_findings_dedup_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{AUDIT_SQL} SELECT " + ", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in audit.LEVELS) + ", count(*) AS total_findings FROM found")
 def audit_severity_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.histogram(_findings(spark, sf_dir))
+    return audit.histogram(_finding_rows(spark, sf_dir))
 
 
 @query(f"{AUDIT_SQL} SELECT round_even(least(coalesce(sum(CASE severity " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in audit.WEIGHTS.items()) + " END), 0), 100.0::DOUBLE), 1) AS risk_score FROM found")
 def audit_risk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.risk_score(_findings(spark, sf_dir))
+    return audit.risk_score(_finding_rows(spark, sf_dir))
 
 
 @query(f"{AUDIT_SQL} SELECT list_sort(list(DISTINCT owasp) FILTER (owasp != '')) AS owasp_covered FROM found")
 def audit_owasp_covered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.owasp_covered(_findings(spark, sf_dir))
+    return audit.owasp_covered(_finding_rows(spark, sf_dir))
 
 
 _PLAN_SQL = "plan(priority, severity, words, deadline) AS (VALUES " + ", ".join(f"({p}, {quoted(s)}, {quoted(w)}, {quoted(d)})" for s, (p, w, d) in audit.PLAN.items()) + ")"
@@ -248,7 +264,7 @@ def audit_remediation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{AUDIT_SQL} SELECT severity, count(*) AS n, round_even(count(*) * 100.0 / (SELECT count(*) FROM found), 0)::INT::VARCHAR || '%' AS share FROM found GROUP BY severity")
 def severity_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.severity_share(_findings(spark, sf_dir))
+    return audit.severity_share(_finding_rows(spark, sf_dir))
 
 
 @query(f"{AUDIT_SQL} SELECT owasp, count(*) AS n, min(id) AS first_id FROM found GROUP BY owasp")
@@ -269,10 +285,10 @@ def ci_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{AUDIT_SQL} SELECT count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) AS total, (count(*) FILTER (severity = 'critical') > 0)::INT AS exit_code FROM found")
 def ci_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.ci_summary(_findings(spark, sf_dir))
+    return audit.ci_summary(_finding_rows(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {STATED} SELECT printf('AUDIT-%04d', row_number() OVER (ORDER BY path, place)) AS id, path, line_no, rule_id, severity, snippet FROM given WHERE rule_id LIKE 'AUD%'")
 def audit_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of files, syntax trees included."""
     return audit.findings(statement_files(spark, sf_dir)).select("id", "path", "line_no", "rule_id", "severity", "snippet")
@@ -283,26 +299,36 @@ def audit_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = planted_lines(spark, sf_dir)
-    security = gate.numbered(gate.first_issues(gate.security_patterns(scan(planted, "security"))).withColumn("category", F.lit("security")), "SEC-%03d").select(*gate.ISSUE)
+    security = gate.numbered(_security_rows(planted), "SEC-%03d").select(*gate.ISSUE)
     return gate.all_issues({"static_analysis": gate.static_issues(scan(planted, "static")), "security_scan": security})
 
 
+def _security_rows(planted: DataFrame) -> DataFrame:
+    return gate.first_issues(gate.security_patterns(scan(planted, "security"))).withColumn("category", F.lit("security"))
+
+
+def _issue_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without numbers, for counts."""
+    planted = planted_lines(spark, sf_dir)
+    return gate.all_issues({"static_analysis": gate.static_rows(scan(planted, "static")), "security_scan": _security_rows(planted)})
+
+
 _COUNTS = "count(*) AS total_issues, count(*) FILTER (severity = 'P0') AS p0_blockers, count(*) FILTER (severity = 'P1') AS p1_warnings, count(*) FILTER (severity = 'P2') AS p2_suggestions"
 
 
 @query(f"{GATE_SQL} SELECT {_COUNTS}, count(*) FILTER (severity = 'P0') > 0 AS blocked, count(*) FILTER (severity = 'P0') = 0 AS passed, false AS force_bypass FROM issues")
 def gate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gate.summary(_issues(spark, sf_dir))
+    return gate.summary(_issue_rows(spark, sf_dir))
 
 
 @query(f"{GATE_SQL} SELECT {_COUNTS}, false AS blocked, true AS passed, count(*) FILTER (severity = 'P0') > 0 AS force_bypass FROM issues")
 def gate_forced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gate.summary(_issues(spark, sf_dir), force=True)
+    return gate.summary(_issue_rows(spark, sf_dir), force=True)
 
 
 @query(f'{GATE_SQL} SELECT "check", count(*) AS total, ' + ", ".join(f"count(*) FILTER (severity = '{s}') AS {s.lower()}" for s in gate.SEVERITIES) + ' FROM issues GROUP BY ROLLUP ("check")')
 def gate_crosstab_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gate.crosstab(_issues(spark, sf_dir))
+    return gate.crosstab(_issue_rows(spark, sf_dir))
 
 
 @query(
@@ -315,16 +341,41 @@ def gate_top10_p0(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{GATE_SQL} SELECT \"check\", count(*) FILTER (severity = 'P0') = 0 AS passed FROM issues GROUP BY \"check\"")
 def gate_checks_passed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _issues(spark, sf_dir).groupBy("check").agg((F.count_if(F.col("severity") == "P0") == 0).alias("passed"))
+    return _issue_rows(spark, sf_dir).groupBy("check").agg((F.count_if(F.col("severity") == "P0") == 0).alias("passed"))
 
 
-@query()
+@query(f"""WITH {STATED}, own AS (SELECT * FROM given WHERE rule_id LIKE 'SEC%')
+SELECT 'ast' AS code_path, true AS static_analysis, count(*) FILTER (severity = 'P0') = 0 AS security_scan, true AS arch_compliance, count(*) AS total_issues, count(*) FILTER (severity = 'P0') AS p0_blockers,
+count(*) FILTER (severity = 'P1') AS p1_warnings, 0::BIGINT AS p2_suggestions, count(*) FILTER (severity = 'P0') > 0 AS blocked, count(*) FILTER (severity = 'P0') = 0 AS passed, false AS force_bypass FROM own""")
 def gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole gate over files of one statement, with the planted design."""
+    """The whole gate over files of one statement, with the planted design, from one parse."""
     files = statement_files(spark, sf_dir)
+    nodes = parsed(files)
     designs = spark.createDataFrame([(design_json(),)], "json string")
-    checks = {"static_analysis": gate.static_issues(lines(scan(files, "static"))), "security_scan": gate.security_issues(files), "arch_compliance": arch.arch_issues(files, designs)}
-    return gate.report(checks, "ast")
+    checks = {"static_analysis": gate.static_rows(lines(scan(files, "static"))), "security_scan": gate.security_rows(files, nodes), "arch_compliance": arch.arch_issues(files, designs, nodes)}
+    report = gate.report(checks, "ast")
+    return report.select("code_path", *[F.col("checks")[c].alias(c) for c in checks], *[c for c in report.columns if c not in ("code_path", "checks")])
+
+
+@query(
+    """SELECT * FROM (VALUES ('SA-PY-1', 'P1', '', ''), ('SA-JS-3', 'P2', '', ''), ('SEC-RX-1', 'P0', 'A03:2021 – Injection', ''), ('SEC-RX-4', 'P0', 'A07:2021 – 身份识别和身份验证失败', ''), ('SEC-RX-5', 'P0', 'A07:2021', ''),
+    ('SEC-RX-6', 'P0', 'A03:2021 – Injection (XSS)', ''), ('SEC-RX-7', 'P1', 'A03:2021', ''), ('SEC-RX-9', 'P0', 'A01:2021', ''), ('SEC-RX-10', 'P1', 'A09:2021 – 安全日志记录和监控故障', ''), ('SEC-RX-11', 'P2', 'A02:2021 – 加密机制失效', ''),
+    ('SEC-AST-1', 'P0', 'A03:2021 – Injection', ''), ('SEC-AST-2', 'P0', 'A08:2021 – 软件和数据完整性故障', ''), ('SEC-AST-3', 'P1', 'A03:2021 – Injection', ''), ('SEC-AST-4', 'P0', 'A08:2021', ''),
+    ('AUD-INJ-1', 'critical', 'A03:2021 – Injection', 'CWE-89'), ('AUD-INJ-7', 'critical', 'A03:2021 – Injection', 'CWE-78'), ('AUD-ACC-1', 'high', 'A01:2021 – 访问控制失效', 'CWE-862'), ('AUD-SEN-1', 'critical', 'A04:2021 – 不安全的设计', 'CWE-798'),
+    ('AUD-SEN-5', 'high', 'A02:2021 – 加密机制失效', 'CWE-319'), ('AUD-XSS-2', 'high', 'A03:2021 – Injection (XSS)', 'CWE-79'), ('AUD-DES-5', 'high', 'A08:2021 – 软件和数据完整性故障', 'CWE-502'), ('AUD-LOG-1', 'medium', 'A09:2021 – 安全日志记录和监控故障', 'CWE-532'),
+    ('AUD-AST-1', 'critical', 'A07:2021 – 身份识别和身份验证失败', 'CWE-798'), ('AUD-PTH-1', 'high', 'A01:2021 – 访问控制失效', 'CWE-22'), ('AUD-CRY-1', 'medium', 'A02:2021 – 加密机制失效', 'CWE-328'), ('AUD-CRY-4', 'medium', 'A02:2021 – 加密机制失效', 'CWE-338')
+    ) AS t(rule_id, severity, owasp, cwe)"""
+)
+def rule_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue's facts, one rule of each kind, against values that are stated by hand."""
+    kinds = "SA-PY-1 SA-JS-3 SEC-RX-1 SEC-RX-4 SEC-RX-5 SEC-RX-6 SEC-RX-7 SEC-RX-9 SEC-RX-10 SEC-RX-11 SEC-AST-1 SEC-AST-2 SEC-AST-3 SEC-AST-4 AUD-INJ-1 AUD-INJ-7 AUD-ACC-1 AUD-SEN-1 AUD-SEN-5 AUD-XSS-2 AUD-DES-5 AUD-LOG-1 AUD-AST-1 AUD-PTH-1 AUD-CRY-1 AUD-CRY-4"
+    return catalogue(spark).where(F.col("rule_id").isin(*kinds.split())).select("rule_id", "severity", "owasp", "cwe")
+
+
+@query()
+def rule_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title and advice of every rule, in our own words."""
+    return catalogue(spark).select("rule_id", "severity", "owasp", "cwe", "title", "advice")
 
 
 # Layers.
@@ -531,9 +582,10 @@ def context_standards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return designs.select(*[standards[k].alias(k) for k in documents.STANDARDS])
 
 
-@query()
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 2 THEN '[' || p_partkey::VARCHAR || ']' WHEN 3 THEN NULL ELSE '{"k": ' || p_partkey::VARCHAR || '}' END AS json,
+CASE p_partkey % 4 WHEN 3 THEN 'nothing ' || p_partkey::VARCHAR END AS error FROM part""")
 def extract_json_fence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON in answers of several forms; the parsers differ in detail, so fixtures test it."""
+    """JSON in answers of several forms."""
     key = F.col("p_partkey").cast("string")
     forms = F.array(
         F.concat(F.lit('{"k": '), key, F.lit("}")),
@@ -545,6 +597,129 @@ def extract_json_fence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.extract_json(answers).select("p_partkey", "json", "error")
 
 
-@query()
+_CANONICAL = """'{"architecture": {"layers": [{"allowed_dependencies": ["svc"], "forbidden_dependencies": ["db", "db"], "name": "api"}, {"forbidden_dependencies": ["api"], "name": "' || p_brand || '"}]}, "coding_standards": {"max_line_length": ' || p_size::VARCHAR || ', "require_docstrings": false}, "tech_stack": {"framework": "' || CASE WHEN p_size % 2 = 0 THEN p_type ELSE '' END || '", "language": "' || p_brand || '", "other": ["a", "b' || p_size::VARCHAR || '"]}}'"""
+
+
+@query(f"SELECT p_partkey, substring(sha256({_CANONICAL}), 1, 12) AS hash FROM part")
 def canonical_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.canonical_hash(table(spark, sf_dir, "part").select("p_partkey", F.expr(_DESIGN).alias("json"))).select("p_partkey", "hash")
+
+
+# Readers and writers: rows go out by a sink, come back by a source, and must be those of the table.
+
+
+def _folder(spark: SparkSession) -> str:
+    return Workspace(spark, "round-trip").root.removeprefix("file:")
+
+
+_NATION_FILES = """files AS (
+  SELECT CASE WHEN n_nationkey % 7 = 0 THEN 'build/' WHEN n_nationkey % 5 = 0 THEN '_own/' ELSE 'src/' END || 'n' || n_nationkey::VARCHAR || CASE WHEN n_nationkey % 4 = 3 THEN '.txt' ELSE '.py' END AS path, n_nationkey, n_name FROM nation)"""
+
+
+@query(f"""WITH {_NATION_FILES} SELECT path, n_nationkey % 3 = 0 AS broken, CASE WHEN n_nationkey % 3 = 0 THEN 0 ELSE 2 END AS n_lines
+FROM files WHERE path NOT LIKE 'build/%' AND path LIKE '%.py'""")
+def files_from_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated files, some of them broken text, some in excluded or hidden folders, scanned for the static check."""
+    key = F.col("n_nationkey")
+    folder = F.when(key % 7 == 0, "build/").when(key % 5 == 0, "_own/").otherwise("src/")
+    path = F.concat(folder, F.lit("n"), key.cast("string"), F.when(key % 4 == 3, ".txt").otherwise(".py"))
+    content = F.when(key % 3 == 0, F.unhex(F.lit("FFFE"))).otherwise(F.concat("n_name", F.lit("\nx")).cast("binary"))
+    root = _folder(spark)
+    write_generated(table(spark, sf_dir, "nation").select(path.alias("path"), content.alias("content")), root).where("NOT written").count()
+    found = scan(files_from_dir(spark, root, "static"), "static")
+    many = lines(found).groupBy("path").agg(F.count("*").alias("n_lines"))
+    rows = found.join(many, "path", "left").select(F.substring("path", len(root) + 2, 1000).alias("path"), F.col("content").isNull().alias("broken"), F.coalesce("n_lines", F.lit(0)).cast("int").alias("n_lines"))
+    return rows
+
+
+@query("""SELECT event_id, event_type AS step, user_id::INT AS max_tokens, substring(sha256(event_type), 1, 8) AS prompt_template_version, substring(props, 1, 500) AS input_summary,
+CASE WHEN event_id % 2 = 0 THEN 'n/a' ELSE substring(sha256(props), 1, 12) END AS output_hash FROM events""")
+def log_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records appended to a log with a key of their own, and read back."""
+    events = table(spark, sf_dir, "events")
+    steps = events.select(
+        F.col("ts").alias("timestamp"), F.col("event_type").alias("step"), F.lit("m").alias("model"), F.col("value").alias("temperature"), F.col("user_id").alias("max_tokens"),
+        F.col("event_type").alias("template"), F.col("props").alias("summary"), F.when(F.col("event_id") % 2 == 1, F.col("props")).alias("output"), "event_id",
+    )
+    root = _folder(spark)
+    for rest in (0, 1):
+        append_json_lines(make_records(steps.where(F.col("event_id") % 2 == rest), "event_id"), root)
+    log = read_trace(spark, root)
+    return log.select(F.col("extra")["event_id"].cast("long").alias("event_id"), "step", F.col("parameters.max_tokens").alias("max_tokens"), "prompt_template_version", "input_summary", "output_hash")
+
+
+_SPEC = """named AS (SELECT r_name AS name, list_sort(list(n_name)) AS public_api FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name)"""
+
+
+def _spec_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row (modules): a module for each region, with its nations as functions."""
+    both = table(spark, sf_dir, "region").join(table(spark, sf_dir, "nation"), F.col("n_regionkey") == F.col("r_regionkey"))
+    named = both.groupBy(F.col("r_name").alias("name")).agg(F.array_sort(F.collect_list("n_name")).alias("public_api"))
+    return named.agg(F.sort_array(F.collect_list(F.struct("name", "public_api"))).alias("modules"))  # region has a fixed number of rows
+
+
+@query(f"WITH {_SPEC} SELECT name, public_api FROM named")
+def freeze_from_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A design written as a document, read back, and its modules extracted."""
+    root = _folder(spark)
+    write_document(_spec_document(spark, sf_dir), f"{root}/design.json")
+    return freeze.modules(freeze.parsed(read_document(spark, "design.json", f"{root}/none", root))).select("name", "public_api")
+
+
+@query("SELECT * FROM (VALUES (0, 'research.json', 5), (2, 'design.json', 25)) AS t(ord, file_name, n)")
+def context_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context files in the order of reading; one that is no JSON is left out."""
+    root = _folder(spark)
+    listed_rows = lambda name: table(spark, sf_dir, name).agg(F.collect_list(F.struct("*")).alias("rows"))
+    write_document(listed_rows("region"), f"{root}/research.json")
+    write_document(listed_rows("nation"), f"{root}/design.json")
+    write_generated(spark.createDataFrame([("define.json", "{bad")], "path string, content string"), root).collect()
+    return read_context_files(spark, root).select("ord", "file_name", F.size(F.from_json("json", "struct<rows:array<map<string,string>>>")["rows"]).alias("n"))
+
+
+@query("""SELECT '{"n_nationkey":' || n_nationkey::VARCHAR || ',"n_name":"' || n_name || '","none":null}' AS json FROM nation""")
+def json_report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_json_lines(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.lit(None).cast("string").alias("none")))
+
+
+_SAID = ("error", "fatal", "warning", "refactor", "convention", "other")
+
+
+@query(f"""SELECT n_nationkey, CASE ([{listed(_SAID)}])[n_nationkey % 6 + 1] WHEN 'error' THEN 'P0' WHEN 'fatal' THEN 'P0' WHEN 'warning' THEN 'P1' ELSE 'P2' END AS pylint,
+CASE n_nationkey % 4 WHEN 2 THEN 'P0' WHEN 1 THEN 'P1' ELSE 'P2' END AS eslint FROM nation""")
+def linter_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("n_nationkey")
+    return table(spark, sf_dir, "nation").select("n_nationkey", level(pick(_SAID, key % 6), PYLINT_LEVELS).alias("pylint"), level((key % 4).cast("string"), ESLINT_LEVELS).alias("eslint"))
+
+
+@query(f"""WITH {DOC_LINES_SQL}, wanted AS (SELECT DISTINCT path, 'word' || (length(path) % 3)::VARCHAR AS module FROM dlines),
+coded AS (SELECT path, line_no, CASE line_no % 4 WHEN 1 THEN 'x word0 word1' WHEN 2 THEN 'import word1' WHEN 3 THEN 'from word2 import word0' ELSE line END AS line FROM dlines)
+SELECT w.path, w.module, coalesce((SELECT min(line_no) FROM coded c WHERE c.path = w.path AND contains(c.line, w.module) AND (contains(c.line, 'import') OR contains(c.line, 'from'))), 0)::INT AS line_no FROM wanted w""")
+def arch_import_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = lines(_documents(spark, sf_dir)).select("path", "line_no", "line")
+    place = F.col("line_no") % 4
+    coded = source.withColumn("line", F.when(place == 1, "x word0 word1").when(place == 2, "import word1").when(place == 3, "from word2 import word0").otherwise(F.col("line")))
+    wanted = source.select("path").distinct().withColumn("module", F.concat(F.lit("word"), (F.length("path") % 3).cast("string")))
+    return layers.import_lines(wanted, coded).select("path", "module", "line_no")
+
+
+@query(f"WITH {PLANTED_SQL} SELECT concat_ws(', ', CASE WHEN bool_or(suffix = '.py') THEN 'builtin-python' END, CASE WHEN bool_or(suffix IN ('.js', '.ts')) THEN 'builtin-script' END) AS tools FROM planted")
+def gate_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gate.tools_used(planted_files(spark, sf_dir))
+
+
+@query(f"""WITH {PLANTED_SQL}, p AS (SELECT DISTINCT path FROM planted) SELECT path FROM (SELECT path FROM p ORDER BY path LIMIT 20)
+UNION ALL SELECT '+' || (count(*) - 20)::VARCHAR || ' more' FROM p HAVING count(*) > 20""")
+def shown_file_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.shown_files(planted_files(spark, sf_dir))
+
+
+@query(f"""WITH d AS (SELECT p_partkey, ({_DESIGN})::JSON AS j FROM part)
+SELECT '## Context' || chr(10) || chr(10) || '### Technology' || chr(10) || '- language: ' || (j->'tech_stack'->>'language') || CASE WHEN (j->'tech_stack'->>'framework') != '' THEN chr(10) || '- framework: ' || (j->'tech_stack'->>'framework') ELSE '' END
+|| chr(10) || '- other_tools: a, ' || (j->'tech_stack'->'other'->>1) || chr(10) || chr(10) || '### Standards' || chr(10) || '- max_line_length: ' || (j->'coding_standards'->>'max_line_length') || chr(10) || '- naming_style: snake_case' || chr(10)
+|| '- require_type_annotations: True' || chr(10) || '- require_docstrings: False' || chr(10) || '- error_handling_pattern: try-except' || chr(10) || chr(10) || '### Constraints' || chr(10) || '- layer api must not depend on layer db' || chr(10)
+|| '- layer ' || (j->'architecture'->'layers'->1->>'name') || ' must not depend on layer api' || chr(10) || '- layer api may depend on layer svc' || chr(10) || chr(10) || '### Frozen specification' || chr(10) || '```json' || chr(10) || '{{"a":1}}' || chr(10) || '```' || chr(10) AS markdown FROM d""")
+def context_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contexts of designs with a frozen specification attached, as markdown."""
+    designs = freeze.parsed(table(spark, sf_dir, "part").select(F.expr(_DESIGN).alias("json")))
+    return documents.as_markdown(documents.context(designs, spark.createDataFrame([('{"a":1}',)], "json string")))

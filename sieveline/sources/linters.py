@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import shutil
 import subprocess
 import tempfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,13 +29,32 @@ def level(column: Column, levels: dict[str, str]) -> Column:
     return F.coalesce(known[column], F.lit("P2"))
 
 
+@dataclass(frozen=True)
+class Form:
+    """How a tool writes what it finds: the key of a file's messages (None if the list is of messages), of a message's
+    level, text and rule, the level it has if none is written, and what levels mean."""
+
+    messages: str | None
+    level: str
+    rule: str
+    unlevelled: str
+    levels: dict[str, str]
+
+
+FORMS = {"pylint": Form(None, "type", "symbol", "", PYLINT_LEVELS), "eslint": Form("messages", "severity", "ruleId", "2", ESLINT_LEVELS)}
+
+
 def parse(tool: str, output: str) -> list[tuple[int, str, str, str]]:
     """(line, severity, title, suggestion) of a linter's JSON."""
+    form = FORMS[tool]
     found = json.loads(output) if output.strip() else []
-    if tool == "pylint":
-        return [(m.get("line", 0), PYLINT_LEVELS.get(m.get("type", ""), "P2"), m.get("message", ""), f"pylint: {m.get('symbol', '')}") for m in found]
-    messages = [m for f in found for m in f.get("messages", [])]
-    return [(m.get("line", 0), ESLINT_LEVELS.get(str(m.get("severity", 2)), "P2"), m.get("message", ""), f"eslint: {m.get('ruleId', '')}") for m in messages]
+    if form.messages:
+        found = itertools.chain.from_iterable(each.get(form.messages, ()) for each in found)
+    rows = []
+    for message in found:
+        said = str(message.get(form.level, form.unlevelled))
+        rows.append((message.get("line", 0), form.levels.get(said, "P2"), message.get("message", ""), f"{tool}: {message.get(form.rule, '')}"))
+    return rows
 
 
 def lint(files: DataFrame, tool: str) -> DataFrame:

@@ -6,16 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SUMMARY = 500
+KEYS = ("timestamp", "step", "model", "parameters", "prompt_template_version", "input_summary", "output_hash")
 RECORD = "timestamp string, step string, model string, parameters struct<temperature:double,max_tokens:int>, prompt_template_version string, input_summary string, output_hash string"
 
 
 def read_trace(spark: SparkSession, path: str) -> DataFrame:
-    """RECORDs of a log; blank and malformed lines are left out."""
-    return spark.read.schema(RECORD).option("mode", "DROPMALFORMED").json(path)
+    """RECORDs of a log, with extra: a map of the other keys, values that aren't strings as JSON.  Blank and malformed lines are left out."""
+    return parsed(spark.read.text(path))
 
 
-def make_records(steps: DataFrame) -> DataFrame:
-    """RECORDs of steps (timestamp, step, model, temperature, max_tokens, template, summary, output); template and output are contents or null."""
+def parsed(text: DataFrame) -> DataFrame:
+    """The same of lines (value)."""
+    fields = F.from_json("value", RECORD)
+    every = F.from_json("value", "map<string,string>")
+    rows = text.where(F.try_parse_json("value").isNotNull() & F.ltrim("value").startswith("{"))
+    return rows.select(fields.alias("r"), F.map_filter(every, lambda k, v: ~k.isin(*KEYS)).alias("extra")).select("r.*", "extra")
+
+
+def make_records(steps: DataFrame, *extra: str) -> DataFrame:
+    """RECORDs of steps (timestamp, step, model, temperature, max_tokens, template, summary, output), and their ``extra`` columns; template and output are contents or null."""
     return steps.select(
         F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("timestamp"),
         "step",
@@ -24,6 +33,7 @@ def make_records(steps: DataFrame) -> DataFrame:
         F.coalesce(F.substring(F.sha2("template", 256), 1, 8), F.lit("unknown")).alias("prompt_template_version"),
         F.substring("summary", 1, SUMMARY).alias("input_summary"),
         F.coalesce(F.substring(F.sha2("output", 256), 1, 12), F.lit("n/a")).alias("output_hash"),
+        *extra,
     )
 
 

@@ -63,7 +63,7 @@ def as_json_lines(df: DataFrame) -> DataFrame:
 
 
 def write_generated(files: DataFrame, folder: str) -> DataFrame:
-    """Write files (path, content) below a folder that all executors share, by way of a name of its own each.
+    """Write files (path, content: text or binary) below a folder that all executors share, by way of a name of its own each.
 
     Paths that are empty, absolute or lead out of the folder are refused.
     Returns (path, written).
@@ -81,8 +81,8 @@ def write_generated(files: DataFrame, folder: str) -> DataFrame:
                 if safe:
                     place = os.path.join(folder, tidy)
                     os.makedirs(os.path.dirname(place), exist_ok=True)
-                    with open(f"{place}.{uuid.uuid4().hex}", "w", encoding="utf-8", newline="") as out:
-                        out.write(content or "")
+                    with open(f"{place}.{uuid.uuid4().hex}", "wb") as out:
+                        out.write(content.encode() if isinstance(content, str) else content or b"")
                     os.replace(out.name, place)  # a task that runs again leaves the same file
                 written.append(safe)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(written, pa.bool_())], ["path", "written"])

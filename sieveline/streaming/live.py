@@ -9,12 +9,12 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.match import match
 from ..operators.rules import Rule
 from ..sources.files import lines, with_path_parts
-from ..sources.trace import RECORD
+from ..sources.trace import parsed
 
 
 def trace_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """RECORDs of log files as they arrive."""
-    return spark.readStream.schema(RECORD).option("mode", "DROPMALFORMED").json(folder)
+    """RECORDs of log files, with their other keys, as they arrive."""
+    return parsed(spark.readStream.text(folder))
 
 
 def last_per_step_stream(log: DataFrame) -> DataFrame:

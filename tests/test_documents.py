@@ -18,14 +18,14 @@ def design(spark, *docs):
     return freeze.parsed(spark.createDataFrame([(json.dumps(d),) for d in docs], "json string"))
 
 
-OLD = {"modules": [{"name": "auth", "public_api": ["login", "logout"]}, {"name": "user", "public_api": ["get"]}], "data_model": {"entities": [{"name": "User", "fields": [{"name": "id"}, {"name": "mail"}]}, {"name": "Log"}]}, "api_design": {"endpoints": [{"method": "GET", "path": "/a"}, {"path": "/n"}]}}
-NEW = {"modules": [{"name": "auth", "public_api": ["login"]}, {"name": "pay"}], "data_model": {"entities": [{"name": "User", "fields": [{"name": "id"}]}]}, "api_design": {"style": "RPC", "endpoints": [{"method": "GET", "path": "/a", "description": "again"}, {"path": "/n"}, {"method": "PUT", "path": "/b"}, {"method": "PUT", "path": "/b"}]}}
+OLD = {"modules": [{"name": "billing", "public_api": ["charge", "refund"]}, {"name": "ledger", "public_api": ["get"]}], "data_model": {"entities": [{"name": "Invoice", "fields": [{"name": "id"}, {"name": "amount"}]}, {"name": "Entry"}]}, "api_design": {"endpoints": [{"method": "GET", "path": "/a"}, {"path": "/n"}]}}
+NEW = {"modules": [{"name": "billing", "public_api": ["charge"]}, {"name": "pay"}], "data_model": {"entities": [{"name": "Invoice", "fields": [{"name": "id"}]}]}, "api_design": {"style": "RPC", "endpoints": [{"method": "GET", "path": "/a", "description": "again"}, {"path": "/n"}, {"method": "PUT", "path": "/b"}, {"method": "PUT", "path": "/b"}]}}
 
 
 def test_compliance(spark):
     o, n = design(spark, OLD), design(spark, NEW)
     found = freeze.compliance(freeze.modules(o), freeze.modules(n), freeze.models(o), freeze.models(n))
-    assert sorted(tuple(r) for r in found.collect()) == [("api_removed", "P0", "auth", "logout"), ("field_removed", "P1", "User", "mail"), ("model_removed", "P1", "Log", ""), ("module_removed", "P0", "user", "")]
+    assert sorted(tuple(r) for r in found.collect()) == [("api_removed", "P0", "billing", "refund"), ("field_removed", "P1", "Invoice", "amount"), ("model_removed", "P1", "Entry", ""), ("module_removed", "P0", "ledger", "")]
     assert freeze.compliant(found).first().asDict() == {"violations": 4, "compliant": False}
     same = freeze.compliance(freeze.modules(o), freeze.modules(o), freeze.models(o), freeze.models(o))
     assert freeze.compliant(same).first()["compliant"]
@@ -34,7 +34,7 @@ def test_compliance(spark):
 def test_ratchet(spark):
     o, n = design(spark, OLD), design(spark, NEW)
     merged = {r["name"]: r["public_api"] for r in freeze.ratchet(freeze.modules(o), freeze.modules(n)).collect()}
-    assert merged == {"auth": ["login"], "user": ["get"], "pay": []}
+    assert merged == {"billing": ["charge"], "ledger": ["get"], "pay": []}
     ends = freeze.merge_endpoints(freeze.endpoints(o), freeze.endpoints(n)).collect()
     assert sorted((r["method"] or "", r["path"], r["origin"]) for r in ends) == [("", "/n", "old"), ("GET", "/a", "old"), ("PUT", "/b", "new"), ("PUT", "/b", "new")]
     assert freeze.freeze_counts(freeze.modules(o), freeze.models(o)).first().asDict() == {"modules": 2, "models": 2}
@@ -124,6 +124,10 @@ def test_log(spark, tmp_path):
     (tmp_path / "trace.log").write_text('{"step": "a", "model": "1"}\n\nnot json\n{"step": "b", "model": "2"}\n')
     log = trace.read_trace(spark, f"{tmp_path}/trace.log")
     assert sorted(r["step"] for r in log.collect()) == ["a", "b"]
+    trace_file = tmp_path / "more.log"
+    trace_file.write_text('{"step": "a", "run": 7, "who": {"id": 1}, "parameters": {"max_tokens": 3}}\n[1]\n{"step": "b"}\n')
+    got = {r["step"]: (r["extra"], r["parameters"]) for r in trace.read_trace(spark, str(trace_file)).collect()}
+    assert got["a"][0] == {"run": "7", "who": '{"id":1}'} and got["a"][1]["max_tokens"] == 3 and got["b"][0] == {}
     last = trace.last_per_step(records(spark), "timestamp").collect()
     assert [(r["step"], r["input_summary"]) for r in last] == [("a", "later")]
     extra = spark.createDataFrame([({"a": "1", "b": "2"}, {"b": "3", "c": "4"}), ({"a": "1"}, None)], "record map<string,string>, extra map<string,string>")

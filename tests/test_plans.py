@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sieveline.operators.findings import numbered
 from sieveline.operators.layers import file_layers, imported_files, import_lines, layer_list, layers_of, violations
-from sieveline.operators.syntax import dangerous_calls, imports, nodes_of, secret_assignments, syntax_nodes
+from sieveline.operators.syntax import dangerous_calls, imports, nodes_of, parsed, secret_assignments, syntax_nodes
 from sieveline.plans import arch, audit, gate
 from sieveline.sources.files import files_from_dir, files_scanned, lines, scan, with_path_parts
 from sieveline.sources.linters import ESLINT_LEVELS, PYLINT_LEVELS, level, lint, parse
@@ -98,6 +98,7 @@ def test_audit_report(spark):
     assert rows == {("a.py", 1, "AUD-SEN-1"), ("a.py", 1, "AUD-AST-1"), ("a.py", 2, "AUD-CRY-1"), ("a.py", 3, "AUD-ACC-1"), ("a.py", 4, "AUD-DES-4"), ("my_example.py", 1, "AUD-AST-1"), ("b.html", 1, "AUD-XSS-1")}
     assert [r["rule_id"] for r in found.where("path = 'a.py'").orderBy("id").collect()] == ["AUD-ACC-1", "AUD-SEN-1", "AUD-DES-4", "AUD-AST-1", "AUD-CRY-1"]
     report = audit.report(found, files_scanned(files, "audit")).first()
+    assert report["timestamp"].endswith("+00:00") and report["tool"] and report["code_directory"] == ""
     assert (report["files_scanned"], report["critical"], report["high"], report["medium"], report["low"], report["risk_score"]) == (3, 5, 1, 1, 0, 57.0)
     plan = {r["priority"]: (r["action"], r["findings"]) for r in audit.remediation(found).collect()}
     assert plan[2][0] == "fix 1 high findings soon" and len(plan[1][1]) == 5
@@ -157,3 +158,70 @@ def test_linter_levels_and_absence(spark):
     rows = df.select(level(F.col("a"), PYLINT_LEVELS).alias("a"), level(F.col("b"), ESLINT_LEVELS).alias("b")).collect()
     assert [tuple(r) for r in rows] == [("P0", "P0"), ("P2", "P2"), ("P2", "P2")]
     assert lint(files_of(spark, {"a.py": "x"}), "pylint").count() >= 0
+
+
+def test_one_parse_serves_gate_audit_and_layers(spark, tmp_path):
+    files = files_of(spark, {"api/a.py": "from db import m\neval(x)\ndb_password = 'abcde'\n", "db/m.py": "x = 1\n", "build/b.py": "exec(x)"})
+    design = spark.createDataFrame([(json.dumps({"layers": [{"name": "api", "forbidden_dependencies": ["db"]}, {"name": "db"}]}),)], "json string")
+    nodes = parsed(files)
+    by_id = lambda df: sorted(map(repr, df.collect()))
+    assert by_id(gate.security_issues(files, nodes)) == by_id(gate.security_issues(files))
+    assert by_id(audit.findings(files, nodes)) == by_id(audit.findings(files))
+    assert by_id(arch.arch_issues(files, design, nodes)) == by_id(arch.arch_issues(files, design))
+    for rows in (gate.security_rows(files, nodes), audit.rows(files, nodes), arch.arch_issues(files, design, nodes)):
+        assert "Python" not in rows._jdf.queryExecution().executedPlan().toString() and "MapInArrow" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_titles_tell_rules_apart(spark):
+    files = files_of(spark, {"a.py": "cur.execute('SELECT %s' % x)\nos.system(a + b)\neval(x)\ndb_password = 'abcdef'\nhashlib.md5(x)\n"})
+    found = {r["rule_id"]: r for r in audit.findings(files).collect()}
+    assert "SQL" in found["AUD-INJ-1"]["title"] and "command" in found["AUD-INJ-5"]["title"] and "MD5" in found["AUD-CRY-1"]["title"]
+    assert "db_password" in found["AUD-AST-1"]["title"] and "db_password" in found["AUD-AST-1"]["recommendation"]
+    assert "password" in found["AUD-SEN-1"]["title"]
+    issues = {r["rule_id"]: r for r in gate.security_issues(files).collect()}
+    assert issues["SEC-AST-1"]["snippet"] == "line 3" and "eval" in issues["SEC-AST-1"]["title"]
+    assert issues["SEC-AST-1"]["owasp"] == "A03:2021 – Injection"
+
+
+def test_excluded_folders_are_not_entered(spark, tmp_path, monkeypatch):
+    from sieveline.sources import files as reader
+
+    names = ["a.py", "x/b.py", "x/y/c.py", "x/y/z/d.js", "node_modules/e.py", "x/.git/f.py", "x/_g/h.py", ".i/j.py", "x/k.txt", "x/build/l.py"]
+    root = tree(tmp_path, {n: "x" for n in names})
+    for most in (1, 3, 256):
+        monkeypatch.setattr(reader, "FOLDERS", most)
+        got = {r["path"].removeprefix(root + "/") for r in files_from_dir(spark, root, "static").collect()}
+        assert got == {"a.py", "x/b.py", "x/y/c.py", "x/y/z/d.js", "x/_g/h.py", ".i/j.py"}
+        assert {r["path"].removeprefix(root + "/") for r in files_from_dir(spark, root).collect()} == set(names)
+    os.makedirs(tmp_path / "none")
+    assert files_from_dir(spark, str(tmp_path / "none"), "static").count() == 0
+
+
+def test_forbidden_imports_of_many_layers(spark):
+    names = [f"layer{i:02d}" for i in range(40)]
+    files = spark.createDataFrame([(f"{n}/m{n}.py",) for n in names], "path string")
+    edges = spark.createDataFrame([(f"{a}/m{a}.py", 0, f"m{b}") for a in names for b in names if a != b], "path string, seq int, module string")
+    found = violations(edges, files, [(n, names[i + 1 :]) for i, n in enumerate(names)])
+    assert found.count() == 40 * 39 // 2
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        code = violations(edges, files, [(n, names[i + 1 :]) for i, n in enumerate(names)])._jdf.queryExecution().debug().codegenToSeq()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(code.apply(i)._3().maxMethodCodeSize()) for i in range(code.size())]
+    assert max(sizes) < 64 * 1024 and violations(edges, files, [(n, []) for n in names]).count() == 0
+
+
+def test_imports_by_any_substring(spark):
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("ab", k=rng.randint(1, 4)))
+    paths = sorted({"/".join(word() for _ in range(rng.randint(1, 4))) + ".py" for _ in range(60)})
+    modules = sorted({".".join(word() for _ in range(rng.randint(1, 3))) for _ in range(150)})
+    edges = spark.createDataFrame([("x", i, m) for i, m in enumerate(modules)], "path string, seq int, module string")
+    got = {r["module"]: r["target"] for r in imported_files(edges, spark.createDataFrame([(p,) for p in paths], "path string")).collect()}
+    for m in modules:
+        stems = [p for p in paths if p.split("/")[-1].removesuffix(".py") == m.split(".")[-1]]
+        contain = [p for p in paths if m.replace(".", "/") in p.lower().replace(".py", "")]
+        assert got[m] == (min(stems) if stems else min(contain) if contain else None), m
