@@ -335,16 +335,21 @@ def each_sublist(lists: DataFrame) -> DataFrame:
     return lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
 
+def to_sublists(rows: DataFrame, groups: DataFrame, by: str, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """rows (``by``, sid, ...) with their sublist, and groups (``by``, parts, ...) with a row for each sublist."""
+    long = work.keep(groups.where("parts > 1").select(by, "parts"), f"long-{by}")  # a LONG-th of the rows at most
+    rows = rows.join(long, by, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")), each_sublist(groups)
+
+
 def dealt(postings: DataFrame, work: Workspace) -> DataFrame:
     """postings of lists with several sets, with the sublist (salt) and how many the list has (parts)."""
     # Counted before rows meet by token, so that a long list is never one task's.
     lists = postings.groupBy("token").agg(F.min("sid").alias("_low"), F.max("sid").alias("_high"), F.count("*").alias("_n")).where("_low != _high")
     lists = work.keep(lists.select("token", F.ceil(F.col("_n") / LONG).cast("int").alias("parts")), "lists")
-    long = work.keep(lists.where("parts > 1"), "long")  # a LONG-th of the postings at most
-    salted = postings.join(long, "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    salted = salted.withColumn("salt", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
-    out = work.keep(salted.join(each_sublist(lists), ["token", "salt"], "left_semi"), "postings")
-    work.drop("lists", "long")
+    rows, each = to_sublists(postings, lists, "token", work)
+    out = work.keep(rows.join(each, ["token", "salt"], "left_semi"), "postings")
+    work.drop("lists", "long-token")
     return out
 
 
@@ -423,15 +428,16 @@ def members(spark: SparkSession, docs: DataFrame, carried: list[str], key: str,
     work.drop("postings", "sets", *[f"tests-{k}" for k in range(turn)])
     added = ordered_edges(last.where("linked"))
     edges = settled(added if edges is None else edges.unionByName(added), work)
-    return numbered(rows, roots_of(edges), carried, key)
+    return numbered(rows, roots_of(edges), carried, key, work)
 
 
-def numbered(rows: DataFrame, roots: DataFrame, carried: list[str], key: str) -> DataFrame:
-    """The least key of each component, joined to its rows by way of the sets."""
+def numbered(rows: DataFrame, roots: DataFrame, carried: list[str], key: str, work: Workspace) -> DataFrame:
+    """The least key of each component, joined to its rows by way of the sets.  A large component is dealt like a long list."""
     least = rows.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min(key).alias("low"))
-    least = least.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    low = least.groupBy("root").agg(F.min("low").alias("component_id"))
-    least = least.join(low, "root").select("sid", F.col("root").alias("component"), "component_id")
+    least = work.keep(least.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "least")
+    low = least.groupBy("root").agg(F.min("low").alias("component_id"), F.ceil(F.count("*") / LONG).cast("int").alias("parts"))
+    dealt_out, each = to_sublists(least, work.keep(low, "low"), "root", work)
+    least = dealt_out.join(each, ["root", "salt"]).select("sid", F.col("root").alias("component"), "component_id")
     return rows.join(least, "sid", "left").select(*carried, "n", "component", F.coalesce("component_id", F.col(key)).alias("component_id"))
 
 
