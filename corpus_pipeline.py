@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sieveline.llm import jaccard, mixing, pieces, quality, secrets
 from sieveline.llm.queries import piece_model, quality_model, table
-from sieveline.llm.shared import Workspace, scratch
+from sieveline.sources.kept import Workspace, scratch
 
 ENTROPY_SHARE = 0.97
 MOST_REPEATS = 4.0
