@@ -9,7 +9,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: What holds while a table is written: shuffle files go when their query ends, and batches for Python are bounded by bytes too.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 _ROOTS: list[str] = []
 
 
@@ -40,7 +41,7 @@ class Workspace:
         """df, written and read again; the shuffle files of its plan go as soon as it is written."""
         path = f"{self.root}/{name}"
         schema = df.schema
-        with freed_shuffles(self.spark):
+        with writing(self.spark):
             df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
@@ -50,14 +51,16 @@ class Workspace:
 
 
 @contextmanager
-def freed_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Queries that run within delete their shuffle files when they end."""
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+def writing(spark: SparkSession) -> Iterator[None]:
+    """Queries that run within have the settings of WRITING."""
+    before = {k: spark.conf.get(k, None) for k in WRITING}
     try:
+        for k, v in WRITING.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 @contextmanager
