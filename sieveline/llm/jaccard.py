@@ -53,14 +53,14 @@ from pyspark.sql import functions as F
 
 from ..sources.spread import spread
 from .language import pieces_of
-from .shared import Workspace, row_hash, total_bytes, unused
+from .shared import Workspace, give_back, row_hash, total_bytes, trimmed, unused
 from .words import mix, shingles, word_hashes
 
 PERCENT = 75
 #: Sizes of sets in a block of a list differ by this factor at most.
 BLOCK = 1.08
 #: Bytes of text whose shingles one task handles at once, and that one part of the hash range answers for.
-TOGETHER = 6 << 20
+TOGETHER = 4 << 20
 PART_BYTES = 4 << 20
 #: Rounds of offers against heads before the pairs that remain are verified.
 MOST_ROUNDS = 3
@@ -161,13 +161,18 @@ def ask(docs: DataFrame, bits: int, carried: list[str], text: str) -> DataFrame:
                     chunk = rows[a : a + 64]
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in chunk], kind) for k, kind in enumerate(kinds)], ["part", "batch", "kind", "n", "a", "b", "c"])
 
-    return spread(docs.select(text, *carried)).mapInArrow(run, MESSAGE)
+    return spread(docs.select(text, *carried)).mapInArrow(trimmed(run), MESSAGE)
 
 
 def answer(messages: DataFrame) -> DataFrame:
     """In each part: ASK becomes the shingles found in several sets with their frequency; other messages pass."""
 
     def run(table: pa.Table) -> pa.Table:
+        out = answered(table)
+        give_back()
+        return out
+
+    def answered(table: pa.Table) -> pa.Table:
         asked = pa.compute.equal(table.column("kind"), ASK)
         rest = table.filter(pa.compute.invert(asked))
         table = table.filter(asked)
@@ -195,6 +200,11 @@ def assemble(answers: DataFrame, carried: list[str], fields: str) -> DataFrame:
     """Per row: what is carried, n, sid (16 bytes; null for the empty set), and for one row of each set that may link, its shared shingles in order and how many are posted."""
 
     def run(table: pa.Table) -> pa.Table:
+        out = assembled(table)
+        give_back()
+        return out
+
+    def assembled(table: pa.Table) -> pa.Table:
         messages = list(zip(*[table.column(c).to_pylist() for c in ("kind", "n", "a", "b", "c")]))
         _, names, keys, of_row, _ = next(m for m in messages if m[0] == SETS)
         names, of_row = np.frombuffer(names, dtype=np.uint64).reshape(-1, 3), np.frombuffer(of_row, dtype=np.uint32)
@@ -259,7 +269,7 @@ def post(sets: DataFrame) -> DataFrame:
                 ["token", "sid", "n", "rest"],
             )
 
-    return sets.select("sid", "n", "tokens", "posted").mapInArrow(run, "token bigint, sid binary, n bigint, rest bigint").withColumn("block", block_of(F.col("n")))
+    return sets.select("sid", "n", "tokens", "posted").mapInArrow(trimmed(run), "token bigint, sid binary, n bigint, rest bigint").withColumn("block", block_of(F.col("n")))
 
 
 def block_of(size: Column) -> Column:
@@ -284,20 +294,25 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     of = lambda side: sets.select(F.col("sid").alias(side), F.col("n").alias(f"n{side}"), F.col("tokens").alias(f"t{side}"))
     joined = pairs.select("a", "b").join(of("b"), "b").join(of("a"), "a")
-    return joined.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(run, "a binary, b binary, overlap bigint, linked boolean")
+    return joined.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(trimmed(run), "a binary, b binary, overlap bigint, linked boolean")
 
 
 def star(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
-    """A large-star and a small-star step over edges (u, v) with u > v: the same components, nearer to stars round their least nodes."""
+    """A large-star and a small-star step over edges (u, v) with u > v: the same components, nearer to stars round their least nodes.
+
+    The least neighbours are written before edges join them, so both sides of
+    the join come straight from a shuffle and a hub with very many edges is
+    split where it is skewed.
+    """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    low = work.keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-low")
     # Larger neighbours of a node move to its least neighbour.
     large = work.keep(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v"), f"{name}-large")
     # A node's smaller neighbours, and itself, move to the least of them.
-    low = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+    least = work.keep(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-least")
+    small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
     out = work.keep(small, name)
-    work.drop(f"{name}-large")
+    work.drop(f"{name}-low", f"{name}-large", f"{name}-least")
     return out
 
 

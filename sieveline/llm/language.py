@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..sources.spread import spread
 from .crf import Adam, Layout, forward_backward
-from .shared import sample
+from .shared import sample, trimmed
 from .words import mix, text_buffer
 
 TRAIN_DOCS = 1200
@@ -222,7 +222,7 @@ def windows(docs: DataFrame, text: str, most: int = WINDOWS, size: int = WINDOW)
                     langs.append(lang)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(langs, pa.string())], ["text", "lang"])
 
-    return docs.select(text, "lang").mapInArrow(run, "text string, lang string")
+    return docs.select(text, "lang").mapInArrow(trimmed(run), "text string, lang string")
 
 
 def learn(docs: DataFrame, may_learn: Column, key: str = "doc_id", text: str = "text", most: int = TRAIN_DOCS, most_windows: int = WINDOWS, window: int = WINDOW) -> Model | None:
@@ -247,4 +247,4 @@ def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str
                 labels, score, _ = label_texts(sent.value, part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(labels, pa.string()), pa.array(score, pa.float64())], [key, "lang_pred", "score"])
 
-    return spread(docs.select(key, text)).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, lang_pred string, score double")
+    return spread(docs.select(key, text)).mapInArrow(trimmed(run), f"{key} {docs.schema[key].dataType.simpleString()}, lang_pred string, score double")

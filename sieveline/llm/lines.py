@@ -35,7 +35,7 @@ from ..sources.spread import spread
 from . import style
 from .crf import Adam, Layout, forward_backward, viterbi
 from .language import pieces_of
-from .shared import sample
+from .shared import sample, trimmed
 
 TRAIN_DOCS = 3000
 TRAIN_LINES = 64
@@ -154,7 +154,7 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int =
                     kept.append(b"".join(x[c : c + runs[-1]].tobytes() for c in begins))
                 yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()), pa.array(runs, pa.int32())], ["x", "run"])
 
-    got = chosen.select(text).mapInArrow(run, "x binary, run int").collect()  # most rows of most_lines lines at most
+    got = chosen.select(text).mapInArrow(trimmed(run), "x binary, run int").collect()  # most rows of most_lines lines at most
     if not got:
         return train(np.zeros((0, FEATURES)), np.zeros(0, dtype=int))
     parts, lengths, opens = [], [], []

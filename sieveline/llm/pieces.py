@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 
 from ..sources.spread import spread
 from .language import pieces_of
+from .shared import trimmed
 
 SPACE = "▁"
 #: Entries of one generation of a table; two are held.
@@ -351,4 +352,4 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", key: str
 
     kind = docs.schema[key].dataType.simpleString()
     extra = ", ids array<int>, decoded string" if with_ids else ""
-    return spread(docs.select(key, text)).mapInArrow(run, f"{key} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{extra}")
+    return spread(docs.select(key, text)).mapInArrow(trimmed(run), f"{key} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{extra}")

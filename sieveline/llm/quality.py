@@ -36,7 +36,7 @@ from ..sources.spread import spread
 from . import style
 from .crf import Adam
 from .language import pieces_of
-from .shared import row_hash
+from .shared import row_hash, trimmed
 
 POSITIVES = 3000
 UNLABELLED = 6000
@@ -195,7 +195,7 @@ def learn(docs: DataFrame, positives: DataFrame, may_learn: Column, prior: float
                 yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["h", "samples", "x"])
 
     joined = rows.join(F.broadcast(chosen), "h").dropDuplicates(["h"])  # most_positives + most_unlabelled hashes at most
-    got = joined.select("text", "h", "samples").mapInArrow(run, "h bigint, samples array<boolean>, x array<double>").collect()
+    got = joined.select("text", "h", "samples").mapInArrow(trimmed(run), "h bigint, samples array<boolean>, x array<double>").collect()
     got.sort(key=lambda r: r["h"])
     one, other = (np.array([r["x"] for r in got if which in r["samples"]]).reshape(-1, FEATURES) for which in (True, False))
     rng = np.random.default_rng(5)
@@ -212,7 +212,7 @@ def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str =
                 s = sent.value.score(features(part.column(1))) if sent.value else np.zeros(part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64())], [key, "score"])
 
-    return spread(docs.select(key, text)).mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, score double")
+    return spread(docs.select(key, text)).mapInArrow(trimmed(run), f"{key} {docs.schema[key].dataType.simpleString()}, score double")
 
 
 def keep(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
@@ -227,4 +227,4 @@ def keep(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, tex
             for part in pieces_of(batch, at):
                 yield part.filter(pa.array(sent.value.score(features(part.column(at))) >= threshold))
 
-    return spread(docs).mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(trimmed(run), docs.schema)

@@ -2,13 +2,38 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.kept import Workspace, checkpoint_dir, scratch, unused
 
-__all__ = ["Workspace", "checkpoint_dir", "held_out", "row_hash", "sample", "scratch", "total_bytes", "unused"]
+__all__ = ["Workspace", "checkpoint_dir", "give_back", "held_out", "row_hash", "sample", "scratch", "total_bytes", "trimmed", "unused"]
+
+
+def give_back() -> None:
+    """Return to the system what this Python worker has freed: workers live on through stages that have no use for them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run over the batches of a task, and memory given back at its end."""
+
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return outer
 
 
 def row_hash(df: DataFrame) -> Column:
