@@ -54,6 +54,7 @@ class Texts:
     counts: np.ndarray  # (texts, CLASSES)
     words: np.ndarray  # hash of each word, case kept
     word_at: np.ndarray
+    word_line: np.ndarray  # the line of each word
     line_start: np.ndarray  # byte
     line_at: np.ndarray  # first line of each text, and the total
     line_counts: np.ndarray
@@ -78,7 +79,8 @@ def read(column: pa.Array) -> Texts:
     if n:
         counts[has] = np.add.reduceat(line_counts, line_at[:-1][has], axis=0)
     words, word_at = word_hashes(column, fold=False)
-    line_words, line_echo = _words_by_line(raw, line_start, at, words, word_at)
+    word_line, line_echo = _words_by_line(raw, line_start, at, words)
+    line_words = np.bincount(word_line, minlength=len(line_start))
     seen = np.zeros(len(line_start), dtype=bool)
     repeated, distinct = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
     ends = np.append(line_start[1:], len(raw))
@@ -107,20 +109,19 @@ def read(column: pa.Array) -> Texts:
                     if line in before:
                         seen[j] = True
                     before.add(line)
-    return Texts(raw, at, counts, words, word_at, line_start, line_at, line_counts, line_words, line_echo, seen, repeated, distinct)
+    return Texts(raw, at, counts, words, word_at, word_line, line_start, line_at, line_counts, line_words, line_echo, seen, repeated, distinct)
 
 
-def _words_by_line(raw: np.ndarray, line_start: np.ndarray, at: np.ndarray, words: np.ndarray, word_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _words_by_line(raw: np.ndarray, line_start: np.ndarray, at: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line of each word, words of each line that are equal to the word before them)"""
     if not len(words):
-        return np.zeros(len(line_start), dtype=np.int64), np.zeros(len(line_start), dtype=np.int64)
+        return np.zeros(0, dtype=np.int64), np.zeros(len(line_start), dtype=np.int64)
     inside = _CLASS[raw] > NEWLINE
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     starts_of_text = at[:-1][np.diff(at) > 0]
     first[starts_of_text] = inside[starts_of_text]
-    place = np.flatnonzero(first)
-    owner = np.searchsorted(line_start, place, side="right") - 1
+    owner = np.searchsorted(line_start, np.flatnonzero(first), side="right") - 1
     echo = np.zeros(len(words), dtype=bool)
     echo[1:] = (words[1:] == words[:-1]) & (owner[1:] == owner[:-1])
-    n = len(line_start)
-    return np.bincount(owner, minlength=n), np.bincount(owner, weights=echo, minlength=n).astype(np.int64)
+    return owner, np.bincount(owner, weights=echo, minlength=len(line_start)).astype(np.int64)

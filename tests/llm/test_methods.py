@@ -696,3 +696,39 @@ def test_no_key_fills_a_shard(spark, make_docs, monkeypatch):
     for r in rows:
         texts[r["shard"]] += len(r["keys"])
     assert sum(texts.values()) == 2000 and len(texts) == 25 and max(texts.values()) < 200
+
+
+def test_recurring_lines_against_plain_counts(spark, make_docs):
+    rng = random.Random(15)
+    common = ["sign up for news", "über uns", "all rights reserved"]
+    texts = []
+    for i in range(60):
+        own = [f"line {i} {j} of its own" for j in range(6)]
+        for line in common:
+            if rng.random() < 0.5:
+                own.insert(rng.randrange(len(own) + 1), line)
+        texts.append("\n".join(own))
+    texts += [texts[0]] * 30 + [texts[1].replace("1 3", "1 x")] * 20 + [None, "", "\n\n"]  # copies bring no new contexts
+    around, times = collections.defaultdict(set), collections.Counter()
+    for t in texts:
+        own = (t or "").split("\n") if t is not None else []
+        for j, line in enumerate(own):
+            around[line].add((own[j - 1] if j else None, own[j + 1] if j + 1 < len(own) else None))
+            times[line] += 1
+    docs = make_docs([(i, t, "en", "s") for i, t in enumerate(texts)]).repartition(3)
+    import xxhash
+
+    key = {line: int(np.uint64(xxhash.xxh64_intdigest(line.encode(), 42)).astype(np.int64)) for line in around if line}
+    asked = spark.createDataFrame([(k,) for k in key.values()], "key bigint")
+    got = {r["key"] for r in lines.recurring(docs, asked, "text", 3).collect()}
+    want = {line for line in key if len(around[line]) >= 3 and len(around[line]) >= 0.5 * times[line]}
+    assert got == {key[line] for line in want} and 0 < len(want) <= 3
+    model = lines.learn(docs)
+    assert set(model.lexicon.tolist()) <= {int(h) for line in want for h in words.word_hashes(pa.array([line]), fold=False)[0]}
+
+
+def test_verdicts_agree_with_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    got = QUERIES["op5_quality_rules"](spark, sf).join(table(spark, sf, "labels"), "doc_id").where("NOT base_failed").collect()
+    good, bad = ([r["kept"] for r in got if r["quality"] == q] for q in (1, 0))
+    assert np.mean(good) >= 0.99 and np.mean(bad) <= 0.02 and len(bad) > 20
