@@ -20,7 +20,8 @@ order and over the totals of buckets, so a source may hold any share of the
 rows.
 
 A draw carries the hash of its whole row, so rows that share a key, or have
-none, are told apart; it also breaks ties of the order of draws.
+none, are told apart; with the key it gives their place in the order of draws,
+so a key that very many rows have is dealt over all buckets.
 
 Defined results: a null source is a source of its own; sources without tokens
 have weight 0 and get no draws, but where no row is to be left out every row of
@@ -140,16 +141,18 @@ def before(rows: DataFrame, group: list[str], key: str) -> DataFrame:
 
 
 def draw(work: Workspace, docs: DataFrame, weighed: DataFrame, key: str = "doc_id", blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
-    """(``key``, source, tokens, row, copies, pass, block, place) of each draw; docs has key, source, tokens, row and copies."""
+    """(``key``, source, tokens, row, copies, pass, block, place) of each draw; docs has key, source, tokens, row, copies and alone."""
     passes = F.sequence(F.lit(0), F.greatest(F.ceil(F.try_divide("quota", "all")) - 1, F.lit(0)).cast("int"))
     known = weighed.select(F.col("source").alias("_source"), F.col("tokens").alias("all"), "rows", "quota").where("quota > 0 OR all = 0").withColumn("passes", passes)
-    rows = docs.select(key, "source", "tokens", "row", "copies").join(known, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    rows = docs.select(key, "source", "tokens", "row", "copies", "alone").join(known, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rows = rows.withColumn("pass", F.explode("passes")).drop("passes")
-    h = F.xxhash64(F.lit(seed), F.col("pass"), F.col(key))
+    # Rows that share a key, or have none, are told apart by their hash, so that no bucket holds them all.
+    own = [F.lit(seed), F.col("pass"), F.col(key)]
+    h = F.when(F.col("alone"), F.xxhash64(*own)).otherwise(F.xxhash64(*own, F.col("row")))
     # The upper 31 bits of the hash, as a share, deal rows out to buckets in hash order.
     share = (F.shiftrightunsigned(h, 33).cast("double")) / F.lit(float(1 << 31))
     rows = rows.withColumn("h", F.shiftrightunsigned(h, 1)).withColumn("bucket", F.floor(share * F.ceil(F.col("rows") / BUCKET_ROWS)).cast("long"))
-    waiting = rows.withColumn("taken", F.col("pass") * F.col("all")).drop("rows", "all")
+    waiting = rows.withColumn("taken", F.col("pass") * F.col("all")).drop("rows", "all", "alone")
     group = ["source", "pass"]
     drawn = None
     # What is left only shrinks, so a row that is longer is out for good; of the others, those before the first that doesn't fit are drawn.
@@ -171,12 +174,15 @@ def mix(spark: SparkSession, docs: DataFrame, budget_share: float | None = 1.0,
     """(draws, weights by source); the parameters are those of ``weigh``."""
     work = Workspace(spark, "mixing")
     counted = work.keep(docs.select(F.col(key), F.col(source).alias("source"), count_words(F.col(text)).alias("tokens"), row_hash(docs).alias("row")), "counted")
-    # How many rows are equal in all columns: 1 but for the few that this table has.
-    equal = work.keep(counted.groupBy(F.col(key).alias("_key"), F.col("row").alias("_row")).agg(F.count("*").alias("copies")).where("copies > 1"), "equal")
-    if equal.isEmpty():
-        rows = counted.withColumn("copies", F.lit(1).cast("long"))
+    # Rows whose key others have too, with how many are equal in all columns: none, in a table whose keys are unique.
+    shared = work.keep(counted.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n")).where("_n > 1"), "shared")
+    if shared.isEmpty():
+        rows = counted.withColumn("copies", F.lit(1).cast("long")).withColumn("alone", F.lit(True))
     else:
-        rows = counted.join(equal, F.col(key).eqNullSafe(F.col("_key")) & (F.col("row") == F.col("_row")), "left").drop("_key", "_row").withColumn("copies", F.coalesce("copies", F.lit(1)))
+        flagged = counted.join(shared, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn("alone", F.col("_n").isNull()).drop("_key", "_n")
+        equal = flagged.where("NOT alone").groupBy(F.col(key).alias("_key"), F.col("row").alias("_row")).agg(F.count("*").alias("copies")).where("copies > 1")
+        rows = flagged.join(equal, F.col(key).eqNullSafe(F.col("_key")) & (F.col("row") == F.col("_row")), "left").drop("_key", "_row").withColumn("copies", F.coalesce("copies", F.lit(1)))
+        rows = work.keep(rows, "rows")
     sources = work.keep(counted.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows")), "sources")
     total = sources.agg(F.sum("tokens")).first()[0] or 0
     if not total:

@@ -547,6 +547,19 @@ def test_a_draw_is_made_if_it_still_fits(spark, make_docs):
     assert all((i, 0) in got for i, (s, n) in enumerate(rows) if n == 40)
 
 
+@pytest.mark.parametrize("key", [None, 7])
+def test_no_key_fills_a_bucket(spark, make_docs, monkeypatch, key):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 20)
+    monkeypatch.setattr(mixing, "before", lambda rows, *a, before=mixing.before: sizes.append(rows.groupBy("source", "pass", "bucket").count().agg(F.max("count")).first()[0]) or before(rows, *a))
+    sizes = []
+    docs = make_docs([(key if i % 3 else i, f"w{i} " * (1 + i % 9), "en", "web") for i in range(1200)])
+    draws, _ = mixing.mix(spark, docs, 1.0)
+    assert draws.count() == 1200 and draws.select("row").distinct().count() == 1200
+    assert max(sizes) < 60
+    again, _ = mixing.mix(spark, docs.repartition(5), 1.0)
+    assert sorted(map(str, again.collect())) == sorted(map(str, draws.collect()))
+
+
 def test_covering_budget_leaves_no_row_out(spark, make_docs):
     docs = mixed_docs(make_docs)
     draws, _ = mixing.mix(spark, docs, None, 0.9, 4.0)
