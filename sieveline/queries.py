@@ -358,18 +358,22 @@ def gate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT * FROM (VALUES ('SA-PY-1', 'P1', '', ''), ('SA-JS-3', 'P2', '', ''), ('SEC-RX-1', 'P0', 'A03:2021 – Injection', ''), ('SEC-RX-4', 'P0', 'A07:2021 – 身份识别和身份验证失败', ''), ('SEC-RX-5', 'P0', 'A07:2021', ''),
+    """SELECT unnest(string_split(ids, ' ')) AS rule_id, severity, owasp, cwe FROM (VALUES
+    ('SA-PY-1', 'P1', '', ''), ('SA-PY-2 SA-PY-3 SA-PY-4 SA-PY-5 SA-PY-6 SA-PY-7 SA-JS-1 SA-JS-2 SA-JS-3', 'P2', '', ''),
+    ('SEC-RX-1 SEC-RX-2 SEC-RX-3 SEC-RX-8', 'P0', 'A03:2021 – Injection', ''), ('SEC-RX-4', 'P0', 'A07:2021 – 身份识别和身份验证失败', ''), ('SEC-RX-5', 'P0', 'A07:2021', ''),
     ('SEC-RX-6', 'P0', 'A03:2021 – Injection (XSS)', ''), ('SEC-RX-7', 'P1', 'A03:2021', ''), ('SEC-RX-9', 'P0', 'A01:2021', ''), ('SEC-RX-10', 'P1', 'A09:2021 – 安全日志记录和监控故障', ''), ('SEC-RX-11', 'P2', 'A02:2021 – 加密机制失效', ''),
     ('SEC-AST-1', 'P0', 'A03:2021 – Injection', ''), ('SEC-AST-2', 'P0', 'A08:2021 – 软件和数据完整性故障', ''), ('SEC-AST-3', 'P1', 'A03:2021 – Injection', ''), ('SEC-AST-4', 'P0', 'A08:2021', ''),
-    ('AUD-INJ-1', 'critical', 'A03:2021 – Injection', 'CWE-89'), ('AUD-INJ-7', 'critical', 'A03:2021 – Injection', 'CWE-78'), ('AUD-ACC-1', 'high', 'A01:2021 – 访问控制失效', 'CWE-862'), ('AUD-SEN-1', 'critical', 'A04:2021 – 不安全的设计', 'CWE-798'),
-    ('AUD-SEN-5', 'high', 'A02:2021 – 加密机制失效', 'CWE-319'), ('AUD-XSS-2', 'high', 'A03:2021 – Injection (XSS)', 'CWE-79'), ('AUD-DES-5', 'high', 'A08:2021 – 软件和数据完整性故障', 'CWE-502'), ('AUD-LOG-1', 'medium', 'A09:2021 – 安全日志记录和监控故障', 'CWE-532'),
-    ('AUD-AST-1', 'critical', 'A07:2021 – 身份识别和身份验证失败', 'CWE-798'), ('AUD-PTH-1', 'high', 'A01:2021 – 访问控制失效', 'CWE-22'), ('AUD-CRY-1', 'medium', 'A02:2021 – 加密机制失效', 'CWE-328'), ('AUD-CRY-4', 'medium', 'A02:2021 – 加密机制失效', 'CWE-338')
-    ) AS t(rule_id, severity, owasp, cwe)"""
+    ('AUD-INJ-1 AUD-INJ-2 AUD-INJ-3 AUD-INJ-4', 'critical', 'A03:2021 – Injection', 'CWE-89'), ('AUD-INJ-5 AUD-INJ-6 AUD-INJ-7', 'critical', 'A03:2021 – Injection', 'CWE-78'), ('AUD-ACC-1', 'high', 'A01:2021 – 访问控制失效', 'CWE-862'),
+    ('AUD-SEN-1 AUD-SEN-2 AUD-SEN-3 AUD-SEN-4', 'critical', 'A04:2021 – 不安全的设计', 'CWE-798'), ('AUD-SEN-5', 'high', 'A02:2021 – 加密机制失效', 'CWE-319'),
+    ('AUD-XSS-1 AUD-XSS-4', 'critical', 'A03:2021 – Injection (XSS)', 'CWE-79'), ('AUD-XSS-2 AUD-XSS-3 AUD-XSS-5', 'high', 'A03:2021 – Injection (XSS)', 'CWE-79'),
+    ('AUD-DES-1 AUD-DES-2 AUD-DES-3 AUD-DES-4', 'critical', 'A08:2021 – 软件和数据完整性故障', 'CWE-502'), ('AUD-DES-5', 'high', 'A08:2021 – 软件和数据完整性故障', 'CWE-502'),
+    ('AUD-LOG-1 AUD-LOG-2 AUD-LOG-3 AUD-LOG-4 AUD-LOG-5', 'medium', 'A09:2021 – 安全日志记录和监控故障', 'CWE-532'), ('AUD-AST-1', 'critical', 'A07:2021 – 身份识别和身份验证失败', 'CWE-798'),
+    ('AUD-PTH-1 AUD-PTH-2 AUD-PTH-3', 'high', 'A01:2021 – 访问控制失效', 'CWE-22'), ('AUD-CRY-1 AUD-CRY-2', 'medium', 'A02:2021 – 加密机制失效', 'CWE-328'), ('AUD-CRY-3 AUD-CRY-4', 'medium', 'A02:2021 – 加密机制失效', 'CWE-338')
+    ) AS t(ids, severity, owasp, cwe)"""
 )
 def rule_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The catalogue's facts, one rule of each kind, against values that are stated by hand."""
-    kinds = "SA-PY-1 SA-JS-3 SEC-RX-1 SEC-RX-4 SEC-RX-5 SEC-RX-6 SEC-RX-7 SEC-RX-9 SEC-RX-10 SEC-RX-11 SEC-AST-1 SEC-AST-2 SEC-AST-3 SEC-AST-4 AUD-INJ-1 AUD-INJ-7 AUD-ACC-1 AUD-SEN-1 AUD-SEN-5 AUD-XSS-2 AUD-DES-5 AUD-LOG-1 AUD-AST-1 AUD-PTH-1 AUD-CRY-1 AUD-CRY-4"
-    return catalogue(spark).where(F.col("rule_id").isin(*kinds.split())).select("rule_id", "severity", "owasp", "cwe")
+    """Severity, OWASP category and CWE of every rule, against values that are stated by hand."""
+    return catalogue(spark).select("rule_id", "severity", "owasp", "cwe")
 
 
 @query()
