@@ -10,7 +10,11 @@ found until every component is whole, not all written out.
    number of its sets that have it, in how many sets the shingle occurs at all.
    Parts of the hash range answer; shingles of one set only are dropped from
    the answer, as no other set shares them.  A set that keeps less than 75 % of
-   its shingles links with nothing and is done.
+   its shingles links with nothing and is done.  Of more than 1 << FAN parts
+   each batch addresses the upper FAN bits only: routers, one for each of these
+   and each group of batches, sum up what their batches ask, ask the parts and
+   send the answers back.  So no message is a shingle or few, and a shingle
+   that every batch has is asked once a router.
 3. Index.  The shingles of a set stand in the order (frequency, hash), rarest
    first.  Linked sets share a shingle within their first n - ceil(0.75 n) + 1,
    so only those are posted, with their position, in lists that are cut into
@@ -62,6 +66,8 @@ BLOCK = 1.08
 #: Bytes of text whose shingles one task handles at once, and that one part of the hash range answers for.
 TOGETHER = 4 << 20
 PART_BYTES = 4 << 20
+#: A batch addresses 1 << FAN parts at most, and so does a router: enough for 1 << 2 * FAN parts.
+FAN = 13
 #: Rounds of offers against heads before the pairs that remain are verified.
 MOST_ROUNDS = 3
 #: Rounds end when one adds less than this part of all links.
@@ -69,7 +75,7 @@ ENOUGH = 50
 #: Sets in a list, or in a sublist of a longer one.
 LONG = 1024
 REPEATED = 0xFFFFFFFF
-ASK, SETS, SHARED = 0, 1, 2
+ASK, SETS, SHARED, HELD = 0, 1, 2, 3
 _U = np.uint64
 
 MESSAGE = "part int, batch bigint, kind int, n binary, a binary, b binary, c binary"
@@ -164,6 +170,74 @@ def ask(docs: DataFrame, bits: int, carried: list[str], text: str) -> DataFrame:
     return spread(docs.select(text, *carried)).mapInArrow(trimmed(run), MESSAGE)
 
 
+def gather(messages: DataFrame, bits: int) -> DataFrame:
+    """Messages to the upper FAN bits become those of routers: ASK to each part, once for each shingle, and HELD (who asked) to the router itself; other messages pass."""
+    spare = bits - FAN
+
+    def run(table: pa.Table) -> pa.Table:
+        out = gathered(table)
+        give_back()
+        return out
+
+    def gathered(table: pa.Table) -> pa.Table:
+        home = table.column("part")[0].as_py() << spare | table.column("salt")[0].as_py()
+        router = -1 - home  # batches have numbers from 0
+        table = table.drop_columns("salt").set_column(0, "part", pa.array(np.full(table.num_rows, home, dtype=np.int32)))
+        asked = pa.compute.equal(table.column("kind"), ASK)
+        rest = table.filter(pa.compute.invert(asked))
+        table = table.filter(asked)
+        if not table.num_rows:
+            return rest
+        tokens = [_of_gaps(b) for b in table.column("a").to_pylist()]
+        batch = np.repeat(table.column("batch").to_numpy(), [len(t) for t in tokens])
+        counts, who = (np.concatenate([_of_planes(b, "u4") for b in table.column(c).to_pylist()]) for c in ("b", "c"))
+        tokens = np.concatenate(tokens)
+        order = np.argsort(tokens, kind="stable")
+        tokens = tokens[order]
+        heads = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
+        total = np.minimum(np.add.reduceat(counts[order].astype(np.uint64), heads), REPEATED).astype(np.uint32)
+        distinct = tokens[heads]
+        parts = distinct >> _U(64 - bits)  # ascending
+        edges = np.flatnonzero(np.append(True, parts[1:] != parts[:-1])).tolist()
+        rows = [(int(parts[a]), router, ASK, None, _gaps(distinct[a:b]), _planes(total[a:b]), None) for a, b in zip(edges, [*edges[1:], len(distinct)])]
+        rows.append((home, router, HELD, _planes(batch[order]), _gaps(tokens), None, _planes(who[order])))
+        return pa.concat_tables([pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(rest.schema.types)], rest.schema.names), rest])
+
+    salt = F.pmod(F.xxhash64("batch"), F.lit(1 << spare)).cast("int")
+    return messages.withColumn("salt", salt).groupBy("part", "salt").applyInArrow(run, MESSAGE)
+
+
+def scatter(answers: DataFrame) -> DataFrame:
+    """What routers were answered, as a message to each batch that asked; other messages pass."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = scattered(table)
+        give_back()
+        return out
+
+    def scattered(table: pa.Table) -> pa.Table:
+        held = table.filter(pa.compute.equal(table.column("kind"), HELD)).to_pylist()
+        if not held:
+            return table
+        known = table.filter(pa.compute.equal(table.column("kind"), ASK))
+        found = np.concatenate([_of_gaps(b) for b in known.column("a").to_pylist()])
+        rate = np.concatenate([_of_planes(b, "u4") for b in known.column("b").to_pylist()])
+        order = np.argsort(found)
+        found, rate = found[order], rate[order]
+        tokens, batch, who = _of_gaps(held[0]["a"]), _of_planes(held[0]["n"], "i8"), _of_planes(held[0]["c"], "u4")
+        at = np.searchsorted(found, tokens)
+        at[at == len(found)] = 0
+        kept = found[at] == tokens if len(found) else np.zeros(len(tokens), dtype=bool)
+        tokens, rate, batch, who = tokens[kept], rate[at[kept]], batch[kept], who[kept]
+        order = np.argsort(batch, kind="stable")  # shingles stay in order
+        tokens, rate, batch, who = tokens[order], rate[order], batch[order], who[order]
+        edges = np.flatnonzero(np.append(True, batch[1:] != batch[:-1])).tolist() if len(batch) else []
+        rows = [(0, int(batch[a]), ASK, None, _gaps(tokens[a:b]), _planes(rate[a:b]), _planes(who[a:b])) for a, b in zip(edges, [*edges[1:], len(batch)])]
+        return pa.table([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(table.schema.types)], table.schema.names)
+
+    return answers.groupBy("batch").applyInArrow(run, MESSAGE)
+
+
 def answer(messages: DataFrame) -> DataFrame:
     """In each part: ASK becomes the shingles found in several sets with their frequency; other messages pass."""
 
@@ -189,13 +263,20 @@ def answer(messages: DataFrame) -> DataFrame:
             keep = f > 1
             out_a.append(_gaps(t[keep]))
             out_b.append(_planes(np.minimum(f[keep], REPEATED).astype(np.uint32)))
-            out_c.append(_planes(w[keep]))
+            out_c.append(_planes(w[keep] if len(w) else w))  # a router holds itself who asked
         table = table.set_column(4, "a", pa.array(out_a, pa.binary())).set_column(5, "b", pa.array(out_b, pa.binary())).set_column(6, "c", pa.array(out_c, pa.binary()))
         return pa.concat_tables([table, rest.cast(table.schema)])
 
     return messages.groupBy("part").applyInArrow(run, MESSAGE)
 
 
+def answers_to(docs: DataFrame, bits: int, carried: list[str], text: str) -> DataFrame:
+    """Messages to each batch: its SETS and SHARED, and its ASK answered; by way of routers where there are more than 1 << FAN parts."""
+    if bits <= FAN:
+        return answer(ask(docs, bits, carried, text))
+    return scatter(answer(gather(ask(docs, FAN, carried, text), min(bits, 2 * FAN))))
+
+
 def assemble(answers: DataFrame, carried: list[str], fields: str) -> DataFrame:
     """Per row: what is carried, n, sid (16 bytes; null for the empty set), and for one row of each set that may link, its shared shingles in order and how many are posted."""
 
@@ -419,7 +500,7 @@ def members(spark: SparkSession, docs: DataFrame, carried: list[str], key: str,
     work = Workspace(spark, "jaccard")
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
     bits = max(4, math.ceil(math.log2(max(1, total_bytes(docs, text)) / PART_BYTES + 1)))
-    rows = work.keep(assemble(answer(ask(docs, bits, carried, text)), carried, fields), "rows")
+    rows = work.keep(assemble(answers_to(docs, bits, carried, text), carried, fields), "rows")
     # One row a set; equal sets of different batches carry the same shingles.
     sets = work.keep(rows.where(F.col("tokens").isNotNull()).groupBy("sid").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.max("posted").alias("posted")).where("posted > 0"), "sets")
     postings = dealt(post(sets), work)

@@ -103,6 +103,36 @@ def test_pairs_of_the_last_step_are_whole(spark, make_docs, monkeypatch):
     assert got == components_of(docs)
 
 
+@pytest.mark.parametrize("fan", [2, 3, 5])
+def test_routers_change_no_component(spark, make_docs, monkeypatch, fan):
+    monkeypatch.setattr(jaccard, "TOGETHER", 4000)
+    monkeypatch.setattr(jaccard, "PART_BYTES", 1000)  # more parts than a batch addresses; with 2, more than two levels have
+    monkeypatch.setattr(jaccard, "FAN", fan)
+    docs = near_copies(4)
+    df = make_docs([(i, t, "en", "s") for i, t in docs]).repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.link(spark, df).collect()}
+    assert got == components_of(docs)
+
+
+def test_a_shingle_of_every_batch_is_asked_once_a_router(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "TOGETHER", 400)
+    monkeypatch.setattr(jaccard, "FAN", 3)
+    rng = random.Random(6)
+    docs = make_docs([(i, "one two three four five " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(60)), "en", "s") for i in range(200)]).repartition(4)
+    routed = jaccard.gather(jaccard.ask(docs, 3, ["doc_id"], "text"), 6).collect()
+    asked = [r for r in routed if r["kind"] == jaccard.ASK]
+    counts = [dict(zip(jaccard._of_gaps(r["a"]).tolist(), jaccard._of_planes(r["b"], "u4").tolist())) for r in asked]
+    total = {}
+    for c in counts:
+        for t, n in c.items():
+            total[t] = total.get(t, 0) + n
+    often = max(total, key=total.get)
+    batches = len({r["batch"] for r in routed if r["kind"] == jaccard.SETS})
+    assert total[often] == 200 and batches > 100 and sum(often in c for c in counts) <= 8
+    assert len({(r["part"], r["batch"]) for r in asked}) == len(asked) and max(sum(r["batch"] == x for r in asked) for x in {r["batch"] for r in asked}) <= 8
+    assert all(np.all(jaccard._of_gaps(r["a"]) >> np.uint64(58) == r["part"]) for r in asked)
+
+
 # 4: secret scans
 
 
