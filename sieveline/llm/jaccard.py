@@ -57,7 +57,7 @@ from pyspark.sql import functions as F
 
 from ..sources.spread import spread
 from .language import pieces_of
-from .shared import Workspace, give_back, row_hash, total_bytes, trimmed, unused
+from .shared import Workspace, give_back, row_hash, steady, total_bytes, trimmed, unused
 from .words import mix, shingles, word_hashes
 
 PERCENT = 75
@@ -167,7 +167,7 @@ def ask(docs: DataFrame, bits: int, carried: list[str], text: str) -> DataFrame:
                     chunk = rows[a : a + 64]
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in chunk], kind) for k, kind in enumerate(kinds)], ["part", "batch", "kind", "n", "a", "b", "c"])
 
-    return spread(docs.select(text, *carried)).mapInArrow(trimmed(run), MESSAGE)
+    return steady(spread(docs.select(text, *carried))).mapInArrow(trimmed(run), MESSAGE)
 
 
 def gather(messages: DataFrame, bits: int) -> DataFrame:

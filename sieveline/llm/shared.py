@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..sources.kept import Workspace, checkpoint_dir, scratch, unused
 
-__all__ = ["Workspace", "checkpoint_dir", "give_back", "held_out", "row_hash", "sample", "scratch", "total_bytes", "trimmed", "unused"]
+__all__ = ["Workspace", "checkpoint_dir", "give_back", "held_out", "row_hash", "sample", "scratch", "steady", "total_bytes", "trimmed", "unused"]
 
 
 def give_back() -> None:
@@ -43,6 +44,18 @@ def row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*[x for i, f in enumerate(df.schema) for x in (F.when(name(f).isNull(), F.lit(i)), name(f) if plain(f) else F.to_json(F.struct(name(f))))])
 
 
+def steady(df: DataFrame) -> DataFrame:
+    """df in an order that a task that runs again sees too, for operators that number rows by their place in a task.
+
+    What comes from a shuffle arrives in any order, so it is sorted by hash
+    within each partition; a plain scan stays as it is.
+    """
+    if not re.search(r"\bExchange ", df._jdf.queryExecution().executedPlan().toString()):
+        return df
+    (h,) = unused(df.columns, "_h")
+    return df.withColumn(h, row_hash(df)).sortWithinPartitions(h).drop(h)
+
+
 def sample(rows: DataFrame, most: int) -> DataFrame:
     """At most ``most`` different rows, those with the least hash, with the column ``_h``.
 

@@ -218,6 +218,16 @@ def test_models_do_not_depend_on_the_order_of_rows(spark, make_docs):
     assert all((m.weights == by_lines[0].weights).all() for m in by_lines)
 
 
+def test_numbers_do_not_depend_on_the_order_of_arrival(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "TOGETHER", 2000)
+    rows = [(i % 40, long_text(i % 90), "en", "s") for i in range(120)] + [(1, None, "en", "s"), (None, "", "en", "s")]
+    arrivals = [make_docs(r).repartition(1) for r in (rows, rows[::-1], rows[50:] + rows[:50])]
+    sent = [sorted(map(repr, jaccard.ask(d, 3, ["doc_id"], "text").collect())) for d in arrivals]
+    assert sent[0] == sent[1] == sent[2] and len(sent[0]) > 30
+    placed = [sorted(map(repr, packing.encode(d, ranks(), 50256, "doc_id", "text").collect())) for d in arrivals]
+    assert placed[0] == placed[1] == placed[2]
+
+
 def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
     from types import SimpleNamespace
 
