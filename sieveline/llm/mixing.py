@@ -59,14 +59,13 @@ def measures(shares: DataFrame, exponents: list[float], budget_share: float | No
     ``budget_share``: the budget as a share of all tokens; None for the least
     budget that covers every source once.
     """
-    s = F.col("share")
-    aggs = []
-    for i, a in enumerate(exponents):
-        p, rate = F.pow(s, F.lit(a)), F.pow(s, F.lit(a - 1))
-        aggs += [F.sum(p).alias(f"z{i}"), F.sum(p * F.log(s)).alias(f"e{i}"), F.max(rate).alias(f"most{i}"), F.min(rate).alias(f"least{i}")]
-    r = shares.agg(*aggs).first()
-    repeats = lambda i: r[f"most{i}"] / r[f"least{i}"] if budget_share is None else r[f"most{i}"] / r[f"z{i}"] * budget_share
-    return [(math.log(r[f"z{i}"]) - a * r[f"e{i}"] / r[f"z{i}"], repeats(i)) for i, a in enumerate(exponents)]
+    # Exponents are data, so that all calls run the same generated code.
+    each = shares.select("share", F.posexplode(F.array(*[F.lit(float(a)) for a in exponents])).alias("i", "a"))
+    p, rate = F.pow("share", F.col("a")), F.pow("share", F.col("a") - 1)
+    found = each.groupBy("i").agg(F.sum(p).alias("z"), F.sum(p * F.log("share")).alias("e"), F.max(rate).alias("most"), F.min(rate).alias("least")).collect()  # a row an exponent
+    of = {r["i"]: r for r in found}
+    repeats = lambda r: r["most"] / r["least"] if budget_share is None else r["most"] / r["z"] * budget_share
+    return [(math.log(of[i]["z"]) - a * of[i]["e"] / of[i]["z"], repeats(of[i])) for i, a in enumerate(exponents)]
 
 
 def bisect(shares: DataFrame, holds: Callable[[float, float], bool], budget_share: float | None, upward: bool) -> float:
