@@ -5,7 +5,8 @@ Two texts link if their sets of distinct five-word shingles have 100 * |A & B|
 found until every component is whole, not all written out.
 
 1. Sets.  Each batch of texts becomes sets of 64-bit shingle hashes and a
-   128-bit digest of each set.  Equal sets are one set from here on.
+   128-bit digest of each set.  Equal sets are one set from here on; those
+   that may link get a number, which stands for them in all that follows.
 2. Frequencies.  A batch asks for each of its distinct shingles, once with the
    number of its sets that have it, in how many sets the shingle occurs at all.
    Parts of the hash range answer; shingles of one set only are dropped from
@@ -24,7 +25,8 @@ found until every component is whole, not all written out.
    A list of more than LONG sets is dealt to sublists of about that many; what
    is known of a list is sent to each of them, so no task has a long list.
 4. Answers.  In each round every list offers its members against one of them,
-   the head; pairs of one component are never offered again.  When rounds link
+   the head; pairs of one component are never offered again, and a list whose
+   sets are all of one component is left out for good.  When rounds link
    little more, the pairs across components that remain are verified, except
    those that a similar set's answers settle: if a is linked to a head h with
    known overlap, then |a & b| <= |h & b| + |a - h|, and the pair is skipped if
@@ -91,13 +93,19 @@ def _bytes(x: np.ndarray) -> bytes:
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Integers byte by byte, the least first: bytes that are mostly zero stand together and compress."""
-    return np.ascontiguousarray(x.astype(x.dtype.newbyteorder("<")).view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+    """How many integers, and these byte by byte, the least first: bytes that have few values stand together and are coded by their entropy, which shuffles' LZ4 doesn't do."""
+    if not len(x):
+        return b""
+    planes = np.ascontiguousarray(x.astype(x.dtype.newbyteorder("<")).view(np.uint8).reshape(len(x), x.itemsize).T)
+    return len(x).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def _of_planes(b: bytes | None, dtype: str) -> np.ndarray:
+    if not b:
+        return np.empty(0, dtype="<" + dtype)
     size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(b or b"", dtype=np.uint8).reshape(size, -1).T).view("<" + dtype).reshape(-1)
+    planes = pa.decompress(memoryview(b)[8:], decompressed_size=size * int.from_bytes(b[:8], "little"), codec="zstd")
+    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(size, -1).T).view("<" + dtype).reshape(-1)
 
 
 def _gaps(tokens: np.ndarray) -> bytes:
@@ -270,11 +278,14 @@ def answer(messages: DataFrame) -> DataFrame:
     return messages.groupBy("part").applyInArrow(run, MESSAGE)
 
 
-def answers_to(docs: DataFrame, bits: int, carried: list[str], text: str) -> DataFrame:
-    """Messages to each batch: its SETS and SHARED, and its ASK answered; by way of routers where there are more than 1 << FAN parts."""
+def answers_to(docs: DataFrame, bits: int, carried: list[str], text: str, work: Workspace) -> DataFrame:
+    """Messages to each batch: its SETS and SHARED, and its ASK answered; by way of routers where there are more than 1 << FAN parts.
+
+    Answers are written before they are dealt, so what was asked, which is far more, goes first.
+    """
     if bits <= FAN:
-        return answer(ask(docs, bits, carried, text))
-    return scatter(answer(gather(ask(docs, FAN, carried, text), min(bits, 2 * FAN))))
+        return work.keep(answer(ask(docs, bits, carried, text)), "answers")
+    return scatter(work.keep(answer(gather(ask(docs, FAN, carried, text), min(bits, 2 * FAN))), "answers"))
 
 
 def assemble(answers: DataFrame, carried: list[str], fields: str) -> DataFrame:
@@ -331,7 +342,7 @@ def assemble(answers: DataFrame, carried: list[str], fields: str) -> DataFrame:
 
 
 def post(sets: DataFrame) -> DataFrame:
-    """(token, sid, n, rest, block): rest is how many shingles of the set stand at or after this position."""
+    """(token, before, sid, n, rest, block): before is the shingle that stands before it in the set (0: none), rest is how many stand at or after this position."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -343,14 +354,15 @@ def post(sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate(firsts) if firsts else np.empty(0, dtype=np.int64), pa.int64()),
+                    pa.array(np.concatenate([np.append(0, f)[: len(f)] for f in firsts]) if firsts else np.empty(0, dtype=np.int64), pa.int64()),
                     batch.column("sid").take(pa.array(owner)),
                     batch.column("n").take(pa.array(owner)),
                     pa.array(np.concatenate(rest) if rest else np.empty(0, dtype=np.int64), pa.int64()),
                 ],
-                ["token", "sid", "n", "rest"],
+                ["token", "before", "sid", "n", "rest"],
             )
 
-    return sets.select("sid", "n", "tokens", "posted").mapInArrow(trimmed(run), "token bigint, sid binary, n bigint, rest bigint").withColumn("block", block_of(F.col("n")))
+    return sets.select("sid", "n", "tokens", "posted").mapInArrow(trimmed(run), "token bigint, before bigint, sid bigint, n bigint, rest bigint").withColumn("block", block_of(F.col("n")))
 
 
 def block_of(size: Column) -> Column:
@@ -375,7 +387,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     of = lambda side: sets.select(F.col("sid").alias(side), F.col("n").alias(f"n{side}"), F.col("tokens").alias(f"t{side}"))
     joined = pairs.select("a", "b").join(of("b"), "b").join(of("a"), "a")
-    return joined.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(trimmed(run), "a binary, b binary, overlap bigint, linked boolean")
+    return joined.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(trimmed(run), "a bigint, b bigint, overlap bigint, linked boolean")
 
 
 def star(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
@@ -419,11 +431,9 @@ def roots_of(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
 
 
-def rooted(postings: DataFrame, edges: DataFrame | None) -> DataFrame:
-    """postings with the root of each set's component; a set without links is its own."""
-    if edges is None:
-        return postings.withColumn("root", F.col("sid"))
-    return postings.join(roots_of(edges).withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+def rooted(sets: DataFrame, edges: DataFrame) -> DataFrame:
+    """sets, or postings, with the root of each set's component; a set without links is its own."""
+    return sets.drop("root").join(roots_of(edges).withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
 
 
 def each_sublist(lists: DataFrame) -> DataFrame:
@@ -439,12 +449,12 @@ def to_sublists(rows: DataFrame, groups: DataFrame, by: str, work: Workspace) ->
 
 
 def dealt(postings: DataFrame, work: Workspace) -> DataFrame:
-    """postings of lists with several sets, with the sublist (salt) and how many the list has (parts)."""
-    # Counted before rows meet by token, so that a long list is never one task's.
-    lists = postings.groupBy("token").agg(F.min("sid").alias("_low"), F.max("sid").alias("_high"), F.count("*").alias("_n")).where("_low != _high")
+    """postings of lists with several sets, with the sublist (salt) and how many the list has (parts); each set is its own root."""
+    # Counted before rows meet by token, so that a long list is never one task's.  A set stands in a list once.
+    lists = postings.groupBy("token").agg(F.count("*").alias("_n")).where("_n > 1")
     lists = work.keep(lists.select("token", F.ceil(F.col("_n") / LONG).cast("int").alias("parts")), "lists")
     rows, each = to_sublists(postings, lists, "token", work)
-    out = work.keep(rows.join(each, ["token", "salt"], "left_semi"), "postings")
+    out = work.keep(rows.join(each, ["token", "salt"], "left_semi").withColumn("root", F.col("sid")), "postings")
     work.drop("lists", "long-token")
     return out
 
@@ -462,26 +472,25 @@ def could_link(na, nb, rest_a, rest_b):
 
 def offers(postings: DataFrame, turn: int) -> DataFrame:
     """Pairs of one member of each component in a sublist against the list's head.  The head changes with ``turn``."""
-    lists = open_lists(postings)
     # At first the same sets are heads everywhere, which makes few pairs; then every list has its own.
     near = F.struct((F.xxhash64("sid", "token", F.lit(turn)) if turn else F.xxhash64("sid")).alias("h"), "sid", "root", "n")
-    member = lists.groupBy("token", "salt", "root").agg(F.min(near).alias("m"), F.max("parts").alias("parts"))
-    head = each_sublist(member.groupBy("token").agg(F.min("m").alias("h"), F.max("parts").alias("parts")))
+    member = postings.groupBy("token", "salt", "root").agg(F.min(near).alias("m"), F.max("parts").alias("parts"))
+    head = each_sublist(postings.groupBy("token").agg(F.min(near).alias("h"), F.max("parts").alias("parts")))
     pair = member.join(head, ["token", "salt"]).where("m.root != h.root").where(F.least("m.n", "h.n") * 100 >= F.greatest("m.n", "h.n") * PERCENT)
     return pair.select(F.least("m.sid", "h.sid").alias("a"), F.greatest("m.sid", "h.sid").alias("b")).distinct()
 
 
 def remaining(postings: DataFrame, tests: DataFrame) -> DataFrame:
     """Pairs across components that could still link, without those already verified or settled by a similar set's answers."""
-    lists = open_lists(postings)
     # A set looks for sets that aren't larger.  From this position on its partner's size is bounded, so are the blocks to visit.
     most = F.least(F.col("n"), F.floor(F.col("rest") * (100 + PERCENT) / F.lit(PERCENT)) - F.col("n"))
     least = F.greatest(F.floor(F.col("n") * PERCENT / F.lit(100)), F.lit(1))
     blocks = F.sequence(block_of(least), block_of(most))
-    left = each_sublist(lists.where(most >= least).drop("salt")).select("token", "salt", F.explode(blocks).alias("block"), F.col("sid").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"), F.col("root").alias("ca"))
-    right = lists.select("token", "salt", "block", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"), F.col("root").alias("cb"))
+    left = each_sublist(postings.where(most >= least).drop("salt")).select("token", "salt", F.explode(blocks).alias("block"), F.col("sid").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"), F.col("root").alias("ca"), F.col("before").alias("ta"))
+    right = postings.select("token", "salt", "block", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"), F.col("root").alias("cb"), F.col("before").alias("tb"))
     # At the first shingle that a pair shares, what stands from there on must be enough; so lists where it isn't need not offer the pair.
-    pairs = left.join(right, ["token", "salt", "block"]).where("(na > nb OR na = nb AND a > b) AND ca != cb").where(could_link(F.col("na"), F.col("nb"), F.col("ra"), F.col("rb")))
+    # Where they share the shingle before it too, an earlier list offers it: sets that share a long passage meet once, not once a shingle.
+    pairs = left.join(right, ["token", "salt", "block"]).where("(na > nb OR na = nb AND a > b) AND ca != cb AND (ta != tb OR ta = 0)").where(could_link(F.col("na"), F.col("nb"), F.col("ra"), F.col("rb")))
     ordered = lambda x, y: F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y))
     pairs = pairs.select(ordered("a", "b").alias("a"), ordered("b", "a").alias("b"), ordered("na", "nb").alias("na"), ordered("nb", "na").alias("nb")).distinct()
     pairs = pairs.join(tests.select("a", "b"), ["a", "b"], "left_anti")
@@ -500,13 +509,16 @@ def members(spark: SparkSession, docs: DataFrame, carried: list[str], key: str,
     work = Workspace(spark, "jaccard")
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
     bits = max(4, math.ceil(math.log2(max(1, total_bytes(docs, text)) / PART_BYTES + 1)))
-    rows = work.keep(assemble(answers_to(docs, bits, carried, text), carried, fields), "rows")
+    rows = work.keep(assemble(answers_to(docs, bits, carried, text, work), carried, fields), "rows")
+    work.drop("answers")
     # One row a set; equal sets of different batches carry the same shingles.
-    sets = work.keep(rows.where(F.col("tokens").isNotNull()).groupBy("sid").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.max("posted").alias("posted")).where("posted > 0"), "sets")
-    postings = dealt(post(sets), work)
+    sets = rows.where(F.col("tokens").isNotNull()).groupBy(F.col("sid").alias("digest")).agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.max("posted").alias("posted")).where("posted > 0")
+    # Numbers differ by run, but are only ever read from this table.
+    sets = work.keep(sets.withColumn("sid", F.monotonically_increasing_id()), "sets")
+    postings, kept = dealt(post(sets), work), "postings"
     tests, edges, turn = None, None, 0
     while turn < MOST_ROUNDS:
-        pairs = offers(rooted(postings, edges), turn)
+        pairs = offers(postings, turn)
         if tests is not None:
             pairs = pairs.join(tests.select("a", "b"), ["a", "b"], "left_anti")
         new = work.keep(verify(pairs, sets), f"tests-{turn}")
@@ -517,23 +529,32 @@ def members(spark: SparkSession, docs: DataFrame, carried: list[str], key: str,
             # One step is enough between rounds: sets with one root are in one component, if not yet all of them.
             added = ordered_edges(linked)
             edges = star(added if edges is None else edges.unionByName(added), work, f"edges-{turn}")
+            # A list whose sets are of one component has no pair to verify, now or later.
+            postings = work.keep(open_lists(rooted(postings, edges)), f"open-{turn}")
+            work.drop(kept)
+            kept = f"open-{turn}"
         turn += 1
         if not found or turn > 1 and found * ENOUGH < tests.where("linked").count():
             break
-    last = work.keep(verify(remaining(rooted(postings, edges), tests), sets), "last")
-    work.drop("postings", "sets", *[f"tests-{k}" for k in range(turn)])
+    last = work.keep(verify(remaining(postings, tests), sets), "last")
+    work.drop(kept, *[f"tests-{k}" for k in range(turn)])
     added = ordered_edges(last.where("linked"))
     edges = settled(added if edges is None else edges.unionByName(added), work)
-    return numbered(rows, roots_of(edges), carried, key, work)
+    roots = work.keep(rooted(sets.select("sid", "digest"), edges).select(F.col("digest").alias("sid"), "root"), "roots")
+    work.drop("sets")
+    return numbered(rows, roots, carried, key, work)
 
 
 def numbered(rows: DataFrame, roots: DataFrame, carried: list[str], key: str, work: Workspace) -> DataFrame:
-    """The least key of each component, joined to its rows by way of the sets.  A large component is dealt like a long list."""
+    """The least key of each component, joined to its rows by way of the sets.  A large component is dealt like a long list; a set without a root is a component."""
     least = rows.where(F.col("sid").isNotNull()).groupBy("sid").agg(F.min(key).alias("low"))
-    least = work.keep(least.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "least")
-    low = least.groupBy("root").agg(F.min("low").alias("component_id"), F.ceil(F.count("*") / LONG).cast("int").alias("parts"))
-    dealt_out, each = to_sublists(least, work.keep(low, "low"), "root", work)
-    least = dealt_out.join(each, ["root", "salt"]).select("sid", F.col("root").alias("component"), "component_id")
+    least = work.keep(least.join(roots, "sid", "left"), "least")
+    several = least.where("root IS NOT NULL")
+    # A component is known by the least digest of its sets.
+    low = several.groupBy("root").agg(F.min("sid").alias("component"), F.min("low").alias("component_id"), F.ceil(F.count("*") / LONG).cast("int").alias("parts"))
+    dealt_out, each = to_sublists(several, work.keep(low, "low"), "root", work)
+    several = dealt_out.join(each, ["root", "salt"]).select("sid", "component", "component_id")
+    least = several.unionByName(least.where("root IS NULL").select("sid", F.col("sid").alias("component"), F.col("low").alias("component_id")))
     return rows.join(least, "sid", "left").select(*carried, "n", "component", F.coalesce("component_id", F.col(key)).alias("component_id"))
 
 

@@ -114,6 +114,44 @@ def test_routers_change_no_component(spark, make_docs, monkeypatch, fan):
     assert got == components_of(docs)
 
 
+def test_lists_of_one_component_are_not_shuffled_again(spark, make_docs, monkeypatch):
+    def shuffled():
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty(30_000)
+        executors = context.statusStore().executorList(False)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    lists, kept = {}, jaccard.Workspace.keep
+
+    def keep(work, df, name):
+        out = kept(work, df, name)
+        if name.startswith("open-"):
+            lists[name] = out.groupBy("token").agg(F.countDistinct("root").alias("roots")).where("roots < 2").count()
+        return out
+
+    rng, texts = random.Random(1), []
+    for _ in range(10):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        for _ in range(60):
+            copy = list(base)
+            copy[rng.randrange(100)] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    df = make_docs([(i, t, "en", "s") for i, t in enumerate(texts)]).repartition(3)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as in large tables
+    try:
+        start = shuffled()
+        got = {r["doc_id"]: r["component_id"] for r in jaccard.link(spark, df).collect()}
+        moved = shuffled() - start
+        monkeypatch.setattr(jaccard.Workspace, "keep", keep)
+        jaccard.link(spark, df)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {i: i - i % 60 for i in range(600)}
+    assert moved < 9 * sum(map(len, texts)), moved  # 11.7 times with rounds that read every list
+    assert lists and not any(lists.values())
+
+
 def test_a_shingle_of_every_batch_is_asked_once_a_router(spark, make_docs, monkeypatch):
     monkeypatch.setattr(jaccard, "TOGETHER", 400)
     monkeypatch.setattr(jaccard, "FAN", 3)
