@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..sources.spread import spread
 from .language import pieces_of
-from .shared import steady, total_bytes, trimmed
+from .shared import kept_in_worker, steady, total_bytes, trimmed
 
 CAPACITY = 2048
 SHARD_BYTES = 24 << 20
@@ -101,7 +101,7 @@ def rank_encoder(path: str) -> Callable[[str], list[int]]:
     return _ENCODERS[path].encode_ordinary
 
 
-_ENCODERS: dict[str, object] = {}
+_ENCODERS: dict[str, object] = kept_in_worker("packing")
 
 
 def encode(docs: DataFrame, path: str, end: int, key: str, text: str) -> DataFrame:
@@ -120,7 +120,7 @@ def encode(docs: DataFrame, path: str, end: int, key: str, text: str) -> DataFra
                 place += len(ids)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), places], [key, "ids", "place"])
 
-    return steady(spread(docs.select(key, text))).mapInArrow(trimmed(run), f"{key} {docs.schema[key].dataType.simpleString()}, ids binary, place bigint")
+    return steady(spread(docs.select(key, text))).mapInArrow(trimmed(run, "packing"), f"{key} {docs.schema[key].dataType.simpleString()}, ids binary, place bigint")
 
 
 def pack(docs: DataFrame, path: str, end: int, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -35,11 +35,11 @@ from pyspark.sql import DataFrame
 
 from ..sources.spread import spread
 from .language import pieces_of
-from .shared import trimmed
+from .shared import kept_in_worker, trimmed
 
 SPACE = "▁"
 #: Entries of one generation of a table; two are held.
-CACHE = 200_000
+CACHE = 150_000
 TOGETHER = 64
 ONE_OF = 128
 #: Characters of texts that are encoded together, and of the parts of longer texts.
@@ -49,7 +49,7 @@ SHORT = (8, 14, 40)
 ROWS = 8192
 NEVER = np.inf
 
-_PROCESSORS: dict[str, "PieceCodec"] = {}
+_PROCESSORS: dict[str, "PieceCodec"] = kept_in_worker("pieces")
 
 
 class DifferentIds(ValueError):
@@ -75,7 +75,7 @@ class PieceCodec:
                 self.ids[piece] = k
         #: a space symbol starts a cut of its own unless some piece has one inside
         self.words_apart = all(SPACE not in p.lstrip(SPACE) for p in self.rank)
-        # What is remembered, and what was before: entries in use move from the second to the first.
+        # What is remembered, and what was before: entries in use move from the second to the first, none is in both.
         self.words: dict[str, bytes] = {}
         self.old_words: dict[str, bytes] = {}
         self.fresh: dict[str, bytes] = {}
@@ -218,10 +218,12 @@ class PieceCodec:
         if missing:
             old = self.old_words
             self.fresh = self.encode_words([w for w in missing if w not in old])
+            found = {w: old.pop(w, None) or self.fresh[w] for w in missing}
             if len(self.words) + len(missing) > CACHE:
-                missing, self.words, self.old_words = needed, {}, self.words
-                old = old | self.old_words
-            self.words.update({w: old.get(w) or self.fresh[w] for w in missing})
+                found |= {w: self.words.pop(w) for w in needed.difference(missing)}
+                self.words, self.old_words = found, self.words
+            else:
+                self.words.update(found)
         known = self.words.__getitem__
         return [b"".join(map(known, c)) for c in cuts]
 
@@ -352,4 +354,4 @@ def encode_decode(docs: DataFrame, model_path: str, text: str = "text", key: str
 
     kind = docs.schema[key].dataType.simpleString()
     extra = ", ids array<int>, decoded string" if with_ids else ""
-    return spread(docs.select(key, text)).mapInArrow(trimmed(run), f"{key} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{extra}")
+    return spread(docs.select(key, text)).mapInArrow(trimmed(run, "pieces"), f"{key} {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{extra}")

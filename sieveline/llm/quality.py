@@ -46,6 +46,8 @@ STEPS = 600
 BATCH = 1024
 #: Level sets with less than this share of the positives don't count for the prior.
 LEAST_SHARE = 0.3
+#: Texts of at most so many bytes together are counted at once.
+TOGETHER = 1 << 20
 
 
 def features(column: pa.Array) -> np.ndarray:
@@ -190,7 +192,7 @@ def learn(docs: DataFrame, positives: DataFrame, may_learn: Column, prior: float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces_of(batch, 0):
+            for part in pieces_of(batch, 0, TOGETHER):
                 x = features(part.column(0))
                 yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["h", "samples", "x"])
 
@@ -208,7 +210,7 @@ def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces_of(batch, 1):
+            for part in pieces_of(batch, 1, TOGETHER):
                 s = sent.value.score(features(part.column(1))) if sent.value else np.zeros(part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64())], [key, "score"])
 
@@ -224,7 +226,7 @@ def keep(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces_of(batch, at):
+            for part in pieces_of(batch, at, TOGETHER):
                 yield part.filter(pa.array(sent.value.score(features(part.column(at))) >= threshold))
 
     return spread(docs).mapInArrow(trimmed(run), docs.schema)

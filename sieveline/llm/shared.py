@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..sources.kept import Workspace, checkpoint_dir, scratch, unused
 
-__all__ = ["Workspace", "checkpoint_dir", "give_back", "held_out", "row_hash", "sample", "scratch", "steady", "total_bytes", "trimmed", "unused"]
+__all__ = ["Workspace", "checkpoint_dir", "give_back", "held_out", "kept_in_worker", "make_room", "row_hash", "sample", "scratch", "steady", "total_bytes", "trimmed", "unused"]
 
 
 def give_back() -> None:
@@ -25,10 +25,28 @@ def give_back() -> None:
         pass
 
 
-def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """run over the batches of a task, and memory given back at its end."""
+_KEPT: dict[str, dict] = {}
+
+
+def kept_in_worker(owner: str) -> dict:
+    """A dict that an operator keeps in this Python worker from task to task, until a task of another one begins."""
+    return _KEPT.setdefault(owner, {})
+
+
+def make_room(owner: str = "") -> None:
+    """Empty what other operators keep in this Python worker: no later task of theirs may come."""
+    others = [x for name, x in _KEPT.items() if name != owner and x]
+    for x in others:
+        x.clear()
+    if others:
+        give_back()
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], owner: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run over the batches of a task of ``owner``: room is made at its beginning, and memory given back at its end."""
 
     def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(owner)
         try:
             yield from run(batches)
         finally:

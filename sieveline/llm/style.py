@@ -15,7 +15,7 @@ from .words import mix, text_buffer, word_hashes
 #: Byte classes.
 SPACE, NEWLINE, UPPER, LOWER, DIGIT, SYMBOL, PIPE, BANG, STOP, OTHER, LEAD, CONTINUATION = range(12)
 CLASSES = 12
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _CLASS = np.full(256, OTHER, dtype=np.int64)
 _CLASS[[0x20, 0x09, 0x0B, 0x0C, 0x0D]] = SPACE

@@ -813,3 +813,42 @@ def test_verdicts_agree_with_labels(spark):
     got = QUERIES["op5_quality_rules"](spark, sf).join(table(spark, sf, "labels"), "doc_id").where("NOT base_failed").collect()
     good, bad = ([r["kept"] for r in got if r["quality"] == q] for q in (1, 0))
     assert np.mean(good) >= 0.99 and np.mean(bad) <= 0.02 and len(bad) > 20
+
+
+def test_no_stretch_is_remembered_twice(monkeypatch):
+    monkeypatch.setattr(pieces, "CACHE", 400)
+    rng = random.Random(14)
+    c = pieces.PieceCodec(piece_model())
+    turned = 0
+    for _ in range(60):
+        texts = ["the tea is " + " ".join("".join(rng.choices("abeird", k=rng.randint(1, 4))) for _ in range(60))]
+        before = c.words
+        assert [np.frombuffer(x, dtype="<u4").tolist() for x in c.encode(texts)] == c.library.encode(texts)
+        turned += c.words is not before
+        assert not c.words.keys() & c.old_words.keys() and len(c.words) <= 400 and len(c.old_words) <= 400
+    assert turned > 2
+
+
+def test_a_worker_keeps_nothing_for_another_operator(monkeypatch):
+    from pyspark import cloudpickle
+
+    from sieveline.llm import shared
+
+    monkeypatch.setitem(pieces._PROCESSORS, piece_model(), pieces.PieceCodec(piece_model()))
+    monkeypatch.setitem(packing._ENCODERS, "ranks", object())
+    batch = pa.RecordBatch.from_arrays([pa.array([1])], ["a"])
+    sent = lambda owner: cloudpickle.loads(cloudpickle.dumps(shared.trimmed(lambda batches: batches, owner)))(iter([batch]))
+    assert list(sent("pieces")) == [batch] and piece_model() in pieces._PROCESSORS and not packing._ENCODERS
+    assert list(sent("")) == [batch] and not pieces._PROCESSORS
+    pieces.encode_texts(["the tea"], piece_model())  # and it is made anew
+
+
+def test_scores_do_not_depend_on_how_many_texts_are_counted_together(monkeypatch, make_docs):
+    docs = make_docs([(i, "Some words of one text, and | more ! " * (i % 7) + "\n" * (i % 3), "en", "s") for i in range(60)]).repartition(1)
+    rng = np.random.default_rng(3)
+    model = quality.train(rng.random((40, quality.FEATURES)), rng.random((40, quality.FEATURES)), 0.5)
+    whole = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+    monkeypatch.setattr(quality, "TOGETHER", 200)
+    cut = {r["doc_id"]: r["score"] for r in quality.score(docs, model).collect()}
+    assert cut.keys() == whole.keys() and len(whole) == 60 and all(np.isclose(cut[i], whole[i], atol=1e-9) for i in whole)
+    assert quality.keep(docs, model).count() == sum(s >= quality.THRESHOLD for s in whole.values())
